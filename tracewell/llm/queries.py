@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import canonical, termcounts
+from tracewell.llm import canonical, pairs, termcounts
 from tracewell.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,18 @@ def p2_counts_in_batches(spark: SparkSession, d: str) -> DataFrame:
     return termcounts.in_batches(table(spark, d, "teacher"), spark)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.found(table(spark, d, "predictions"), table(spark, d, "teacher"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.truncated(table(spark, d, "predictions"))
+
+
+def p5_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.by_source(table(spark, d, "predictions"))
+
+
 TERMS_SQL = """
 with t as (select distinct on (teacher_id) teacher_id, route from teacher where teacher_id is not null order by teacher_id, ingested_at desc),
 s as (select teacher_id, unnest(route.reasoning_path) as step from t),
@@ -46,7 +58,7 @@ c as (select field, term, cast(count(*) as bigint) as n_occurrences, cast(count(
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_counts, p2_counts_in_batches)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_counts, p2_counts_in_batches, p3_found, p5_found, p5_by_source)}
 
 
 def oracle_sql() -> dict[str, str]:
