@@ -28,11 +28,18 @@ PLACEHOLDERS = frozenset(
 # Marks that a tool sets where it cuts.
 CUT_MARK = re.compile(r"(?:\.\.\.|…|\ufffd|[\[(<]\s*(?:truncated|cut|snip|continued|\.\.\.|…)[^\])>]{0,20}[\])>]?)\s*[\"'”’]?\s*$", re.I)
 
-# How answers are announced.
-ANSWER = re.compile(
-    r"####|\b(?:final answer|answer)\s*(?:is|:|=)|\bwe get\b|\bthat leaves\b|\bis correct\b|\bresult is\b|\brespuesta\b|\bresultado\b|\bresposta\b|\bréponse est\b|\bon obtient\b|\bantwort\b|\bergebnis\b|\bответ\b|\bполучаем\b|答案|结果|\\boxed|<answer>\s*[^<\s]",
-    re.I,
-)
+# How answers are announced, in lower case.
+ANSWER = (
+    "####", "answer is", "answer:", "answer =", "answer=", "final answer", "we get ", "that leaves ", " is correct", "result is", "respuesta", "resultado", "resposta",
+    "réponse est", "on obtient", "antwort", "ergebnis", "ответ", "получаем", "答案", "结果", "\\boxed",
+)
+
+
+def has_answer(text: str) -> bool:
+    low = text.lower()
+    return any(cue in low for cue in ANSWER)
+
+
 ANSWER_END = re.compile(r"(?:####|\b(?:final answer|answer|respuesta|resposta|réponse|antwort|ответ)\s*:|答案[:：])[ \t]*\S[^\n]{0,60}$", re.I)
 
 # How speakers decline, by language.
@@ -46,6 +53,14 @@ REFUSAL = re.compile(
     re.I,
 )
 
+# One of these stands in every refusal that the pattern knows.
+REFUSAL_CUES = (
+    "cannot", "can't", "can not", "unable", "able to", "decline", "refuse", "ability", "rather not", "comfortable", "allow", "permit", "pass on th", "let's skip", "outside", "against my", "my training",
+    "my instructions", "my guidelines", "my rules", "my policy", "not something", "unanswered", "someone else", "no solution", "language model", "an ai", "no puedo", "posible", "lo siento", "condiciones",
+    "ne peux", "ne suis", "désolé", "impossible", "kann ich", "ich kann", "leid", "darf ich", "posso", "consigo", "desculpe", "lamento", "не могу", "извините", "сожалению", "простите", "无法", "抱歉",
+    "对不起", "不能", "не смогу",
+)
+
 # Frequent short words of each language, and a few that announce results.
 WORDS = {
     "en": "a could troop within across carry half same other any into over between every needs up down they you your i my me his her if let find value compute sum lowest terms long short own must been just where both made make find day week hour hours years old older away full left many much costs buys holds box boxes first second the of and to in is that for it with as on are this by from at or an be which not each so we how many what will after both would could does has have only one two out all than then if more their there use keeps gives leaves starts receives adding answer total step first hence therefore is was were when where who",
@@ -66,6 +81,16 @@ def _weights() -> dict[str, list[tuple[str, float]]]:
     return {w: [(lang, 1.0 / len(langs)) for lang in langs] for w, langs in held.items()}
 
 
+INVISIBLE = re.compile("[\x00-\x1f\x7f-\x9f\u00ad\u0600-\u0605\u061c\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff]")
+LETTER_OR_DIGIT = re.compile(r"[^\W_]")
+LETTER = re.compile(r"[^\W\d_]")
+WORD = re.compile(r"[^\W\d_]+")
+DENSE = re.compile("[\u2e80-\U0010ffff]")
+HAN = re.compile("[\u3400-\u9fff]")
+CYRILLIC = re.compile("[\u0400-\u04ff]")
+FORMULA = re.compile(r"\\[a-zA-Z]+|\$[^$]*\$")
+
+
 class Rules:
     """The rules on one pair; built once in each worker."""
 
@@ -101,37 +126,41 @@ class Rules:
                     return [s], True
         return [text], False
 
-    def empty(self, text: str | None) -> bool:
+    def empty(self, text: str | None, parsed: tuple[list[str], bool] | None = None) -> bool:
+        """Null, blank, a placeholder or a shell without content. parsed: content() of the text, if it is known."""
         if text is None:
             return True
-        s = "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Cc")).strip()
-        if not s or s.lower().strip("\"'`*_ ") in PLACEHOLDERS or not any(c.isalnum() for c in s):
+        if len(text) > 40 and text[0].isalpha() and text[0].isascii():
+            return False
+        s = INVISIBLE.sub("", text).strip()
+        if not s or (len(s) <= 40 and s.lower().strip("\"'`*_ ") in PLACEHOLDERS) or not LETTER_OR_DIGIT.search(s):
             return True
         if s[0] in "{[`<":
-            if not re.sub(r"<[^<>]*>|```[a-z]*", "", s).strip():
+            if s[0] in "`<" and not re.sub(r"<[^<>]*>|```[a-z]*", "", s).strip():
                 return True
-            texts, open_json = self.content(text)
+            texts, open_json = parsed or self.content(text)
             if not open_json and s[0] != "<" and texts != [text]:
                 return all(self.empty(t) for t in texts)
         return False
 
     def language(self, text: str) -> str:
         """The language of prose; empty if it can't be told."""
-        text = re.sub(r"\\[a-zA-Z]+|\$[^$]*\$", " ", text)
-        letters = Counter()
-        for c in text:
-            if c.isalpha():
-                o = ord(c)
-                letters["zh" if 0x3400 <= o <= 0x9FFF else "ru" if 0x400 <= o <= 0x4FF else "x"] += 1
-        for lang in ("zh", "ru"):
-            if letters[lang] * (3 if lang == "zh" else 1) > letters["x"]:
-                return lang
+        if "\\" in text or "$" in text:
+            text = FORMULA.sub(" ", text)
+        if not text.isascii():
+            zh, ru = len(HAN.findall(text)), len(CYRILLIC.findall(text))
+            if zh or ru:
+                other = len(LETTER.findall(text)) - zh - ru
+                if zh * 3 > other:
+                    return "zh"
+                if ru > other:
+                    return "ru"
         score: dict[str, float] = {}
-        seen = 0
-        for w in re.findall(r"[^\W\d_]+", text.lower()):
-            seen += 1
-            for lang, x in self.words.get(w, ()):
-                score[lang] = score.get(lang, 0.0) + x
+        known = self.words
+        for w in WORD.findall(text.lower()):
+            if w in known:
+                for lang, x in known[w]:
+                    score[lang] = score.get(lang, 0.0) + x
         if not score:
             return ""
         order = sorted(score.items(), key=lambda x: -x[1])
@@ -152,10 +181,17 @@ class Rules:
 
     def copied(self, question: str | None, options: str | None, texts: list[str]) -> bool:
         """The words of the response are those of the question, but for a few left out or put in, and there is no answer."""
-        q = self.bare(question or "")
-        if len(q) < 4 and not (question and len(question) >= 12 and any(ord(c) > 0x2E7F for c in question)):
+        size = sum(map(len, texts))
+        if not question or size > 6 * len(question) + 2 * len(options or "") + 100 or 3 * size < len(question):
+            return False
+        text = " ".join(texts)
+        if has_answer(text) and not has_answer(question):
+            return False
+        dense = not question.isascii() and bool(DENSE.search(question))
+        q = self.bare(question)
+        if len(q) < 4 and not (len(question) >= 12 and dense):
             return False
-        if any(ord(c) > 0x2E7F for c in question or ""):  # no spaces between words
+        if dense:  # no spaces between words
             q = [c for c in question if c.isalnum()]
             parts = [[c for c in re.sub(r"^\W*问题[:：]", "", t) if c.isalnum()] for t in texts]
         else:
@@ -163,9 +199,6 @@ class Rules:
         r = [w for p in parts for w in p]
         if len(r) < 0.6 * len(q) or len(r) > 3.5 * len(q) + len((options or "").split()) + 4:
             return False
-        text = " ".join(texts)
-        if ANSWER.search(text) and not ANSWER.search(question or ""):
-            return False
         have, asked = Counter(r), Counter(q)
         times = max(1, round(len(r) / len(q)))
         allowed = Counter({w: n * times for w, n in asked.items()}) + Counter(self.bare(options or ""))
@@ -176,7 +209,10 @@ class Rules:
     @staticmethod
     def refusal(texts: list[str]) -> bool:
         text = " ".join(t.strip() for t in texts).replace("’", "'")
-        return len(text) <= 320 and bool(REFUSAL.search(text)) and not ANSWER.search(text)
+        if len(text) > 320:
+            return False
+        low = text.lower()
+        return any(cue in low for cue in REFUSAL_CUES) and bool(REFUSAL.search(low)) and not has_answer(low)
 
     @staticmethod
     def open_end(text: str, field: str) -> bool:
@@ -197,10 +233,11 @@ class Rules:
         return len(s) >= 25 or len(re.findall(r"[^\W\d_]+", s)) >= 4
 
     def defect(self, field: str, question: str | None, options: str | None, value: str | None, shortened: bool = False) -> str | None:
-        if self.empty(value):
+        if value is None:
+            return "empty"
+        texts, open_json = parsed = self.content(value)
+        if self.empty(value, parsed):
             return "empty"
-        assert value is not None
-        texts, open_json = self.content(value)
         if open_json:
             return "truncated"
         texts = [t for t in texts if t and t.strip()]
@@ -219,7 +256,7 @@ class Rules:
             return "truncated"
         if not prose and CUT_MARK.search(value.rstrip()):
             return "truncated"
-        if shortened and prose and len(value) >= 40 and not ANSWER.search(value):
+        if shortened and prose and len(value) >= 40 and not has_answer(value):
             return "truncated"
         return "language" if other else None
 
