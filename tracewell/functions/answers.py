@@ -134,25 +134,31 @@ def matches(gold: Column, pred: Column, tol: float = 1e-6) -> Column:
 
 def twelve_digits(x: Column) -> Column:
     """A double with up to 12 significant digits, without trailing zeros; exponents of two digits beyond 1e-4 and 1e12."""
-    e = F.floor(F.log10(F.abs(x)))
-    rounded = F.format_string("%.11e", x)
-    mant = F.regexp_replace(F.regexp_replace(F.regexp_extract(rounded, r"^(-?[\d.]+)e", 1), r"0+$", ""), r"\.$", "")
-    exp = F.regexp_extract(rounded, r"e([+-]\d+)$", 1).cast("int")
-    digits = F.greatest(F.lit(0), F.lit(11) - exp)
-    plain = F.expr("null").cast("string")
-    for d in range(16):
-        plain = F.when(digits == d, F.format_string(f"%.{d}f", x)).otherwise(plain)
-    plain = F.when(F.contains(plain, F.lit(".")), F.regexp_replace(F.regexp_replace(plain, r"0+$", ""), r"\.$", "")).otherwise(plain)
-    return (
-        F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(x == 0, "0")
-        .when((exp < -4) | (exp >= 12) | e.isNull(), F.concat(mant, F.lit("e"), F.when(exp < 0, "-").otherwise("+"), F.format_string("%02d", F.abs(exp))))
-        .otherwise(plain)
-    )
+
+    def bare(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit(".")), F.regexp_replace(F.regexp_replace(t, r"0+$", ""), r"\.$", "")).otherwise(t)
+
+    def of(v: Column) -> Column:
+        x, e = v["x"], v["e"]
+        exp = F.regexp_extract(e, r"e([+-]\d+)$", 1).cast("int")
+
+        def plain(exp: Column) -> Column:
+            # between 1e-4 and 1e12 the digits of the scientific form are written out with the point moved
+            digits = F.regexp_replace(F.regexp_extract(e, r"^-?([\d.]+)e", 1), r"\.", "")
+            whole = F.when(exp >= 0, F.concat(F.substring(digits, F.lit(1), exp + 1), F.lit("."), F.substring(digits, exp + 2, F.lit(20)))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits))
+            return F.concat(F.when(x < 0, "-").otherwise(""), bare(whole))
+
+        mant = bare(F.regexp_extract(e, r"^(-?[\d.]+)e", 1))
+        science = lambda exp: F.concat(mant, F.lit("e"), F.when(exp < 0, "-").otherwise("+"), F.format_string("%02d", F.abs(exp)))
+        return let(exp, lambda exp: F.when((exp < -4) | (exp >= 12), science(exp)).otherwise(plain(exp)))
+
+    finite = let(F.struct(x.alias("x"), F.format_string("%.11e", x).alias("e")), of)
+    return F.coalesce(F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(x == 0, "0"), finite)
 
 
 def label(n: Column) -> Column:
     """F8: a normalised answer as a stable text."""
-    return F.when(n.isNull(), "__MISSING__").when(n["k"] == "b", n["b"].cast("string")).when(n["k"] == "n", twelve_digits(n["n"])).otherwise(n["s"])
+    return let(n, lambda n: F.when(n.isNull(), "__MISSING__").when(n["k"] == "b", n["b"].cast("string")).when(n["k"] == "n", twelve_digits(n["n"])).otherwise(n["s"]))
 
 
 def unquoted(c: Column) -> Column:

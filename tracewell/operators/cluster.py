@@ -52,7 +52,7 @@ def cluster_groups(df: DataFrame, *, group: str, key: str, vec: str, eps: float
     """(group, key, cluster): PCA and DBSCAN of each group, rows in order of key. For groups that fit a task, as intents of a category do."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_key", kind="stable")
+        pdf = pdf.sort_values("_key", kind="stable", key=lambda c: c.map(lambda k: tuple(k.values()) if isinstance(k, dict) else k))
         x = np.vstack([np.asarray(v, dtype=float) for v in pdf["_vec"]])
         return pd.DataFrame({"_group": pdf["_group"], "_key": pdf["_key"], "cluster": dbscan(reduce_dims(x, dims), eps, min_samples)})
 

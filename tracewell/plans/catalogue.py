@@ -1,17 +1,702 @@
-"""The queries of the engine's own operators over the test tables."""
+"""The queries of the engine's own operators over the test tables, and the SQL that checks them.
+
+Every query runs over its whole tables. Floats are rounded to six places on both sides, counts are 64-bit, and arrays are joined to
+text, so that results compare by value. Queries without SQL are order-dependent folds, hashed draws or streams; they are
+tested against brute force on small fixtures.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewell.functions import answers as A
+from tracewell.functions import text as T
+from tracewell.operators import bank as B
+from tracewell.operators import cluster, metrics, nested, providers, relations, routing, sampling
+from tracewell.plans import prompts as P
+from tracewell.session import scratch_path, table, written
+from tracewell.sources import records, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
+_Q: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+_WS = r"[\s\x0b\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def strip_sql(x: str) -> str:
+    """White space of any kind off both ends, in SQL."""
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(T.col(c).cast("double"), 6)
+
+
+def big(*names: str) -> list[Column]:
+    return [F.col(n).cast("bigint").alias(n) for n in names]
+
+
+def once(df: DataFrame, key: str) -> DataFrame:
+    """One delivery of each record: deliveries of a key are equal but for their arrival, the last one stands."""
+    return relations.latest_per_key(df, key, "ingested_at")
+
+
+def predictions(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    return once(table(spark, d, "predictions").select("pred_id", *cols, "ingested_at"), "pred_id")
+
+
+def teacher(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    return once(table(spark, d, "teacher").select("teacher_id", *cols, "ingested_at"), "teacher_id")
+
+
+PRED = "with p as (select * from (select *, row_number() over (partition by pred_id order by ingested_at desc) as rn from predictions) where rn = 1) "
+TEACH = "with t as (select * from (select *, row_number() over (partition by teacher_id order by ingested_at desc) as rn from teacher) where rn = 1) "
+STATS = """
+, c as (select {by} x, count(*) as c from v group by all), g as (select {by} sum(c) as n, count(*) as k, sum(case when c >= 2 then c else 0 end) as two, max(c) as top, sum(c * log2(c)) as clog from c group by all)
+select {by} cast(n as bigint) as n, cast(k as bigint) as k, round(1 - k / n, 6) as reuse, round(two / n, 6) as share2, round(greatest(log2(n) - clog / n, 0), 6) as entropy,
+  round(case when k > 1 then greatest(log2(n) - clog / n, 0) / log2(k) else 0 end, 6) as entropy_norm, round(pow(2, greatest(log2(n) - clog / n, 0)), 4) as perplexity, round(top / n, 6) as top1
+from g"""
+
+
+def stats_row(df: DataFrame, *by: str) -> DataFrame:
+    return df.select(*by, *big("n", "k"), *[r6(c).alias(c) for c in ("reuse", "share2", "entropy", "entropy_norm")], F.round("perplexity", 4).alias("perplexity"), r6("top1").alias("top1"))
+
+
+# --- statistics of paths
+
+EVENT_PATHS = "with v as (select string_agg(event_type, '>' order by ts, event_id) as x from events group by user_id, cast(ts as date))"
+
+
+def event_paths(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
+    return e.select("user_id", "day", F.transform("e", lambda x: x["event_type"]).alias("path"))
+
+
+@query(EVENT_PATHS + STATS.format(by=""))
+def path_stats_events(spark: SparkSession, d: str) -> DataFrame:
+    return stats_row(metrics.path_stats(event_paths(spark, d), "path"))
+
+
+@query(TEACH + ", v as (select model, array_to_string(route.reasoning_path, '>') as x from t where len(route.reasoning_path) > 0)" + STATS.format(by="model,"))
+def path_stats_teacher(spark: SparkSession, d: str) -> DataFrame:
+    t = teacher(spark, d, "model", "route").select("model", F.array_join("route.reasoning_path", ">").alias("path"), F.size("route.reasoning_path").alias("n")).where("n > 0")
+    c = t.withColumn("path", F.concat(F.lit("="), "path"))
+    return stats_row(metrics.path_stats(c, "path", "model"), "model")
+
+
+@query("with v as (select unnest(reasoning_path) as x from bank)" + STATS.format(by=""))
+def path_step_stats(spark: SparkSession, d: str) -> DataFrame:
+    return stats_row(metrics.path_stats(table(spark, d, "bank").select(F.explode("reasoning_path").alias("step")), "step"))
+
+
+@query(EVENT_PATHS + " select x as path, count(*) as n from v group by x order by n desc, x limit 1")
+def most_frequent_path(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.most_frequent(event_paths(spark, d).select(F.array_join("path", ">").alias("path")), "path").select("path", *big("n"))
+
+
+# --- vector routing
+
+VECTORS = "with q as (select vec_id, embedding::double[] as v from embeddings where vec_id % 5 = 0), b as (select vec_id as pos, label, embedding::double[] as v from embeddings where vec_id % 5 <> 0)"
+
+
+def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "embeddings")
+    return e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0").withColumnRenamed("vec_id", "pos")
+
+
+def routed(spark: SparkSession, d: str) -> DataFrame:
+    q, b = vectors(spark, d)
+    return routing.route_argmax(q, b, q_id="vec_id", q_vec="embedding", i_pos="pos", i_vec="embedding", label=["label"])
+
+
+@query(VECTORS + " select vec_id, label, round(s, 6) as score from (select q.vec_id, b.label, list_cosine_similarity(q.v, b.v) as s, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.v, b.v) desc, b.pos) as r from q, b) where r = 1")
+def route_argmax(spark: SparkSession, d: str) -> DataFrame:
+    return routed(spark, d).select("vec_id", "label", r6("score").alias("score"))
+
+
+@query(VECTORS + """, a as (select vec_id, label from (select q.vec_id, b.label, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.v, b.v) desc, b.pos) as r from q, b) where r = 1)
+select vec_id, label, cast(r as bigint) as rank, pos, round(s, 6) as score from (select a.vec_id, a.label, b.pos, list_cosine_similarity(q.v, b.v) as s, row_number() over (partition by a.vec_id order by list_cosine_similarity(q.v, b.v) desc, b.pos) as r
+from a join q using (vec_id) join b using (label)) where r <= 3""")
+def route_topk_paths(spark: SparkSession, d: str) -> DataFrame:
+    q, b = vectors(spark, d)
+    a = routed(spark, d).select("vec_id", "label").join(q.select("vec_id", "embedding"), "vec_id")
+    bank = b.select("label", "pos", F.col("embedding").alias("pv"), F.col("pos").alias("p"))
+    return routing.top_k_paths(a, bank, q_id="vec_id", q_vec="embedding", keys=["label"], path="p", pos="pos", p_vec="pv", k=3).select("vec_id", "label", *big("rank"), F.col("p").alias("pos"), r6("score").alias("score"))
+
+
+@query("with e as (select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) - 1 as i from embeddings) select label, cast(i as bigint) as i, round(avg(x), 6) as x from e group by label, i")
+def mean_vector(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    m = routing.mean_vector(e.select("label", F.col("vec_id").alias("token")), e.select(F.col("vec_id").alias("token"), "embedding"), "label", "token", "embedding")
+    return m.select("label", F.posexplode("embedding").alias("i", "x")).select("label", *big("i"), r6("x").alias("x"))
+
+
+@query()
+def dbscan_labels(spark: SparkSession, d: str) -> DataFrame:
+    """M2, M3: PCA and DBSCAN of the vectors of each label."""
+    return cluster.cluster_groups(table(spark, d, "embeddings"), group="label", key="vec_id", vec="embedding", eps=0.4)
+
+
+@query()
+def dbscan_joined(spark: SparkSession, d: str) -> DataFrame:
+    """M3 without groups in memory, over all vectors."""
+    return cluster.dbscan_joined(table(spark, d, "embeddings"), key="vec_id", vec="embedding", eps=1.1)
+
+
+# --- filters and joins between runs (P2, P3, J3-J7, J15, U-a)
+
+
+@query(TEACH + "select teacher_id, category, intent, len(path)::bigint as n_steps from (select teacher_id, route.category as category, route.intent[1] as intent, route.reasoning_path as path from t where gold_matches_answer) where path is not null")
+def gold_filter_strict(spark: SparkSession, d: str) -> DataFrame:
+    t = B.gold_rows(teacher(spark, d, "route", "gold_matches_answer")).where("route.reasoning_path is not null")
+    return t.select("teacher_id", "route.category", F.get("route.intent", F.lit(0)).alias("intent"), F.size("route.reasoning_path").cast("bigint").alias("n_steps"))
+
+
+@query("select distinct id, dataset from questions where id not in (select index from predictions where index is not null)")
+def resume_anti(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "questions").select("id", "dataset").distinct()
+    return relations.not_done(q, table(spark, d, "predictions").select(F.col("index").alias("id")), "id")
+
+
+@query(PRED + "select q.id, cast(greatest(20 - coalesce(n, 0), 0) as bigint) as need from (select distinct id from questions) q left join (select index as id, count(*) as n from p group by 1) using (id)")
+def topup_need(spark: SparkSession, d: str) -> DataFrame:
+    done = predictions(spark, d, "index").groupBy(F.col("index").alias("id")).agg(F.count("*").alias("n_done"))
+    return relations.top_up(table(spark, d, "questions").select("id").distinct(), done, "id", 20).select("id", *big("need"))
+
+
+@query(PRED + ", f as (select index as id, min(model_ans) as v from p where model_ans is not null group by 1) select q.id, coalesce(f.v, upper(q.dataset)) as ans from (select distinct id, dataset from questions) q left join f using (id)")
+def reuse_or_compute(spark: SparkSession, d: str) -> DataFrame:
+    f = predictions(spark, d, "index", "model_ans").where("model_ans is not null").groupBy(F.col("index").alias("id")).agg(F.min("model_ans").alias("ans"))
+    return relations.reuse(table(spark, d, "questions").select("id", "dataset").distinct(), f, "id", "ans", F.upper("dataset")).select("id", "ans")
+
+
+@query(PRED + "select index from p group by index having count(distinct run) = (select count(distinct run) from p)")
+def shared_ids_all_runs(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.shared_ids(predictions(spark, d, "run", "index"), "run", "index")
+
+
+SIGNED = f", n as (select {strip_sql('route.category')} as category, {strip_sql('route.intent[1]')} as intent, route.reasoning_path as path, min(teacher_id) as o from t where len(route.reasoning_path) > 0 and list_count(route.reasoning_path) = len(route.reasoning_path) group by all), f as (select * from n where category <> '' and intent <> '' and not exists (select 1 from bank b where b.category = n.category and b.intent = n.intent and b.reasoning_path = n.path))"
+
+
+def signed(spark: SparkSession, d: str) -> DataFrame:
+    t = B.signatures(teacher(spark, d, "route"), F.col("route")).select("_sig.*", "teacher_id")
+    return t.where(~F.exists("reasoning_path", lambda s: s.isNull()))
+
+
+@query(TEACH + SIGNED + " select category, intent, array_to_string(path, '>') as path from f")
+def new_signatures(spark: SparkSession, d: str) -> DataFrame:
+    return B.new_signatures(signed(spark, d), table(spark, d, "bank")).select("category", "intent", F.array_join("reasoning_path", ">").alias("path"))
+
+
+@query(PRED + """, g as (select * from (select distinct dataset from p), (select distinct method from p), (select distinct model from p))
+select g.dataset, g.method, g.model, cast(coalesce(n, 0) as bigint) as n from g left join (select dataset, method, model, count(*) as n from p group by all) using (dataset, method, model) where coalesce(n, 0) < 40""")
+def grid_completeness(spark: SparkSession, d: str) -> DataFrame:
+    p = predictions(spark, d, "dataset", "method", "model")
+    keys = ["dataset", "method", "model"]
+    return relations.incomplete(relations.grid(*[p.select(k) for k in keys]), p.groupBy(*keys).agg(F.count("*").alias("n")), keys, "n", 40).select(*keys, *big("n"))
+
+
+# --- scoring
+
+
+@query()
+def score_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """A1, A5: the whole cascade over all predictions, by source and overall."""
+    p = predictions(spark, d, "source", "gold_ans", "model_response", "model_ans", "options")
+    return metrics.accuracy_rollup(A.with_match(p), "source")
+
+
+@query()
+def score_responses(spark: SparkSession, d: str) -> DataFrame:
+    """A2: labels from the response texts alone."""
+    return metrics.labelled(A.with_match(predictions(spark, d, "gold_ans", "model_response", "options")), "pred_id")
+
+
+NUM = "coalesce(try_cast(regexp_replace(trim({x}), '[.,;:]+$', '') as double), try_cast(nullif(regexp_extract(replace(trim({x}), ',', ''), '-?\\d+(?:\\.\\d+)?', 0), '') as double))"
+FRAC = "case when regexp_full_match(trim({x}), '\\\\frac\\{{-?\\d+\\}}\\{{-?\\d+\\}}') then try_cast(regexp_extract(trim({x}), '\\\\frac\\{{(-?\\d+)\\}}', 1) as double) / nullif(try_cast(regexp_extract(trim({x}), '\\}}\\{{(-?\\d+)\\}}$', 1) as double), 0) end"
+
+
+def norm_sql(x: str) -> str:
+    """Text, number and truth value of a short answer, as SQL: no fractions of decimals, no underscores, no marks of four number signs."""
+    low = f"lower(trim({x}))"
+    num = f"coalesce({FRAC.format(x=x)}, {NUM.format(x=x)})"
+    return f"case when {x} is null then null when {low} in ('yes', 'true') then 'b:1' when {low} in ('no', 'false') then 'b:0' when regexp_full_match(trim({x}), '[A-Ea-e]') then 's:' || upper(trim({x})) when {num} is not null then 'n:' || format('{{:.6f}}', {num}) else 's:' || {low} end"
+
+
+PLAIN = r"^\s*(?:-?\d+(?:\.\d+)?|[A-Ea-e]|true|false|yes|no|\\sqrt\{\d+\}|\\frac\{-?\d+\}\{-?\d+\})\s*$"
+
+
+def plain_sql(x: str) -> str:
+    return f"regexp_matches({x}, '{PLAIN}')"
+
+
+def norm_text(n: Column) -> Column:
+    return F.when(n["k"] == "b", F.when(n["b"], "b:1").otherwise("b:0")).when(n["k"] == "n", F.concat(F.lit("n:"), F.format_string("%.6f", n["n"]))).when(n["k"] == "s", F.concat(F.lit("s:"), n["s"]))
+
+
+@query(PRED + f"select pred_id, {norm_sql('gold_ans')} as gold, {norm_sql('model_ans')} as pred from p where {plain_sql('gold_ans')} and (model_ans is null or {plain_sql('model_ans')})")
+def normalize_match(spark: SparkSession, d: str) -> DataFrame:
+    """F4, F6, F7 on answers in the usual notations."""
+    p = predictions(spark, d, "gold_ans", "model_ans").where(F.col("gold_ans").rlike(PLAIN) & (F.col("model_ans").isNull() | F.col("model_ans").rlike(PLAIN)))
+    return p.select("pred_id", norm_text(A.normalize(A.raw("gold_ans"))).alias("gold"), norm_text(A.normalize(A.raw("model_ans"))).alias("pred"))
+
+
+SCORED = PRED + f", s as (select source, dataset, method, model, run, index, {norm_sql('gold_ans')} as g, {norm_sql('model_ans')} as m from p where {plain_sql('gold_ans')} and {plain_sql('model_ans')}), k as (select *, g = m or (g in ('n:1.000000', 'b:1') and m in ('n:1.000000', 'b:1')) or (g in ('n:0.000000', 'b:0') and m in ('n:0.000000', 'b:0')) as ok from s) "
+
+
+def direct(spark: SparkSession, d: str) -> DataFrame:
+    """Answers scored as they are given, without the text of the response."""
+    p = predictions(spark, d, "source", "dataset", "method", "model", "run", "index", "gold_ans", "model_ans").where(F.col("gold_ans").rlike(PLAIN) & F.col("model_ans").rlike(PLAIN))
+    g, m = A.normalize(A.raw("gold_ans")), A.normalize(A.raw("model_ans"))
+    return p.withColumn("_g", g).withColumn("_p", m).withColumn("_ok", A.matches(F.col("_g"), F.col("_p")))
+
+
+@query(SCORED + "select dataset, cast(grouping(dataset) as bigint) as is_total, cast(sum(ok::int) as bigint) as correct, count(*) as total from k group by rollup (dataset)")
+def accuracy_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.accuracy_rollup(direct(spark, d), "dataset").select("dataset", *big("is_total", "correct", "total"))
+
+
+@query(PRED + "select method, count(*) as total, count(*) filter (where regexp_matches(model_response, '\"ans\"\\s*:\\s*\\S')) as parsed from p group by 1")
+def parse_rate(spark: SparkSession, d: str) -> DataFrame:
+    f = metrics.format_validity(predictions(spark, d, "method", "gold_ans", "model_response"), "model_response", "method")
+    return f.select("method", *big("total", "parsed"))
+
+
+@query()
+def format_validity(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.format_validity(predictions(spark, d, "method", "gold_ans", "model_response"), "model_response", "method")
+
+
+@query(PRED + "select pred_id, format('{:.12g}', cast(gold_ans as double)) as gold from p where regexp_full_match(gold_ans, '-?\\d+(\\.\\d+)?')")
+def labels_canonical(spark: SparkSession, d: str) -> DataFrame:
+    p = predictions(spark, d, "gold_ans").where(F.col("gold_ans").rlike(r"^-?\d+(\.\d+)?$"))
+    return p.select("pred_id", A.label(A.normalize(A.raw("gold_ans"))).alias("gold"))
+
+
+RUNS = SCORED + ", v as (select dataset, method, run, avg(ok::int) * 100 as acc from k group by all) "
+
+
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    return direct(spark, d).groupBy("dataset", "method", "run").agg((F.avg(F.col("_ok").cast("double")) * 100).alias("acc"))
+
+
+@query(RUNS + "select dataset, method, round(avg(acc), 6) as mean, round(coalesce(stddev_samp(acc), 0), 6) as std, count(*) as n_runs from v group by 1, 2")
+def mean_std_by_run(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.mean_std(runs(spark, d), "acc", "dataset", "method").select("dataset", "method", r6("mean").alias("mean"), r6("std").alias("std"), *big("n_runs"))
+
+
+T_SQL = "case when df >= 100 then 1.984 " + " ".join(f"when df >= {a} and df < {b} then {metrics.T975[a]} + {metrics.T975[b] - metrics.T975[a]!r} * (df - {a}) / {float(b - a)}" for a, b in zip(sorted(metrics.T975), sorted(metrics.T975)[1:], strict=False)) + " end"
+WELCH = f"""w as (select a.arm, a.m, a.n, b.m as bm, a.v / a.n as sa, b.v / b.n as sb, a.n as na, b.n as nb from a, a b where b.arm = 'CoT' and a.arm <> 'CoT' and a.n > 1),
+x as (select *, case when sa + sb > 0 then (sa + sb) * (sa + sb) / (sa * sa / (na - 1) + sb * sb / (nb - 1)) else 1.0 end as df from w), y as (select *, ({T_SQL}) * sqrt(sa + sb) as h from x)
+select arm as method, round(m, 6) as mean, round(bm, 6) as base_mean, round(m - bm, 6) as gap, round(m - bm - h, 5) as lo, round(m - bm + h, 5) as hi, (m - bm - h > 0 or m - bm + h < 0) as significant from y"""
+
+
+def gap_row(df: DataFrame) -> DataFrame:
+    return df.select("method", r6("mean").alias("mean"), r6("base_mean").alias("base_mean"), r6("gap").alias("gap"), F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"), "significant")
+
+
+@query(RUNS + ", z as (select method, run, avg(acc) as acc from v group by 1, 2), a as (select method as arm, avg(acc) as m, var_samp(acc) as v, count(*) as n from z group by 1), " + WELCH)
+def welch_gap(spark: SparkSession, d: str) -> DataFrame:
+    z = runs(spark, d).groupBy("method", "run").agg(F.avg("acc").alias("acc"))
+    return gap_row(metrics.welch_gaps(z, "acc", "method", "CoT"))
+
+
+@query(RUNS + ", z as (select case when method = 'CoT' then method else 'pooled' end as method, acc from (select method, run, avg(acc) as acc from v group by 1, 2) where method in ('CoT', 'SGFT', 'DCoT')), a as (select method as arm, avg(acc) as m, var_samp(acc) as v, count(*) as n from z group by 1), " + WELCH)
+def pooled_controls(spark: SparkSession, d: str) -> DataFrame:
+    z = runs(spark, d).groupBy("method", "run").agg(F.avg("acc").alias("acc"))
+    return gap_row(metrics.pooled(z, "acc", "method", ["SGFT", "DCoT"], "CoT"))
+
+
+@query(SCORED + ", i as (select index from k group by index having count(distinct run) = (select count(distinct run) from k)) select run, round(avg(ok::int) * 100, 6) as accuracy, count(*) as n from k where index in (select index from i) group by run")
+def run_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.run_accuracy(direct(spark, d), "run", "index").select("run", r6("accuracy").alias("accuracy"), *big("n"))
+
+
+@query(SCORED + """, s2 as (select index, count(*) as n, sum(ok::int) as c from k group by 1), e as (select n, c, k from s2, (values (1), (3), (5)) t(k) where n >= k),
+f as (select k, case when n - c < k then 1.0 when c = 0 then 0.0 else 1 - list_product(list_transform(range(cast(n - c + 1 as bigint), cast(n + 1 as bigint)), lambda i: 1.0 - k / i)) end as p from e) select cast(k as bigint) as k, round(avg(p), 6) as mean, count(*) as n_rows from f group by k""")
+def pass_at_k(spark: SparkSession, d: str) -> DataFrame:
+    s = direct(spark, d).groupBy("index").agg(F.count("*").alias("n"), F.sum(F.col("_ok").cast("long")).alias("c"))
+    return metrics.pass_at_ks(s, [1, 3, 5]).select(*big("k"), r6("mean").alias("mean"), *big("n_rows"))
+
+
+@query(PRED + """select source, count(*) as total, cast(sum((case when lower(trim(coalesce(model_ans, ''))) in ('yes', 'true', '1') then 'yes' when lower(trim(coalesce(model_ans, ''))) in ('no', 'false', '0') then 'no' else lower(trim(coalesce(model_ans, ''))) end
+ = case when lower(trim(coalesce(gold_ans, ''))) in ('yes', 'true', '1') then 'yes' when lower(trim(coalesce(gold_ans, ''))) in ('no', 'false', '0') then 'no' else lower(trim(coalesce(gold_ans, ''))) end)::int) as bigint) as correct from p where dataset = 'yesno' and regexp_full_match(coalesce(gold_ans, ''), '[a-z]*') group by 1""")
+def normalised_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    p = predictions(spark, d, "source", "dataset", "gold_ans", "model_ans").where("dataset = 'yesno'").where(F.coalesce("gold_ans", F.lit("")).rlike("^[a-z]*$"))
+    return metrics.normalised_accuracy(p, "truth", "source", "pred_id", []).select("source", *big("total", "correct"))
+
+
+@query("select x, round(t, 6) as t from (select x, " + T_SQL.replace("df", "x") + " as t from (select distinct cast(o_orderkey % 1300 as double) / 10 + 1 as x from orders))")
+def t_table_bracket(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "orders").select(((F.col("o_orderkey") % 1300).cast("double") / 10 + 1).alias("x")).distinct()
+    return x.select("x", r6(metrics.t975(F.col("x"))).alias("t"))
+
+
+LINED = "regexp_replace(options, '\\s+\\(?([B-E])\\)\\s*', chr(10) || '\\1) ', 'g')"
+OPTS = f"o as (select id, answer, regexp_extract_all({LINED}, '(?:^|\\n)\\s*\\(?([A-E])\\s*\\)\\s*([^\\n]+)', 1) as ks, regexp_extract_all({LINED}, '(?:^|\\n)\\s*\\(?([A-E])\\s*\\)\\s*([^\\n]+)', 2) as vs from (select distinct id, answer, options from questions where options is not null))"
+
+
+def lined(c: str) -> Column:
+    """The options of a question on a line each, in the first of the two styles."""
+    return F.regexp_replace(F.regexp_replace(c, r"\s+\(?([B-E])\)\s*", "\n$1) "), r"^\(A\)\s*", "A) ")
+
+
+def options(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "questions").where("options is not null").select("id", "answer", "options").distinct().withColumn("m", A.option_map(lined("options")))
+
+
+@query(f"with {OPTS} select id, unnest(ks) as letter, trim(unnest(vs)) as value from o")
+def option_map(spark: SparkSession, d: str) -> DataFrame:
+    return options(spark, d).select("id", F.explode("m").alias("letter", "value"))
+
+
+@query(f"with {OPTS}, e as (select id, unnest(ks) as k, try_cast(trim(unnest(vs)) as double) as v from o), n as (select e.id, e.k, abs(e.v - 10) as dist from e where e.v is not null), g as (select id, min(dist) as m from n group by id) select n.id, min(n.k) as letter from n join g on n.id = g.id and n.dist = g.m group by n.id having count(*) = 1")
+def nearest_option(spark: SparkSession, d: str) -> DataFrame:
+    o = options(spark, d).withColumn("m", F.map_filter("m", lambda k, v: v.rlike(r"^-?\d+(\.\d+)?$")))
+    return o.select("id", A.nearest_option(F.col("m"), F.lit(10.0)).alias("letter")).where("letter is not null")
+
+
+@query(f"with {OPTS}, e as (select id, ks, vs, unnest(ks) as k, trim(unnest(vs)) as v from o), f as (select id, k, v, lower(vs[1]) as want from e) select id, min(k) as letter from f where lower(v) = trim(want) and not regexp_matches(v, '\\d') group by id having count(*) = 1")
+def option_unique_match(spark: SparkSession, d: str) -> DataFrame:
+    o = options(spark, d).withColumn("want", F.col("m")["A"]).where(~F.col("want").rlike(r"\d"))
+    return o.select("id", A.option_match(F.col("m"), A.normalize(A.raw("want"))).alias("letter")).where("letter is not null")
+
+
+@query(PRED + """select pred_id, upper(regexp_extract(model_response, '(?i)\\b([A-E])\\b', 1)) as choice from p where regexp_full_match(model_response, '\\s*[A-Za-z]{1,3}\\s*') and regexp_matches(model_response, '(?i)\\b([A-E])\\b')""")
+def choice_extract(spark: SparkSession, d: str) -> DataFrame:
+    p = predictions(spark, d, "model_response").where(F.col("model_response").rlike(r"^\s*[A-Za-z]{1,3}\s*$"))
+    return p.select("pred_id", A.first_choice(F.col("model_response")).alias("choice")).where("choice is not null")
+
+
+@query("""select doc_id, coalesce(nullif(regexp_extract_all(regexp_extract(text, '\\\\boxed\\{([^}]+)\\}', 1), '-?\\d+(?:\\.\\d+)?')[-1], ''), nullif(regexp_extract_all(regexp_extract(text, '(?i)(?:final answer|the final answer|answer is|answer:)\\s*([^\\n\\r]+)', 1), '-?\\d+(?:\\.\\d+)?')[-1], ''),
+case when not regexp_matches(regexp_replace(text, '[\\x{00C0}-\\x{024F}\\x{0400}-\\x{04FF}\\x{4E00}-\\x{9FFF}]', 'x', 'g'), '(?i)\\b(true|false|yes|no)\\b') then regexp_extract_all(text, '-?\\d+(?:\\.\\d+)?')[-1] end) as n from documents where regexp_matches(text, '-?\\d') and text is not null""")
+def final_numeric(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where(F.col("text").rlike(r"-?\d")).select("doc_id", A.final_number(F.col("text")).alias("n"))
+
+
+@query(f"select distinct id, answer, {norm_sql('answer')} as value from questions where {plain_sql('answer')}")
+def number_coerce(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "questions").where(F.col("answer").rlike(PLAIN)).select("id", "answer").distinct()
+    return q.select("id", "answer", norm_text(A.normalize(A.raw("answer"))).alias("value"))
+
+
+@query(PRED + r"""select pred_id, case when regexp_matches(model_response, '####') then replace(regexp_extract_all(regexp_extract(model_response, '####\s*([^#]*)$', 1), '-?\d+(?:[,\d]*)?(?:\.\d+)?')[-1], ',', '') end as n
+from p where regexp_matches(model_response, '####[^#]*\d[^#]*$') and not starts_with(model_response, '{')""")
+def guided_numbers(spark: SparkSession, d: str) -> DataFrame:
+    p = predictions(spark, d, "model_response").where(F.col("model_response").rlike(r"####[^#]*\d[^#]*$") & ~F.startswith("model_response", F.lit("{")))
+    return p.select("pred_id", A.guided_number(F.col("model_response")).alias("n"))
+
+
+@query()
+def teacher_scores(spark: SparkSession, d: str) -> DataFrame:
+    """the teacher's own rules on its answers."""
+    t = teacher(spark, d, "gold", "response_ans", "response_payload", "model")
+    ok = A.teacher_matches(F.col("gold"), F.col("response_ans"))
+    return t.groupBy("model").agg(F.count("*").alias("n"), F.count_if(ok).alias("ok"), F.count_if(A.contained(F.col("gold"), F.col("response_payload"))).alias("contained"))
+
+
+# --- the bank (A13-A15, A19, W5, J8, J9, P4-P9, U-b)
+
+TAX = TEACH + f""", r as (select teacher_id, coalesce(nullif({strip_sql('route.category')}, ''), 'unknown') as category, route.intent as intents, route.reasoning_path as path from t where gold_matches_answer and route is not null and len(route.intent) > 0 and len(route.reasoning_path) > 0),
+e as (select teacher_id, category, unnest(intents) as intent, generate_subscripts(intents, 1) as i, array_to_string(list_transform(path, lambda s: coalesce(s, '~')), '>') as path from r), v as (select teacher_id, category, {strip_sql('intent')} as intent, i, path from e where {strip_sql('intent')} <> '') """
+
+
+def taxonomy(spark: SparkSession, d: str) -> DataFrame:
+    t = B.taxonomy_rows(teacher(spark, d, "route", "gold_matches_answer", "response_payload"), "teacher_id")
+    return t.withColumn("path", F.array_join("reasoning_path", ">", "~"))
+
+
+@query(TAX + "select category, intent, count(*) as n, count(distinct path) as k, arg_min(path, teacher_id * 100 + i) as first_path from v group by 1, 2")
+def bank_group_collect(spark: SparkSession, d: str) -> DataFrame:
+    return taxonomy(spark, d).groupBy("category", "intent").agg(F.count("*").alias("n"), F.count_distinct("path").alias("k"), F.min_by("path", "_pos").alias("first_path"))
+
+
+@query("select count(distinct category) as unique_categories, count(distinct intent) as unique_intents, count(distinct reasoning_path) as unique_reasoning_paths from bank")
+def summary_global(spark: SparkSession, d: str) -> DataFrame:
+    return B.summary_global(table(spark, d, "bank"))
+
+
+@query("select count(distinct category) as unique_categories, count(distinct (category, intent)) as unique_intents, count(distinct (category, intent, reasoning_path)) as unique_reasoning_paths from bank")
+def summary_scoped(spark: SparkSession, d: str) -> DataFrame:
+    return B.summary_scoped(table(spark, d, "bank"))
+
+
+@query(TAX + """, u as (select category, path, arg_min(case when len(string_split_regex(intent, '{ws}')) > 4 then array_to_string(string_split_regex(intent, '{ws}')[1:4], ' ') else intent end, (len(string_split_regex(intent, '{ws}')), length(intent), teacher_id, i)) as canonical from v group by 1, 2) select category, canonical, count(*) as n from u group by 1, 2""".replace("{ws}", _WS + "+"))
+def canonical_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The canonical intent of the records of a category that share a path."""
+    c = B.canonical_of(taxonomy(spark, d), ["category", "path"], "intent", "_pos")
+    return c.groupBy("category", "canonical").agg(F.count("*").alias("n"))
+
+
+@query("""with t as (select category, intent, path_pos, list_distinct(flatten(list_transform(reasoning_path, lambda s: list_transform(regexp_extract_all(s, '[A-Z]?[a-z]+|[0-9]+'), lambda x: lower(x))))) as w from bank)
+select a.category, a.intent, cast(a.path_pos as bigint) as path_pos, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) as sim from t a join t b on a.category = b.category and a.intent = b.intent and b.path_pos = a.path_pos + 1""")
+def jaccard_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """U-f, F1, F2: neighbouring paths of a bucket."""
+    t = table(spark, d, "bank").select("category", "intent", "path_pos", F.array_distinct(T.path_tokens("reasoning_path")).alias("w"))
+    b = t.select("category", "intent", (F.col("path_pos") - 1).alias("path_pos"), F.col("w").alias("w2"))
+    return t.join(b, ["category", "intent", "path_pos"]).select("category", "intent", *big("path_pos"), r6(routing.jaccard(F.col("w"), F.col("w2"))).alias("sim"))
+
+
+@query("select label_id, array_to_string(list_transform(regexp_extract_all(label, '[A-Z]?[a-z]+|[0-9]+'), lambda x: lower(x)), ' ') as tokens from bank_labels")
+def tokenize_labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "bank_labels").select("label_id", F.array_join(T.label_tokens("label"), " ").alias("tokens"))
+
+
+@query()
+def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return routing.greedy_dedup(table(spark, d, "bank"), keys=["category", "intent"], path="reasoning_path", pos="path_pos", threshold=0.3).select(
+        "category", "intent", *big("path_pos"), "kept", r6("score").alias("score"), F.array_join("near", ">").alias("near")
+    )
+
+
+@query()
+def bank_build(spark: SparkSession, d: str) -> DataFrame:
+    """From gold records to a bank, intents embedded offline by hashing."""
+    rows = B.taxonomy_rows(teacher(spark, d, "route", "gold_matches_answer", "response_payload"), "teacher_id")
+    return B.build_bank(rows, providers.embedded(rows, "intent")).select("category", "intent", *big("path_pos"), F.array_join("reasoning_path", ">", "~").alias("path"))
+
+
+@query(TEACH + """select teacher_id, cast(greatest(len(path), 1) as bigint) as budget, case when len(path) <= 2 then 1 else 2 end::bigint as difficulty, array_to_string(list_transform(path, lambda s: coalesce(s, '~')), '>') as path
+from (select teacher_id, case when len(route.reasoning_path) > 0 then route.reasoning_path when len(route.reasoning_path_options) > 0 then coalesce(route.reasoning_path_options[1], []) else [] end as path from t where route is not null)""")
+def base_routes(spark: SparkSession, d: str) -> DataFrame:
+    r = teacher(spark, d, "route").where("route is not null").select("teacher_id", B.base_route(F.col("route")).alias("b"))
+    return r.select("teacher_id", *[F.col(f"b.{c}").cast("bigint").alias(c) for c in ("budget", "difficulty")], F.array_join("b.reasoning_path", ">", "~").alias("path"))
+
+
+@query(TEACH + """select teacher_id, case when len(route.reasoning_path) > 0 and list_contains(route.reasoning_path_options, route.reasoning_path) then 'reasoning_path_bank' else 'llm_generated' end as source from t where route is not null and len(route.reasoning_path_options) > 0 and list_count(route.reasoning_path) = len(route.reasoning_path)""")
+def path_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the path of a record is one of its own options."""
+    r = teacher(spark, d, "route").where("size(route.reasoning_path_options) > 0 and route.reasoning_path is not null").where(~F.exists("route.reasoning_path", lambda s: s.isNull()))
+    base = F.col("route").withField("reasoning_path", F.lit(None).cast("array<string>"))
+    return r.select("teacher_id", B.path_source(F.col("route.reasoning_path"), base).alias("source"))
+
+
+@query(TEACH + SIGNED + """, l as (select category, intent, max(path_pos) as last from bank group by all)
+select category, intent, cast(path_pos as bigint) as path_pos, array_to_string(reasoning_path, '>') as path from bank union all select f.category, f.intent, coalesce(last, -1) + row_number() over (partition by f.category, f.intent order by o), array_to_string(path, '>') from f left join l using (category, intent)""")
+def merged_bank(spark: SparkSession, d: str) -> DataFrame:
+    """U-b, U-c, U-d: the bank with the routes of all records that it lacks."""
+    return B.merge_routes(table(spark, d, "bank"), signed(spark, d), "teacher_id").select("category", "intent", *big("path_pos"), F.array_join("reasoning_path", ">").alias("path"))
+
+
+@query("select category, intent, count(*) as n_paths from bank group by 1, 2")
+def bank_tree(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.bank_tree(table(spark, d, "bank"))
+
+
+@query("select category, intent, cast(path_pos as bigint) as path_pos, array_to_string(reasoning_path, '>') as path from bank")
+def bank_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The bank to its nested JSON and back."""
+    path = scratch_path(spark, "bank")
+    sinks.bank_json(table(spark, d, "bank")).coalesce(1).write.text(path)
+    return records.read_bank(spark, path).select("category", "intent", *big("path_pos"), F.array_join("reasoning_path", ">").alias("path"))
+
+
+# --- samples and perturbed routes
+
+
+@query("select lang, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 6) as percent from documents group by 1")
+def category_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.histogram(table(spark, d, "documents"), "lang").select("lang", *big("n"), r6("percent").alias("percent"))
+
+
+ALLOC = "c as (select {k} as k, count(*) as n, min({id}) as first from {t} group by 1), r as (select *, n * {x}.0 / sum(n) over () as raw from c), a as (select k, first, n, cast(floor(raw) as bigint) + (row_number() over (order by raw - floor(raw) desc, first) <= {x} - sum(cast(floor(raw) as bigint)) over ())::int as alloc from r)"
+
+
+@query("with " + ALLOC.format(k="lang", id="doc_id", t="documents", x=100) + " select k as lang, n, cast(alloc as bigint) as alloc from a")
+def proportional_alloc(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    return sampling.allocation(c, "n", 100, "first").select("lang", *big("n", "alloc"))
+
+
+@query("with " + ALLOC.format(k="source", id="doc_id", t="documents", x=200) + " select doc_id, source from (select doc_id, source, alloc, row_number() over (partition by source order by md5('42|' || doc_id), doc_id) as r from documents join a on documents.source is not distinct from a.k) where r <= alloc")
+def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.proportional_sample(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 200)
+
+
+@query("select id, dataset from (select distinct id, dataset from questions) order by id limit 30")
+def train_selection(spark: SparkSession, d: str) -> DataFrame:
+    return relations.first_by_text_id(table(spark, d, "questions").select("id", "dataset").distinct(), "id", 30)
+
+
+@query("select doc_id, source from documents where doc_id >= 100 and doc_id < 250")
+def slice_offset_limit(spark: SparkSession, d: str) -> DataFrame:
+    return records.read_slice(table(spark, d, "documents").select("doc_id", "source").withColumn("_pos", F.col("doc_id")), 100, 150).drop("_pos")
+
+
+@query("select id, count(*) as n from questions group by 1 having count(*) > 1")
+def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.duplicates(table(spark, d, "questions"), "id").select("id", *big("n"))
+
+
+@query("select count(*) as n_rows, count(distinct id) as n_ids from questions")
+def count_ids(spark: SparkSession, d: str) -> DataFrame:
+    return records.count_ids(table(spark, d, "questions").select("id"))
+
+
+def perturb_input(spark: SparkSession, d: str) -> DataFrame:
+    t = teacher(spark, d, "route").where("route is not null")
+    return t.select("teacher_id", "route.category", F.get("route.intent", F.lit(0)).alias("intent"), "route.budget", F.filter("route.reasoning_path", lambda s: s.isNotNull()).alias("reasoning_path"))
+
+
+@query()
+def random_donor(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.perturbed(perturb_input(spark, d), "random", "teacher_id", "teacher_id")
+
+
+@query()
+def randglobal_donor(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.perturbed(perturb_input(spark, d), "randglobal", "teacher_id", "teacher_id")
+
+
+# --- text quality, prompts and nested fields
+
+
+@query("select distinct id, case when answer is null then '' when contains(answer, '####') then trim(split_part(answer, '####', 1)) else '' end as rationale, case when answer is null then '' when contains(answer, '####') then trim(split_part(answer, '####', 2)) else trim(answer) end as answer from questions")
+def rationale_split(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "questions").select("id", "answer").distinct()
+    return q.select("id", T.answer_of_marked("answer").alias("r")).select("id", "r.rationale", "r.answer")
+
+
+STEP_SQL = r"case when text is null or not regexp_matches(text, '[^\s\x{00a0}\x{2000}-\x{200a}\x{3000}\x{0085}\x{1680}\x{2028}\x{2029}\x{202f}\x{205f}]') then 0 when len(regexp_extract_all(text, '(?im)^\s*(?:step\s+\d+[\s:\-]*|(?:\d+[\.\):])\s+|[-•*]\s+)')) >= 2 then len(regexp_extract_all(text, '(?im)^\s*(?:step\s+\d+[\s:\-]*|(?:\d+[\.\):])\s+|[-•*]\s+)')) else len(list_filter(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda x: regexp_matches(x, '[^\s\x{00a0}\x{2000}-\x{200a}\x{3000}\x{0085}\x{1680}\x{2028}\x{2029}\x{202f}\x{205f}]'))) end"
+
+
+@query(f"select doc_id, cast({STEP_SQL} as bigint) as n from documents")
+def step_count(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.step_count("text").cast("bigint").alias("n"))
+
+
+def _reasons_sql() -> str:
+    parts = [f"case when s < 2 then 'too_few_steps' end", "case when s > 6 then 'too_many_steps' end"]
+    parts += ["case when regexp_matches(text, '" + p + f"') then '{name}' end" for name, p in T.REJECT_PATTERNS.items()]
+    return "array_to_string(list_filter([" + ", ".join(parts) + "], lambda x: x is not null), ',')"
+
+
+@query(f"with n as (select doc_id, text, {STEP_SQL} as s from documents) select doc_id, case when s = 0 then 'empty' else {_reasons_sql()} end as reasons from n")
+def guidance_validate(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.reject_reasons("text"), ",").alias("reasons"))
+
+
+@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events where json_extract_string(props, '$.k') is not null")
+def json_nested_path(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k")).where("k is not null")
+
+
+@query("select distinct id, trim(question) || case when options is null or trim(options) = '' or contains(trim(question), trim(options)) then '' else chr(10) || 'Options:' || chr(10) || trim(options) end as text from questions where question is not null")
+def append_options(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "questions").where("question is not null").select("id", T.with_options("question", "options").alias("text")).distinct()
+
+
+@query("select distinct id, case when contains(lower(dataset), 'mc') or contains(lower(dataset), 'aqua') or contains(lower(dataset), 'arc') or contains(lower(dataset), 'gpqa') or contains(lower(dataset), 'choice') then 'choice' when contains(lower(dataset), 'strategy') or contains(lower(dataset), 'yesno') or contains(lower(dataset), 'bool') then 'text' else 'math' end as task from questions")
+def task_types(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "questions").select("id", P.task_of(F.col("dataset")).alias("task")).distinct()
+
+
+@query()
+def prompt_table(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts of all strategies for all questions."""
+    q = table(spark, d, "questions").select("id", "dataset", "question", "answer", "options").distinct()
+    return P.prompts(q, spark)
+
+
+@query("select distinct '[INST] ' || 'You are a careful tutor.' || chr(10) || chr(10) || trim(question) || ' [/INST] ' || coalesce(answer, '') as chat, id from questions where question is not null")
+def chat_messages(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "questions").where("question is not null").select("id", "question", "answer").distinct()
+    return q.select("id", T.chat_text(T.chat(F.lit("You are a careful tutor."), T.strip("question"), F.coalesce("answer", F.lit("")))).alias("chat"))
+
+
+@query("select doc_id, case when regexp_replace(regexp_replace(source, '[^0-9A-Za-z_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') <> '' then regexp_replace(regexp_replace(source, '[^0-9A-Za-z_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') else 'doc_' || lpad(cast(doc_id as varchar), 5, '0') end as name from documents where doc_id < 100000")
+def safe_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("doc_id < 100000").select("doc_id", T.safe_id("source", "doc", F.col("doc_id")).alias("name"))
+
+
+@query()
+def word2vec_vocab(spark: SparkSession, d: str) -> DataFrame:
+    """The vocabulary and vector sizes of word vectors trained on the tokens of the bank's paths."""
+    from pyspark.ml.feature import Word2Vec
+
+    s = table(spark, d, "bank").select(T.path_tokens("reasoning_path").alias("w"))
+    m = Word2Vec(vectorSize=100, windowSize=5, minCount=1, seed=42, inputCol="w", outputCol="v").fit(s)
+    path = scratch_path(spark, "word2vec")
+    m.getVectors().write.parquet(path)
+    return spark.read.parquet(path).select("word", F.size(F.udf(lambda v: v.toArray().tolist(), "array<double>")("vector")).alias("n"))
+
+
+# --- nested records (problem 4)
+
+P4_SQL = r"""
+with l as (select record_id, payload from (select *, row_number() over (partition by record_id order by (payload is not null) desc, received_at desc) as rn from second_round where record_id is not null) where rn = 1),
+j as (select record_id, payload::json as p from l where case when json_valid(payload) then json_type(payload) = 'OBJECT' else false end),
+o as (select record_id, p, case when json_type(p->'response_payload') = 'VARCHAR' then try_cast(p->>'response_payload' as json) else p->'response_payload' end as rp, p->'reasoning_path_final' as f from j),
+b as (select record_id, p, f, coalesce(nullif(p->'reasoning_path_bank', 'null'), nullif(p->'route', 'null'), nullif(rp->'route', 'null')) as b0 from o),
+r as (select record_id, p, case when json_type(b0) = 'VARCHAR' then (b0->>'$')::json else b0 end as b, case when json_type(f) = 'VARCHAR' then (f->>'$')::json else f end as f from b),
+x as (select record_id, child, v from (select record_id, unnest(['bank_intent', 'bank_path', 'final_intent', 'final_path']) as child, unnest([b->'intent', b->'reasoning_path', f->'intent', f->'reasoning_path']) as v from r) where v is not null),
+y as (select record_id, child, case when json_type(v) = 'VARCHAR' then case when trim(v->>'$') = '' then [] else [v] end when json_type(v) = 'ARRAY' then v::json[] else [] end as vs from x),
+e as (select record_id, child, 0 as outer_pos, generate_subscripts(vs, 1) - 1 as pos, unnest(vs)->>'$' as name from y),
+q as (select record_id, generate_subscripts(os, 1) - 1 as outer_pos, unnest(os) as ov from (select record_id, (b->'reasoning_path_options')::json[] as os from r where json_type(b->'reasoning_path_options') = 'ARRAY')),
+w as (select record_id, 'bank_option' as child, outer_pos, generate_subscripts(vs, 1) - 1 as pos, unnest(vs)->>'$' as name from (select record_id, outer_pos, ov::json[] as vs from q where json_type(ov) = 'ARRAY')),
+m as (select record_id, 'rationale' as child, 0 as outer_pos, generate_subscripts(ks, 1) - 1 as pos, unnest(ks) as name from (select record_id, json_keys(p->'rationale') as ks from r where json_type(p->'rationale') = 'OBJECT')),
+n as (select record_id, generate_subscripts(vs, 1) - 1 as outer_pos, unnest(vs) as sv from (select record_id, (p->'rationale')::json[] as vs from r where json_type(p->'rationale') = 'ARRAY')),
+s as (select record_id, 'check' as child, outer_pos, generate_subscripts(cs, 1) - 1 as pos, unnest(cs)->>'expr' as name from (select record_id, outer_pos, (sv->'checks')::json[] as cs from n where json_type(sv->'checks') = 'ARRAY')),
+a as (select record_id, 'sample' as child, 0 as outer_pos, generate_subscripts(vs, 1) - 1 as pos, unnest(vs)->>'pred' as name from (select record_id, (p->'samples')::json[] as vs from r where json_type(p->'samples') = 'ARRAY'))
+select record_id, child, cast(outer_pos as integer) as outer_pos, cast(pos as integer) as pos, name from (select * from e union all select * from w union all select * from m union all select record_id, 'rationale', 0, outer_pos, sv->>'step' from n union all select * from s union all select * from a)
+"""
+
+
+@query(P4_SQL)
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested.second_round_children(table(spark, d, "second_round"))
+
+
+@query()
+def p4_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The checks of the steps as one table by pivot: (record_id, step, pos, expr, ok)."""
+    t = nested.pivot(nested.second_round_triples(table(spark, d, "second_round")), "rationale[].checks[]", {"expr": "expr", "ok": "ok"})
+    return t.select(F.col("key").alias("record_id"), F.get("ordinals", F.lit(0)).alias("step"), F.get("ordinals", F.lit(1)).alias("pos"), "expr", "ok")
+
+
+@query()
+def p4_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Which tables and columns the records hold."""
+    return nested.explore(nested.second_round_triples(table(spark, d, "second_round")))
+
+
+# --- a stream (T-a to T-d)
+
+
+@query()
+def bank_growth_stream(spark: SparkSession, d: str) -> DataFrame:
+    """T-b, T-d: the teacher's routes as a stream into a bank that grows in steps; its summaries."""
+    from tracewell.streaming.growth import BankGrowth
+
+    path = scratch_path(spark, "growth")
+    once(table(spark, d, "teacher").select("teacher_id", "route", "gold_matches_answer", "ingested_at"), "teacher_id").select("route", "gold_matches_answer", F.col("teacher_id").alias("_at")).repartition(4).write.parquet(path + "/in")
+    g = BankGrowth(spark, path, threshold=20)
+    schema = spark.read.parquet(path + "/in").schema
+    g.start(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path + "/in"), path + "/checkpoint").awaitTermination()
+    return spark.read.parquet(g.history).select("summary.*")
+
+
+__all__ = ["oracle_sql", "queries", "written"]

@@ -37,11 +37,14 @@ def bank_json(bank: DataFrame) -> DataFrame:
 
     A bank is a small curated table; its size is that of the result.
     """
-    paths = F.transform(F.array_sort(F.collect_list(F.struct("path_pos", "reasoning_path"))), lambda x: x["reasoning_path"])
-    intents = bank.groupBy("category", "intent").agg(paths.alias("p"))
-    cats = intents.groupBy("category").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("intent", "p")))).alias("m"), F.count("*").alias("n"), F.sum(F.size("p")).alias("k"))
-    summary = F.struct(F.count("*").alias("unique_categories"), F.sum("n").alias("unique_intents"), F.sum("k").alias("unique_reasoning_paths"))
-    return cats.agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "m")))).alias("taxonomy"), summary.alias("summary"))).alias("value"))
+    member = lambda name, value: F.concat(F.regexp_replace(F.to_json(F.array(name)), r"^\[|\]$", ""), F.lit(":"), value)
+    listed = lambda pairs: F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(pairs), lambda x: x["json"]), ","), F.lit("}"))
+    paths = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("path_pos", "reasoning_path"))), lambda x: x["reasoning_path"]))
+    i = bank.groupBy("category", "intent").agg(paths.alias("p"), F.count("*").alias("k"))
+    c = i.groupBy("category").agg(listed(F.collect_list(F.struct("intent", member(F.col("intent"), F.col("p")).alias("json")))).alias("m"), F.count("*").alias("n"), F.sum("k").alias("k"))
+    summary = F.to_json(F.struct(F.count("*").alias("unique_categories"), F.sum("n").alias("unique_intents"), F.sum("k").alias("unique_reasoning_paths")))
+    tree = listed(F.collect_list(F.struct("category", member(F.col("category"), F.col("m")).alias("json"))))
+    return c.agg(F.concat(F.lit('{"taxonomy":'), tree, F.lit(',"summary":'), summary, F.lit("}")).alias("value"))
 
 
 def bank_tree(bank: DataFrame) -> DataFrame:
