@@ -67,7 +67,6 @@ class Ciphers:
         for k, (e, d) in enumerate(KEYS):
             if e in self.pages and d in self.pages:  # letter by letter
                 self.table[k] = {ord(c): self.pages[e][b] for b, c in reversed(list(enumerate(self.pages[d]))) if b >= 128}
-        self.kept: dict[str, list[tuple[int, str]]] = {}
 
     def as_bytes(self, word: str, read: str) -> bytes | None:
         if read == "gb18030":
@@ -101,12 +100,7 @@ class Ciphers:
 
     def readings(self, word: str) -> list[tuple[int, str]]:
         """(key, decoded) of all keys that give another text."""
-        got = self.kept.get(word)
-        if got is None:
-            got = [(k, x) for k in range(len(KEYS)) if (x := self.decode(word, k)) is not None and x != word]
-            if len(self.kept) < 200_000:
-                self.kept[word] = got
-        return got
+        return [(k, x) for k in range(len(KEYS)) if (x := self.decode(word, k)) is not None and x != word]
 
 
 def signs(s: str) -> list[str]:
@@ -181,7 +175,7 @@ class Model:
         if got is None:
             as_is = self.language.log(word)
             got = [(k, x, d) for k, x in self.ciphers.readings(word) if (d := self.language.log(x) - as_is) > -4.0]
-            if len(self.seen) < 300_000:
+            if len(self.seen) < 100_000:
                 self.seen[word] = got
         return got
 
