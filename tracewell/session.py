@@ -55,6 +55,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all shuffle partitions by its keys. Small rows that cost much work each would else be put into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only if df is proven to have at most max_rows rows; else leave the join to the planner.
 
