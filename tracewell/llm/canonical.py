@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from tracewell.session import bounded
+from tracewell.session import bounded, spread
 
 # Function words, which carry no weight.
 FUNCTION_WORDS = frozenset("a an the and or of by to for in into on from with per at as is are that when".split())
@@ -226,7 +226,7 @@ def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
 def repairs(spark: SparkSession, labels: DataFrame, cut: DataFrame) -> DataFrame:
     """(kind, token, compound, word, sim): vocabulary words that each distinct token may have meant."""
     forms = labels.select("kind", "label_id", "label").coalesce(1).mapInPandas(_forms, FILED).distinct()
-    asked = cut.select("kind", "token", "compound", "dot").where("token <> ''").distinct().mapInPandas(_probed, PROBED)
+    asked = spread(cut.select("kind", "token", "compound", "dot").where("token <> ''").distinct(), "kind", "token").mapInPandas(_probed, PROBED)
     met = (
         asked.join(bounded(forms, MAX_FORMS), ["kind", "compound", "n", "seg", "piece"])
         .select("kind", "token", "compound", "dot", "form", "word", "edits", "sim")
@@ -298,9 +298,9 @@ def map_labels(values: DataFrame, labels: DataFrame) -> DataFrame:
     spark = values.sparkSession
     v = values.select("kind", "value").where(F.trim("value") != "").distinct()
     lab = labels.select("kind", F.col("label_id").cast("bigint").alias("label_id"), "label").where("label is not null")
-    cut = v.repartition("kind", "value").mapInPandas(_cut, CUT)
+    cut = spread(v, "kind", "value").mapInPandas(_cut, CUT)
     rep = repairs(spark, lab, cut)
-    hits = cut.join(rep, ["kind", "token", "compound"], "left")
+    hits = spread(cut.join(rep, ["kind", "token", "compound"], "left"), "kind", "value")
     per_value = hits.groupBy("kind", "value").agg(
         F.collect_set(F.when(F.col("i") >= 0, F.struct("i", "token"))).alias("ts"),
         F.collect_set(F.when(F.col("word").isNotNull(), F.struct("i", "word", "sim"))).alias("hits"),
