@@ -60,7 +60,7 @@ def quotas(rows: list[tuple[int, int, int, int, int]], n: int) -> dict[int, int]
     What a target can't give is spread over those with records to spare, by their shares (largest remainders); what the
     minimums and the rounding up add is trimmed the same way, never below a minimum.
     """
-    got = {t: min(need, have) for t, _, _, need, have in rows}
+    got = {t: min(max(need, low), have) for t, _, low, need, have in rows}
     floor = {t: min(low, have) for t, _, low, _, have in rows}
     while (gap := n - sum(got.values())) != 0:
         room = {t: (have - got[t] if gap > 0 else got[t] - floor[t]) for t, _, _, _, have in rows}
