@@ -72,3 +72,8 @@ def test_limits(spark):
     rows = [("a", "x" * 512)] * 30 + [("a", "x" * (300 + i)) for i in range(150)] + [("b", "x" * (400 + i)) for i in range(100)]
     got = P.limits(spark.createDataFrame(rows, "source string, value string")).collect()
     assert [(r["source"], r["size_limit"]) for r in got] == [("a", 512)]
+
+
+def test_no_defects_at_all(spark):
+    p = spark.createDataFrame([(i, "s", Q, "69", None, LONG + "\nAnswer: 69") for i in range(50)], "pred_id long, source string, question string, gold_ans string, options string, model_response string")
+    assert P.truncated(p).count() == 0

@@ -280,8 +280,9 @@ def with_defects(pairs: DataFrame, shortened: bool = False) -> DataFrame:
         rules = Rules()
         for pdf in batches:
             out = [rules.defect(f, q, o, v, shortened) for f, q, o, v in zip(pdf["field"], pdf["question"], pdf["options"], pdf["value"], strict=True)]
-            pdf = pdf[["tbl", "row_id", "field"]].assign(defect=out)
-            yield pdf[pdf["defect"].notna()]
+            rows = [(t, i, f, d) for t, i, f, d in zip(pdf["tbl"], pdf["row_id"], pdf["field"], out, strict=True) if d]
+            if rows:
+                yield pd.DataFrame(rows, columns=["tbl", "row_id", "field", "defect"])
 
     return pairs.where(F.col("value").isNull() | ~F.col("value").rlike(PLAIN)).mapInPandas(classify, DEFECT)
 
