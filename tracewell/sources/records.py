@@ -99,7 +99,8 @@ def read_records(spark: SparkSession, path: str | list[str], *, wrapper_keys: tu
                             continue
                         if isinstance(x, dict):
                             found.append(json.dumps(x, ensure_ascii=False))
-                yield pd.DataFrame({"raw": found, "file": file, "_pos": range(len(found))})
+                if found:
+                    yield pd.DataFrame({"raw": found, "file": file, "_pos": range(len(found))})
 
     return whole.mapInPandas(parse, "raw string, file string, _pos long")
 
