@@ -123,6 +123,8 @@ class Language:
             self.first[a] += n
             self.single[b] += n
         self.total = sum(self.single.values())
+        # a letter seen seldom says little about its successors: without this, rare garbled words would back each other up
+        self.trust = max(20.0, self.total / 300)
 
     def log(self, s: str) -> float:
         out, before = 0.0, "^"
@@ -130,7 +132,7 @@ class Language:
             a = shape(before)
             if c > "\x7f" or before > "\x7f":
                 p = (self.single.get(c, 0.0) + 0.02) / (self.total + 200.0)
-                out += math.log((self.pairs.get((a, c), 0.0) + 3.0 * p) / (self.first.get(a, 0.0) + 3.0))
+                out += math.log((self.pairs.get((a, c), 0.0) + self.trust * p) / (self.first.get(a, 0.0) + self.trust))
             before = c
         return out
 
