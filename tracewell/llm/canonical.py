@@ -5,7 +5,7 @@ vocabulary by edit distance (segment filter, then exact distance), and the repai
 to rank the complete entries. The vocabulary also holds each entry written without spaces ("compound" tokens), so that
 glued or wrongly cut values are repaired by the same join.
 
-The edit-distance join has no cross product: a token within d edits of a word shares one of d + 1 segments of the word,
+The edit-distance join has no cross product: a token within d edits of a word shares one of d + 2 segments of the word,
 shifted by at most d places, so both sides meet in an equi-join on (kind, word length, segment number, segment).
 """
 
@@ -40,7 +40,7 @@ LOOKALIKE = dict(zip("аеорсухіјѕԁԛԝһкмтвнАЕОРСУХІЈЅ
 SAME = (
     "draw make sketch", "all every each", "spot notice recognize", "compute calculate", "assign name", "identify determine",
     "select choose pick", "last units final", "set write", "check verify test", "find get", "compare weigh", "list enumerate",
-    "convert change", "estimate guess", "explain clarify", "split divide", "share distribute", "recall remember", "use apply",
+    "convert change conversion", "estimate guess", "explain clarify", "split divide", "share distribute", "recall remember", "use apply",
     "restate repeat", "reject discard", "eliminate discard", "locate find", "sort order", "match pair", "build construct",
     "read inspect", "reduce simplify", "round approximate", "deduct subtract", "extend continue", "combine merge",
 )
@@ -117,8 +117,8 @@ def budget(n: int, compound: bool) -> int:
 
 
 def segments(word: str, edits: int) -> list[tuple[int, int, str]]:
-    """(number, start, text) of edits + 1 pieces of nearly equal length."""
-    k, out, at = edits + 1, [], 0
+    """(number, start, text) of edits + 2 pieces of nearly equal length (a swap of two letters may fall into two of them)."""
+    k, out, at = min(edits + 2, max(1, len(word))), [], 0
     for i in range(k):
         n = (len(word) - at) // (k - i)
         out.append((i, at, word[at : at + n]))
@@ -139,8 +139,16 @@ def probes(token: str, compound: bool) -> list[tuple[int, int, str]]:
     return list(out)
 
 
-def compounds(words: list[str]) -> dict[str, float]:
-    """Ways to write an entry in one piece, with how sure each is: whole, without function words, turned, abbreviated, verb in -ing."""
+def synonyms() -> dict[str, set[str]]:
+    out: dict[str, set[str]] = {}
+    for group in map(str.split, SAME):
+        for w in group:
+            out.setdefault(stem(w), set()).update(group)
+    return out
+
+
+def compounds(words: list[str], same: dict[str, set[str]]) -> dict[str, float]:
+    """Ways to write an entry in one piece, with how sure each is: whole, without function words, turned, with a synonym, abbreviated, verb in -ing."""
     content = [w for w in words if w not in FUNCTION_WORDS]
     out: dict[str, float] = {}
 
@@ -154,6 +162,15 @@ def compounds(words: list[str]) -> dict[str, float]:
     for base in (words, content):
         for i in range(1, len(base)):
             put(base[i:] + base[:i], 0.95)
+    for i, w in enumerate(words):
+        for o in same.get(stem(w), ()):
+            if o != w and w not in FUNCTION_WORDS:
+                put([*words[:i], o, *words[i + 1 :]], 0.92)
+                if i == 0:
+                    put([o, "the", *words[1:]], 0.91)
+    if len(content) == 2:
+        put([content[1], "that", "are", content[0]], 0.92)
+        put([content[1], "of", content[0]], 0.92)
     first = words[0]
     for ing in {first + "ing", first.rstrip("e") + "ing", first + first[-1] + "ing"}:
         put([ing, *words[1:]], 0.97)
@@ -173,10 +190,7 @@ EXACT = -1  # the "word length" under which forms are filed that take no edits
 
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Every way a vocabulary word may be written: itself (with edits), its beginnings, its stem, its synonyms, its compounds."""
-    same: dict[str, set[str]] = {}
-    for group in map(str.split, SAME):
-        for w in group:
-            same.setdefault(stem(w), set()).update(group)
+    same = synonyms()
     for pdf in batches:
         rows = set()
         for kind, label_id, label in zip(pdf["kind"], pdf["label_id"], pdf["label"], strict=True):
@@ -187,7 +201,7 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     rows.add((kind, "~" + stem(w), w, False, False, 0.97))
                     rows |= {(kind, w[:n] + ".", w, False, False, 0.9) for n in range(2, len(w))}
                     rows |= {(kind, "~" + stem(o), w, False, False, 0.93) for o in same.get(stem(w), ()) if stem(o) != stem(w)}
-            for c, sure in compounds(ws).items() if ws else ():
+            for c, sure in compounds(ws, same).items() if ws else ():
                 rows.add((kind, c, f"={label_id}", True, True, sure))
         filed = []
         for r in rows:

@@ -228,7 +228,7 @@ class Rules:
             return len(re.findall(r"[^\W\d_]{2,}", s)) >= 3 and not re.search(r"[.!?。！？:;)\]}\"'”»]$", s)
         if ANSWER_END.search(s[-120:]):
             return False
-        if re.search(r"[.!?。！？”»\])}\"'*`]$", s):
+        if re.search(r"[.!?。！？]$", s) or (re.search(r"[”»\])}\"'`]$|\S\*\*$", s) and (has_answer(s) or len(s) < 60)):
             return False
         return len(s) >= 25 or len(re.findall(r"[^\W\d_]+", s)) >= 4
 
