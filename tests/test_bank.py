@@ -40,13 +40,14 @@ def test_dbscan():
     assert list(cluster.dbscan(x, 0.25, 3)) == brute_dbscan(x, 0.25, 3)
 
 
-def test_dbscan_joined(spark):
-    x = points(80)
-    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, v array<double>")
-    got = {r["id"]: r["cluster"] for r in cluster.dbscan_joined(df, key="id", vec="v", eps=0.25, min_samples=3).collect()}
-    want = brute_dbscan(x, 0.25, 3)
-    first = {c: next(i for i in range(len(x)) if want[i] == c and sum(np.linalg.norm(x[i] - y) <= 0.25 for y in x) >= 3) for c in set(want) - {-1}}
-    assert got == {i: first.get(want[i]) for i in range(len(x))}
+def test_weights_stand_for_repeats():
+    x = points(60)
+    w = np.random.default_rng(2).integers(1, 4, len(x))
+    many = np.repeat(x, w, axis=0)
+    first = np.concatenate([[0], np.cumsum(w)[:-1]])
+    assert list(cluster.dbscan(x, 0.2, 4, w)) == list(np.array(cluster.dbscan(many, 0.2, 4))[first])
+    a, b = cluster.reduce_dims(x, 2, w), cluster.reduce_dims(many, 2)[first]
+    assert np.allclose(np.abs(a), np.abs(b))
 
 
 def test_pca_keeps_distances():

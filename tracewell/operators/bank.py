@@ -132,8 +132,9 @@ def canonical_map(members: DataFrame, clusters: DataFrame, pos: str) -> DataFram
 
 def build_bank(rows: DataFrame, vectors: DataFrame, *, eps: float = 0.25, min_samples: int = 2) -> DataFrame:
     """(category, intent, path_pos, reasoning_path) from taxonomy_rows and (intent, vec): cluster, rename, first distinct paths in order."""
-    members = rows.select("category", "intent", "_pos")
-    clusters = cluster_groups(members.join(vectors, "intent"), group="category", key="_pos", vec="vec", eps=eps, min_samples=min_samples)
+    # each distinct intent once, with how often it occurs (T10) and where first
+    members = rows.groupBy("category", "intent").agg(F.min("_pos").alias("_pos"), F.count("*").alias("_n"))
+    clusters = cluster_groups(members.join(vectors, "intent"), group="category", key="_pos", vec="vec", weight="_n", eps=eps, min_samples=min_samples)
     names = canonical_map(members, clusters, "_pos")
     named = rows.join(names, ["category", "intent"], "left").withColumn("intent", F.coalesce("canonical", trim_words(F.col("intent"), 4))).drop("canonical")
     d = ordered_distinct(named, KEY, "_pos")

@@ -7,30 +7,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.session import written
 
-
-def reduce_dims(x: np.ndarray, dims: int = 5) -> np.ndarray:
-    """M2: principal components, as many as rows, columns and dims allow; signs are free, distances aren't."""
-    k = min(dims, *x.shape)
-    centred = x - x.mean(axis=0)
-    _, _, vt = np.linalg.svd(centred, full_matrices=False)
+def reduce_dims(x: np.ndarray, dims: int = 5, weight: np.ndarray | None = None) -> np.ndarray:
+    """M2: principal components, as many as rows, columns and dims allow; signs are free, distances aren't. weight: how often each row counts."""
+    w = np.ones(len(x)) if weight is None else weight.astype(float)
+    k = min(dims, int(w.sum()), x.shape[1])
+    centred = x - np.average(x, axis=0, weights=w)
+    _, _, vt = np.linalg.svd(centred * np.sqrt(w)[:, None], full_matrices=False)
     return centred @ vt[:k].T
 
 
-def dbscan(x: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
+def dbscan(x: np.ndarray, eps: float, min_samples: int, weight: np.ndarray | None = None) -> np.ndarray:
     """M3: cluster numbers by lowest core index, -1 for noise; a point is its own neighbour; a border point joins the lowest cluster.
 
-    Distances are made a block of rows at a time, so memory grows with the rows and not with their square.
+    weight: how often each point occurs, so that repeats needn't be rows of their own. Distances are made row by row, so
+    memory holds the neighbours only.
     """
     n = len(x)
-    near: list[np.ndarray] = []
-    for i in range(0, n, 512):
-        d = np.sqrt(np.maximum(((x[i : i + 512, None, :] - x[None, :, :]) ** 2).sum(-1), 0)) if n <= 2048 else None
-        for j in range(i, min(n, i + 512)):
-            row = d[j - i] if d is not None else np.sqrt(((x - x[j]) ** 2).sum(-1))
-            near.append(np.flatnonzero(row <= eps))
-    core = np.array([len(a) >= min_samples for a in near])
+    w = np.ones(n, dtype=int) if weight is None else weight
+    near = [np.flatnonzero(np.sqrt(((x - x[j]) ** 2).sum(-1)) <= eps) for j in range(n)]
+    core = np.array([w[a].sum() >= min_samples for a in near], dtype=bool)
     label = np.full(n, -1)
     cluster = 0
     for i in range(n):
@@ -48,51 +44,20 @@ def dbscan(x: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
     return label
 
 
-def cluster_groups(df: DataFrame, *, group: str, key: str, vec: str, eps: float = 0.25, min_samples: int = 2, dims: int = 5) -> DataFrame:
-    """(group, key, cluster): PCA and DBSCAN of each group, rows in order of key. For groups that fit a task, as intents of a category do."""
+def cluster_groups(df: DataFrame, *, group: str, key: str, vec: str, weight: str | None = None, eps: float = 0.25, min_samples: int = 2, dims: int = 5) -> DataFrame:
+    """(group, key, cluster): PCA and DBSCAN of each group, rows in order of key.
+
+    A group is one task's work, so give each distinct point once with its weight: a category's rows may be a third of all, its distinct
+    intents are few.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_key", kind="stable", key=lambda c: c.map(lambda k: tuple(k.values()) if isinstance(k, dict) else k))
         x = np.vstack([np.asarray(v, dtype=float) for v in pdf["_vec"]])
-        return pd.DataFrame({"_group": pdf["_group"], "_key": pdf["_key"], "cluster": dbscan(reduce_dims(x, dims), eps, min_samples)})
+        w = pdf["_weight"].to_numpy()
+        return pd.DataFrame({"_group": pdf["_group"], "_key": pdf["_key"], "cluster": dbscan(reduce_dims(x, dims, w), eps, min_samples, w)})
 
-    d = df.where(F.col(vec).isNotNull()).select(F.col(group).alias("_group"), F.col(key).alias("_key"), F.col(vec).alias("_vec"))
+    n = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    d = df.where(F.col(vec).isNotNull()).select(F.col(group).alias("_group"), F.col(key).alias("_key"), F.col(vec).alias("_vec"), n.alias("_weight"))
     schema = f"_group {d.schema['_group'].dataType.simpleString()}, _key {d.schema['_key'].dataType.simpleString()}, cluster int"
     return d.groupBy("_group").applyInPandas(run, schema).toDF(group, key, "cluster")
-
-
-def dbscan_joined(points: DataFrame, *, key: str, vec: str, eps: float, min_samples: int = 2, rounds: int = 30) -> DataFrame:
-    """M3 without groups in memory: (key, cluster), cluster the lowest key of its cores, null for noise.
-
-    Pairs within eps come from a grid of cells of width eps over the first dimensions (at most 3): a point meets only its own and
-    the neighbouring cells, by an equi-join. Components of the cores grow by the lowest neighbour with pointer jumping, each round
-    written to the shared folder; links stay distributed. A cell denser than its neighbours makes a hot key, which AQE splits.
-    """
-    p = points.select(F.col(key).cast("bigint").alias("k"), F.col(vec).cast("array<double>").alias("v"))
-    dims = min(3, p.select(F.max(F.size("v"))).first()[0] or 1)
-    cell = [F.floor(F.get("v", F.lit(i)) / eps).cast("bigint") for i in range(dims)]
-    own = p.withColumn("c", F.array(*cell))
-    shifts = F.array(*[F.lit(s) for s in (-1, 0, 1)])
-    around = own
-    for i in range(dims):
-        around = around.withColumn(f"s{i}", F.explode(shifts))
-    around = around.withColumn("c", F.array(*[F.get("c", F.lit(i)) + F.col(f"s{i}") for i in range(dims)])).select(F.col("k").alias("k2"), F.col("v").alias("v2"), "c")
-    d2 = F.aggregate(F.zip_with("v", "v2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    links = written(own.join(around, "c").where(F.sqrt(d2) <= eps).select("k", "k2"), "links")
-    core = links.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("k")
-    cl = written(links.join(core, "k").join(core.withColumnRenamed("k", "k2"), "k2"), "cores")
-    comp = written(cl.groupBy("k").agg(F.min("k2").alias("c")), "component")
-    for _ in range(rounds):
-        low = cl.join(comp.withColumnRenamed("k", "k2"), "k2").groupBy("k").agg(F.min("c").alias("c"))
-        jumped = low.join(comp.select(F.col("k").alias("c"), F.col("c").alias("c2")), "c", "left").select("k", F.least("c", "c2").alias("c"))
-        new = written(jumped, "component")
-        changed = new.join(comp.withColumnRenamed("c", "old"), "k").where("c <> old").limit(1).count()
-        comp = new
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"components still change after {rounds} rounds")
-    border = links.join(comp.withColumnRenamed("k", "k2"), "k2").groupBy("k").agg(F.min("c").alias("cluster"))
-    return p.select("k").join(border, "k", "left").withColumnRenamed("k", key)
-
-

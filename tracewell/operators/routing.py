@@ -36,12 +36,13 @@ def unit(df: DataFrame, vec: str) -> DataFrame:
 BLOCK_ROWS = 4096
 
 
-def route_argmax(questions: DataFrame, intents: DataFrame, *, q_id: str, q_vec: str, i_pos: str, i_vec: str, label: list[str], max_intents: int = 200_000) -> DataFrame:
+def route_argmax(questions: DataFrame, intents: DataFrame, *, q_id: str, q_vec: str, i_pos: str, i_vec: str, label: list[str], max_intents: int = 200_000, not_self: bool = False) -> DataFrame:
     """For each question the intent of highest cosine, the first by position among equals: (q_id, label..., score).
 
     A stated set of intents is scored against all questions in blocks: the intents (checked against max_intents, an error beyond) are laid
     out in blocks of BLOCK_ROWS rows, broadcast once, and each question keeps only its best of each block, so nothing wider than
-    one row for each question and block is ever shuffled.
+    one row for each question and block is ever shuffled. not_self: a question that is itself one of the intents (position = id) isn't
+    routed to itself.
     """
     n = intents.limit(max_intents + 1).count()
     if n > max_intents:
@@ -50,13 +51,15 @@ def route_argmax(questions: DataFrame, intents: DataFrame, *, q_id: str, q_vec:
     blocks = cand.groupBy(F.pmod(F.xxhash64("_pos"), F.lit(max(1, n // BLOCK_ROWS))).alias("_block")).agg(F.collect_list(F.struct("_pos", "_iu", *label)).alias("_cands"))
     q = unit(questions, q_vec).select(q_id, F.col("_u").alias("_qu"))
     best = lambda c: F.struct(dot(F.col("_qu"), c["_iu"]).alias("score"), (-c["_pos"]).alias("_neg"), *[c[x].alias(x) for x in label])
-    each = q.crossJoin(F.broadcast(blocks)).select(q_id, F.array_max(F.transform("_cands", best)).alias("b"))
+    score = (lambda c: F.when(c["_pos"] != F.col(q_id), best(c))) if not_self else best
+    each = q.crossJoin(F.broadcast(blocks)).select(q_id, F.array_max(F.transform("_cands", score)).alias("b")).where("b is not null")
     return each.groupBy(q_id).agg(F.max("b").alias("b")).select(q_id, *[F.col(f"b.{x}").alias(x) for x in label], F.col("b.score").alias("score"))
 
 
-def top_k_paths(routed: DataFrame, bank: DataFrame, *, q_id: str, q_vec: str, keys: list[str], path: str, pos: str, p_vec: str, k: int) -> DataFrame:
+def top_k_paths(routed: DataFrame, bank: DataFrame, *, q_id: str, q_vec: str, keys: list[str], path: str, pos: str, p_vec: str, k: int, not_self: bool = False) -> DataFrame:
     """The k best paths (at least one) of the bucket each question was routed to; the first by position among equals."""
-    scored = routed.join(bank, keys).withColumn("score", cosine(F.col(q_vec), F.col(p_vec)))
+    both = routed.join(bank, keys)
+    scored = (both.where(F.col(pos) != F.col(q_id)) if not_self else both).withColumn("score", cosine(F.col(q_vec), F.col(p_vec)))
     w = Window.partitionBy(q_id).orderBy(F.desc("score"), F.asc(pos))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(1, k)).select(q_id, *keys, "rank", path, "score")
 

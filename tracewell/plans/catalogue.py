@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import answers as A
+from tracewell.functions import loose as L
 from tracewell.functions import text as T
 from tracewell.operators import bank as B
 from tracewell.operators import cluster, metrics, nested, providers, relations, routing, sampling
 from tracewell.plans import prompts as P
-from tracewell.session import scratch_path, table, written
+from tracewell.session import scratch_path, table
 from tracewell.sources import records, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,32 +120,32 @@ def most_frequent_path(spark: SparkSession, d: str) -> DataFrame:
 
 # --- vector routing
 
-VECTORS = "with q as (select vec_id, embedding::double[] as v from embeddings where vec_id % 5 = 0), b as (select vec_id as pos, label, embedding::double[] as v from embeddings where vec_id % 5 <> 0)"
+VECTORS = "with q as (select vec_id, embedding::double[] as v from embeddings where vec_id % 20 = 0), b as (select vec_id as pos, label, embedding::double[] as v from embeddings)"
 
 
 def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings")
-    return e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0").withColumnRenamed("vec_id", "pos")
+    return e.where("vec_id % 20 = 0"), e.withColumnRenamed("vec_id", "pos")
 
 
 def routed(spark: SparkSession, d: str) -> DataFrame:
     q, b = vectors(spark, d)
-    return routing.route_argmax(q, b, q_id="vec_id", q_vec="embedding", i_pos="pos", i_vec="embedding", label=["label"])
+    return routing.route_argmax(q, b, q_id="vec_id", q_vec="embedding", i_pos="pos", i_vec="embedding", label=["label"], not_self=True)
 
 
-@query(VECTORS + " select vec_id, label, round(s, 6) as score from (select q.vec_id, b.label, list_cosine_similarity(q.v, b.v) as s, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.v, b.v) desc, b.pos) as r from q, b) where r = 1")
+@query(VECTORS + " select vec_id, label, round(s, 6) as score from (select q.vec_id, b.label, list_cosine_similarity(q.v, b.v) as s, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.v, b.v) desc, b.pos) as r from q, b where q.vec_id <> b.pos) where r = 1")
 def route_argmax(spark: SparkSession, d: str) -> DataFrame:
     return routed(spark, d).select("vec_id", "label", r6("score").alias("score"))
 
 
-@query(VECTORS + """, a as (select vec_id, label from (select q.vec_id, b.label, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.v, b.v) desc, b.pos) as r from q, b) where r = 1)
+@query(VECTORS + """, a as (select vec_id, label from (select q.vec_id, b.label, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.v, b.v) desc, b.pos) as r from q, b where q.vec_id <> b.pos) where r = 1)
 select vec_id, label, cast(r as bigint) as rank, pos, round(s, 6) as score from (select a.vec_id, a.label, b.pos, list_cosine_similarity(q.v, b.v) as s, row_number() over (partition by a.vec_id order by list_cosine_similarity(q.v, b.v) desc, b.pos) as r
-from a join q using (vec_id) join b using (label)) where r <= 3""")
+from a join q using (vec_id) join b using (label) where a.vec_id <> b.pos) where r <= 3""")
 def route_topk_paths(spark: SparkSession, d: str) -> DataFrame:
     q, b = vectors(spark, d)
     a = routed(spark, d).select("vec_id", "label").join(q.select("vec_id", "embedding"), "vec_id")
     bank = b.select("label", "pos", F.col("embedding").alias("pv"), F.col("pos").alias("p"))
-    return routing.top_k_paths(a, bank, q_id="vec_id", q_vec="embedding", keys=["label"], path="p", pos="pos", p_vec="pv", k=3).select("vec_id", "label", *big("rank"), F.col("p").alias("pos"), r6("score").alias("score"))
+    return routing.top_k_paths(a, bank, q_id="vec_id", q_vec="embedding", keys=["label"], path="p", pos="pos", p_vec="pv", k=3, not_self=True).select("vec_id", "label", *big("rank"), F.col("p").alias("pos"), r6("score").alias("score"))
 
 
 @query("with e as (select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) - 1 as i from embeddings) select label, cast(i as bigint) as i, round(avg(x), 6) as x from e group by label, i")
@@ -160,12 +161,6 @@ def dbscan_labels(spark: SparkSession, d: str) -> DataFrame:
     return cluster.cluster_groups(table(spark, d, "embeddings"), group="label", key="vec_id", vec="embedding", eps=0.4)
 
 
-@query()
-def dbscan_joined(spark: SparkSession, d: str) -> DataFrame:
-    """M3 without groups in memory, over all vectors."""
-    return cluster.dbscan_joined(table(spark, d, "embeddings"), key="vec_id", vec="embedding", eps=1.1)
-
-
 # --- filters and joins between runs (P2, P3, J3-J7, J15, U-a)
 
 
@@ -644,6 +639,42 @@ def word2vec_vocab(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select("word", F.size(F.udf(lambda v: v.toArray().tolist(), "array<double>")("vector")).alias("n"))
 
 
+@query("select distinct coalesce(id, '') as id, coalesce(dataset, '') as dataset, coalesce(question, '') as question, coalesce(answer, '') as answer, coalesce(options, '') as options from questions")
+def stringify_rows(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.stringified(table(spark, d, "questions").select("id", "dataset", "question", "answer", "options")).distinct()
+
+
+@query()
+def plain_rationales(spark: SparkSession, d: str) -> DataFrame:
+    """the rationales of all teacher records as plain sentences."""
+    return teacher(spark, d, "response_rationale").select("teacher_id", L.plain_text("response_rationale").alias("text"))
+
+
+@query()
+def parsed_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Rationale and answer of every response, by the teacher's rules."""
+    return predictions(spark, d, "model_response").select("pred_id", L.parsed_output(F.col("model_response")).alias("r")).select("pred_id", F.col("r.ans.k").alias("kind"), F.col("r.ans.s").alias("text"), F.col("r.ans.n").alias("number"), F.col("r.payload").isNotNull().alias("is_json"))
+
+
+@query(RUNS + ", z as (select dataset, method, run, acc from v), a0 as (select dataset, method as arm, avg(acc) as m, var_samp(acc) as v, count(*) as n from z where method in ('CoT', 'SGFT') group by 1, 2), w as (select a.dataset, a.m - b.m as gap, a.v / a.n as sa, b.v / b.n as sb, a.n as na, b.n as nb from a0 a join a0 b on a.dataset = b.dataset and a.arm = 'SGFT' and b.arm = 'CoT' and a.n > 1 and b.n > 1), x as (select *, case when sa + sb > 0 then (sa + sb) * (sa + sb) / (sa * sa / (na - 1) + sb * sb / (nb - 1)) else 1.0 end as df from w), y as (select *, (" + T_SQL + ") * sqrt(sa + sb) as h from x) select round(avg(gap), 6) as gap, round(avg(gap) - sqrt(sum(h * h)) / count(*), 5) as lo, round(avg(gap) + sqrt(sum(h * h)) / count(*), 5) as hi from y")
+def average_gap(spark: SparkSession, d: str) -> DataFrame:
+    """The gap of one method against the baseline, averaged over the datasets."""
+    r = runs(spark, d)
+    names = [x["dataset"] for x in r.select("dataset").distinct().limit(100).collect()]
+    gaps = None
+    for n in sorted(names):
+        g = metrics.welch_gaps(r.where((F.col("dataset") == n) & F.col("method").isin("CoT", "SGFT")), "acc", "method", "CoT")
+        gaps = g if gaps is None else gaps.unionByName(g)
+    return metrics.average_gap(gaps).select(r6("gap").alias("gap"), F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"))
+
+
+@query()
+def guided_replies(spark: SparkSession, d: str) -> DataFrame:
+    """An offline provider asked for every question's guidance, checked, asked once more where it fails."""
+    q = table(spark, d, "questions").where("question is not null").select("id", F.lit("Give steps.").alias("system"), F.col("question").alias("user")).distinct()
+    return providers.validated(q, lambda: (lambda system, user: user), key="id", reasons=T.reject_reasons, retry_suffix="\nOnly high-level steps.").select("id", "valid", "retried", F.array_join("reasons", ",").alias("reasons"))
+
+
 # --- nested records (problem 4)
 
 P4_SQL = r"""
@@ -699,4 +730,4 @@ def bank_growth_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(g.history).select("summary.*")
 
 
-__all__ = ["oracle_sql", "queries", "written"]
+__all__ = ["oracle_sql", "queries"]
