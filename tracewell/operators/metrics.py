@@ -37,14 +37,17 @@ def labelled(scored: DataFrame, *keep: str) -> DataFrame:
     return scored.select(*keep, gold.alias("gold"), F.when(F.col("_ok"), gold).otherwise(pred).alias("pred"), F.col("_ok").alias("correct"))
 
 
-def format_validity(df: DataFrame, response: str, *by: str) -> DataFrame:
-    """A3, A4: (by..., total, parsed, parsed_gold, parsed_correct): JSON answers that parse, those with a gold answer, those that match."""
+def with_validity(df: DataFrame, response: str) -> DataFrame:
+    """A3, A4: df with _parsed (a JSON answer parses), _gold_there and _parsed_ok (it matches)."""
     s = df.withColumn("_gold", A.gold_answer(df)).withColumn("_json", A.text_ans(F.col(response)))
-    s = s.withColumn("_m", A.matches(A.normalize(F.col("_gold")), A.normalize(F.col("_json"))))
-    has, gold = F.col("_json").isNotNull(), F.col("_gold").isNotNull()
-    return s.groupBy(*by).agg(
-        F.count("*").alias("total"), F.count_if(has).alias("parsed"), F.count_if(has & gold).alias("parsed_gold"), F.count_if(has & gold & F.col("_m")).alias("parsed_correct")
-    )
+    ok = A.matches(A.normalize(F.col("_gold")), A.normalize(F.col("_json")))
+    return s.withColumns({"_parsed": F.col("_json").isNotNull(), "_gold_there": F.col("_gold").isNotNull(), "_parsed_ok": ok})
+
+
+def format_validity(checked: DataFrame, *by: str) -> DataFrame:
+    """A3, A4: (by..., total, parsed, parsed_gold, parsed_correct) of rows from with_validity()."""
+    both = F.col("_parsed") & F.col("_gold_there")
+    return checked.groupBy(*by).agg(F.count("*").alias("total"), F.count_if("_parsed").alias("parsed"), F.count_if(both).alias("parsed_gold"), F.count_if(both & F.col("_parsed_ok")).alias("parsed_correct"))
 
 
 def mean_std(values: DataFrame, value: str, *by: str) -> DataFrame:

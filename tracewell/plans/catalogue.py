@@ -69,6 +69,11 @@ def predictions(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     return once(table(spark, d, "predictions").select("pred_id", *cols, "ingested_at"), "pred_id")
 
 
+def judged(spark: SparkSession, d: str, judge: Callable[[DataFrame], DataFrame], *keep: str) -> DataFrame:
+    """Predictions judged row by row before deliveries are told apart, so that only the verdicts are shuffled and no text."""
+    return once(judge(table(spark, d, "predictions")).select("pred_id", *keep, "ingested_at"), "pred_id")
+
+
 def teacher(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     return once(table(spark, d, "teacher").select("teacher_id", *cols, "ingested_at"), "teacher_id")
 
@@ -220,14 +225,15 @@ def grid_completeness(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def score_predictions(spark: SparkSession, d: str) -> DataFrame:
     """A1, A5: the whole cascade over all predictions, by source and overall."""
-    p = predictions(spark, d, "source", "gold_ans", "model_response", "model_ans", "options")
-    return metrics.accuracy_rollup(A.with_match(p), "source")
+    used = ["pred_id", "source", "gold_ans", "model_response", "model_ans", "options", "ingested_at"]
+    return metrics.accuracy_rollup(judged(spark, d, lambda p: A.with_match(p.select(*used)), "source", "_ok"), "source")
 
 
 @query()
 def score_responses(spark: SparkSession, d: str) -> DataFrame:
     """A2: labels from the response texts alone."""
-    return metrics.labelled(A.with_match(predictions(spark, d, "gold_ans", "model_response", "options")), "pred_id")
+    used = ["pred_id", "gold_ans", "model_response", "options", "ingested_at"]
+    return judged(spark, d, lambda p: metrics.labelled(A.with_match(p.select(*used)), "pred_id", "ingested_at"), "gold", "pred", "correct").drop("ingested_at")
 
 
 NUM = "coalesce(try_cast(regexp_replace(trim({x}), '[.,;:]+$', '') as double), try_cast(nullif(regexp_extract(replace(trim({x}), ',', ''), '-?\\d+(?:\\.\\d+)?', 0), '') as double))"
@@ -276,13 +282,14 @@ def accuracy_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(PRED + "select method, count(*) as total, count(*) filter (where regexp_matches(model_response, '\"ans\"\\s*:\\s*\\S')) as parsed from p group by 1")
 def parse_rate(spark: SparkSession, d: str) -> DataFrame:
-    f = metrics.format_validity(predictions(spark, d, "method", "gold_ans", "model_response"), "model_response", "method")
-    return f.select("method", *big("total", "parsed"))
+    return format_validity(spark, d).select("method", *big("total", "parsed"))
 
 
 @query()
 def format_validity(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.format_validity(predictions(spark, d, "method", "gold_ans", "model_response"), "model_response", "method")
+    used = ["pred_id", "method", "gold_ans", "model_response", "ingested_at"]
+    checked = judged(spark, d, lambda p: metrics.with_validity(p.select(*used), "model_response"), "method", "_parsed", "_gold_there", "_parsed_ok")
+    return metrics.format_validity(checked, "method")
 
 
 @query(PRED + "select pred_id, format('{:.12g}', cast(gold_ans as double)) as gold from p where regexp_full_match(gold_ans, '-?\\d+(\\.\\d+)?')")
@@ -382,8 +389,8 @@ def option_unique_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query(PRED + """select pred_id, upper(regexp_extract(model_response, '(?i)\\b([A-E])\\b', 1)) as choice from p where regexp_full_match(model_response, '\\s*[A-Za-z]{1,3}\\s*') and regexp_matches(model_response, '(?i)\\b([A-E])\\b')""")
 def choice_extract(spark: SparkSession, d: str) -> DataFrame:
-    p = predictions(spark, d, "model_response").where(F.col("model_response").rlike(r"^\s*[A-Za-z]{1,3}\s*$"))
-    return p.select("pred_id", A.first_choice(F.col("model_response")).alias("choice")).where("choice is not null")
+    short = F.when(F.col("model_response").rlike(r"^\s*[A-Za-z]{1,3}\s*$"), F.col("model_response"))
+    return judged(spark, d, lambda p: p.withColumn("choice", A.first_choice(short)).where("choice is not null"), "choice").select("pred_id", "choice")
 
 
 @query("""select doc_id, coalesce(nullif(regexp_extract_all(regexp_extract(text, '\\\\boxed\\{([^}]+)\\}', 1), '-?\\d+(?:\\.\\d+)?')[-1], ''), nullif(regexp_extract_all(regexp_extract(text, '(?i)(?:final answer|the final answer|answer is|answer:)\\s*([^\\n\\r]+)', 1), '-?\\d+(?:\\.\\d+)?')[-1], ''),
@@ -401,8 +408,8 @@ def number_coerce(spark: SparkSession, d: str) -> DataFrame:
 @query(PRED + r"""select pred_id, case when regexp_matches(model_response, '####') then replace(regexp_extract_all(regexp_extract(model_response, '####\s*([^#]*)$', 1), '-?\d+(?:[,\d]*)?(?:\.\d+)?')[-1], ',', '') end as n
 from p where regexp_matches(model_response, '####[^#]*\d[^#]*$') and not starts_with(model_response, '{')""")
 def guided_numbers(spark: SparkSession, d: str) -> DataFrame:
-    p = predictions(spark, d, "model_response").where(F.col("model_response").rlike(r"####[^#]*\d[^#]*$") & ~F.startswith("model_response", F.lit("{")))
-    return p.select("pred_id", A.guided_number(F.col("model_response")).alias("n"))
+    marked = F.col("model_response").rlike(r"####[^#]*\d[^#]*$") & ~F.startswith("model_response", F.lit("{"))
+    return judged(spark, d, lambda p: p.where(marked).withColumn("n", A.guided_number(F.col("model_response"))), "n").select("pred_id", "n")
 
 
 @query()
@@ -653,7 +660,8 @@ def plain_rationales(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def parsed_replies(spark: SparkSession, d: str) -> DataFrame:
     """Rationale and answer of every response, by the teacher's rules."""
-    return predictions(spark, d, "model_response").select("pred_id", L.parsed_output(F.col("model_response")).alias("r")).select("pred_id", F.col("r.ans.k").alias("kind"), F.col("r.ans.s").alias("text"), F.col("r.ans.n").alias("number"), F.col("r.payload").isNotNull().alias("is_json"))
+    parse = lambda p: p.select("pred_id", "ingested_at", L.parsed_output(F.col("model_response")).alias("r")).select("pred_id", "ingested_at", F.col("r.ans.k").alias("kind"), F.col("r.ans.s").alias("text"), F.col("r.ans.n").alias("number"), F.col("r.payload").isNotNull().alias("is_json"))
+    return judged(spark, d, parse, "kind", "text", "number", "is_json").drop("ingested_at")
 
 
 @query(RUNS + ", z as (select dataset, method, run, acc from v), a0 as (select dataset, method as arm, avg(acc) as m, var_samp(acc) as v, count(*) as n from z where method in ('CoT', 'SGFT') group by 1, 2), w as (select a.dataset, a.m - b.m as gap, a.v / a.n as sa, b.v / b.n as sb, a.n as na, b.n as nb from a0 a join a0 b on a.dataset = b.dataset and a.arm = 'SGFT' and b.arm = 'CoT' and a.n > 1 and b.n > 1), x as (select *, case when sa + sb > 0 then (sa + sb) * (sa + sb) / (sa * sa / (na - 1) + sb * sb / (nb - 1)) else 1.0 end as df from w), y as (select *, (" + T_SQL + ") * sqrt(sa + sb) as h from x) select round(avg(gap), 6) as gap, round(avg(gap) - sqrt(sum(h * h)) / count(*), 5) as lo, round(avg(gap) + sqrt(sum(h * h)) / count(*), 5) as hi from y")
