@@ -21,6 +21,7 @@ NORMAL = "struct<k:string,b:boolean,n:double,s:string>"
 NUMBER = r"-?\d+(?:\.\d+)?"
 CHOICE = r"^[A-Ea-e]$"
 TAG = r"(?is)(?:<|⟨)\s*answer\s*(?:>|⟩)(.*?)(?:<|⟨)\s*/\s*answer\s*(?:>|⟩)"
+TAG_END = r"(?i)(?:<|⟨)\s*/\s*answer\s*(?:>|⟩)"
 CUE = r"(?i)(?:final answer|the final answer|answer is|answer:)\s*([^\n\r]+)"
 BOXED = r"\\boxed\{([^}]+)\}"
 CHOICE_CUES = (r"(?i)<answer>\s*([A-E])\s*</answer>", r"(?i)\banswer\b(?:\s+|[:=\-]\s*)([A-E])\b", r"(?i)\boption\b(?:\s+|[:=\-]\s*)([A-E])\b")
@@ -28,7 +29,7 @@ NUMBER_CUES = tuple(rf"(?i)\b{w}\b(?:\s+|[:=\-]\s*)([1-5])(?:\.0+)?\b" for w in
 OPTION_LINE = r"(?i)(?:^|\n)\s*([A-E])\s*[\)\.\:\-]\s*([^\n\r]+)"
 ANS_KEY = r"""(?i)(?:^|[\s{,])(?:"ans"|ans)\s*:\s*"""
 # the value after an ans key: in double or single quotes with escapes, else up to a comma, brace or line end
-ANS_VALUE = ANS_KEY + r"""(?:"((?:[^"\\]|\\.)*+)(?:"|\\?$)|'((?:[^'\\]|\\.)*+)(?:'|\\?$)|([^"'\s,}][^,}\n\r]*))"""
+ANS_VALUE = ANS_KEY + r"""(?:"([^"\\]*+(?:\\.[^"\\]*+)*+)(?:"|\\?$)|'([^'\\]*+(?:\\.[^'\\]*+)*+)(?:'|\\?$)|([^"'\s,}][^,}\n\r]*+))"""
 BOUND = r"(?:\*\*|__|`+)?"
 TEACHER_CUES = (
     rf"(?i)\banswer\b\s*[:\-]?\s*{BOUND}\s*\(?\s*([A-E])\s*\)?{BOUND}\b",
@@ -78,7 +79,7 @@ def number(text: Column) -> Column:
     """the number of a text: after the last ####, without final marks, as a fraction, a decimal, or its first number."""
     tail = lambda s: F.when(F.contains(s, F.lit("####")), strip(F.element_at(F.split(s, "####"), -1))).otherwise(s)
     body = lambda s: F.coalesce(fraction(s), float_of(s), F.regexp_extract(F.replace(s, F.lit(","), F.lit("")), NUMBER, 0).try_cast("double"))
-    return let(F.regexp_replace(let(strip(text), tail), r"[.,;:]+$", ""), body)
+    return let(F.regexp_replace(let(strip(text), tail), r"(?<![.,;:])[.,;:]++$", ""), body)
 
 
 def normal(k: str, *, b: Column | None = None, n: Column | None = None, s: Column | None = None) -> Column:
@@ -162,7 +163,7 @@ def label(n: Column) -> Column:
 
 
 def unquoted(c: Column) -> Column:
-    return F.regexp_replace(strip(c), "^[\"']+|[\"']+$", "")
+    return F.regexp_replace(strip(c), "^[\"']++|(?<![\"'])[\"']++$", "")
 
 
 def letter_of_digit(d: Column) -> Column:
@@ -198,7 +199,7 @@ def truth(t: Column) -> Column:
 
 def tagged(t: Column) -> Column:
     """what stands between answer tags."""
-    return strip(first_group(t, TAG))
+    return let(t, lambda t: F.when(t.rlike(TAG_END), strip(first_group(t, TAG))))
 
 
 def last_number(t: Column) -> Column:
@@ -261,7 +262,13 @@ def json_ans(c: Column, key: str = "ans") -> Column:
 
 def braces(c: Column) -> Column:
     """From the first opening to the last closing brace."""
-    return F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))
+
+
+    def of(x: Column) -> Column:
+        return F.when((x["a"] > 0) & (x["b"] > x["a"]), F.substring(x["c"], x["a"], x["b"] - x["a"] + 1))
+
+    last = F.length(c) - F.instr(F.reverse(c), F.lit("}")) + 1
+    return let(F.struct(c.alias("c"), F.instr(c, F.lit("{")).alias("a"), F.when(F.contains(c, F.lit("}")), last).alias("b")), of)
 
 
 def undone(c: Column) -> Column:
