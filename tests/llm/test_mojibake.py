@@ -72,3 +72,9 @@ def test_single_word_keys():
         word = "élèves" if e != "cp1251" else "яблок"
         k = M.KEYS.index((e, d))
         assert c.decode(swap(word, e, d), k) == word
+
+
+def test_very_long_runs(spark):
+    rows = [(1, "éa" * 100_000, "s"), (2, "a" * 200_000, "s"), (3, "中" * 100_000, "s"), (4, "a " * 50_000 + "é", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert M.found(df).count() == 0

@@ -62,8 +62,10 @@ def test_sample_edges(spark, targets):
     df, _ = data(spark, 50)
     assert S.sample(df.limit(0), targets, S.fifth(df.limit(0))).count() == 0
     assert S.sample(df, targets.limit(0), S.fifth(df)).count() == 0
-    clash = df.withColumn("need", F.lit(1)).withColumn("n", F.lit(2)).withColumn("target_id", F.lit(9))
-    assert S.sample(clash.drop("target_id"), targets, S.fifth(df)).count() <= 10
+    clash = df.withColumns({c: F.lit(1) for c in ("need", "n", "target_id", "slice", "priority", "last_slice", "_c", "_rank")})
+    same = targets.withColumns({c: F.lit(1) for c in ("need", "n", "available", "size")})
+    assert {r["key"] for r in S.sample(clash, same, S.fifth(clash)).collect()} == {r["key"] for r in S.sample(df, targets, S.fifth(df)).collect()}
+    assert S.shortfalls(clash, same, S.fifth(clash)).count() == 4
 
 
 def test_teacher_records(spark):
@@ -130,3 +132,5 @@ def test_mix_edges(spark):
     assert M.mix(df.limit(0), t).count() == 0
     assert M.mix(df, t.limit(0)).count() == 0
     assert M.report(df.limit(0), t).count() == 4
+    clash = df.withColumns({c: F.lit(1) for c in ("has", "total", "slot", "place", "repeat", "block", "weight_bp", "_b", "start")})
+    assert sorted(map(tuple, M.mix(clash, t.withColumn("has", F.lit(1))).collect())) == sorted(map(tuple, M.mix(df, t).collect()))

@@ -51,7 +51,7 @@ def running(sized: DataFrame, seed: int) -> DataFrame:
     Two levels: sums of BUCKETS parts of each source, then within each part. A part is a fixed fraction of its source.
     """
     h = F.xxhash64(F.lit(seed), F.col("key").cast("string"))
-    b = sized.withColumn("_h", h).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)).cast("int"))
+    b = sized.select("key", "source", "n_tokens").withColumn("_h", h).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)).cast("int"))
     sums = b.groupBy("source", "_b").agg(F.sum("n_tokens").alias("_t"))
     before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
@@ -66,7 +66,7 @@ def targets_met(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """
     by = sized.groupBy("source").agg(F.sum("n_tokens").alias("has"), F.count("*").alias("n_docs"))
     total = by.agg(F.coalesce(F.sum("has"), F.lit(0)).alias("total"))
-    t = targets.where("source is not null").crossJoin(F.broadcast(total)).join(by.where("source is not null"), "source", "left")
+    t = targets.where("source is not null").select("source", "weight_bp", "max_repeats").crossJoin(F.broadcast(total)).join(by.where("source is not null"), "source", "left")
     t = t.withColumns({"has": F.coalesce("has", F.lit(0)), "n_docs": F.coalesce("n_docs", F.lit(0))})
     t = t.withColumn("wanted", F.floor(F.col("total") * F.col("weight_bp") / 10000).cast("long"))
     return t.withColumn("taken_at_most", F.least("wanted", F.col("has") * F.col("max_repeats")))

@@ -39,7 +39,8 @@ KEYS = (
     + [(e, d) for e in ("gb18030", "big5", "shift_jis", "euc_kr") for d in ("cp1252", "latin_1", "cp1251", "koi8_r", "cp437")]
 )
 
-WORD = r"[A-Za-z]*(?:[^\x00-\x7F]+[A-Za-z]*)+"
+# a run of letters that holds a sign beyond ASCII; possessive and anchored, so that runs of any length cost linear time and no stack
+WORD = r"(?<![A-Za-z])[A-Za-z]*+(?:[^\x00-\x7F]++[A-Za-z]*+)++"
 ROUNDS = 7
 MAX_SOURCES = 4096
 CLEAN = -1

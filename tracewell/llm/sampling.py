@@ -24,12 +24,12 @@ MAX_TARGETS = 100_000
 def strata(records: DataFrame, targets: DataFrame) -> DataFrame:
     """(key, category, intent, target_id): the target each record is drawn for, the one with an intent before the whole category.
 
-    records: key, category, intent. Records of no target are left out. Targets of one stratum given twice: the lowest id draws.
+    records: key, category, intent; other columns aren't carried along. Records of no target are left out. Targets of one stratum given twice: the lowest id draws.
     """
     t = targets.select("target_id", F.col("category").alias("_c"), F.col("intent").alias("_i"))
     exact = t.where("_i is not null and _c is not null").groupBy("_c", "_i").agg(F.min("target_id").alias("_exact"))
     whole = t.where("_i is null and _c is not null").groupBy("_c").agg(F.min("target_id").alias("_whole"))
-    r = records.join(bounded(exact, MAX_TARGETS), (F.col("category") == F.col("_c")) & (F.col("intent") == F.col("_i")), "left").drop("_c", "_i")
+    r = records.select("key", "category", "intent").join(bounded(exact, MAX_TARGETS), (F.col("category") == F.col("_c")) & (F.col("intent") == F.col("_i")), "left").drop("_c", "_i")
     r = r.join(bounded(whole, MAX_TARGETS), F.col("category") == F.col("_c"), "left").drop("_c")
     return r.withColumn("target_id", F.coalesce("_exact", "_whole")).where("target_id is not null").drop("_exact", "_whole")
 
@@ -37,7 +37,8 @@ def strata(records: DataFrame, targets: DataFrame) -> DataFrame:
 def needs(targets: DataFrame, size: DataFrame) -> DataFrame:
     """targets with `need`: the larger of min_rows and the share of the sample rounded up. size: one row, column n (rows of the sample)."""
     share = F.floor((F.col("share_bp").cast("long") * F.col("n") + 9999) / F.lit(10000)).cast("long")
-    return targets.crossJoin(F.broadcast(size)).withColumn("need", F.greatest(F.coalesce("min_rows", F.lit(0)).cast("long"), F.coalesce(share, F.lit(0))))
+    t = targets.select("target_id", "category", "intent", "share_bp", "min_rows")
+    return t.crossJoin(F.broadcast(size)).withColumn("need", F.greatest(F.coalesce("min_rows", F.lit(0)).cast("long"), F.coalesce(share, F.lit(0))))
 
 
 def available(records: DataFrame, targets: DataFrame) -> DataFrame:
