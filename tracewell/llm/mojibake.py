@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.session import written
+from tracewell.session import spread, written
 
 # Code pages a text may be written in and read with.
 WESTERN = ("cp1252", "cp437", "cp850", "mac_roman", "cp1250", "iso8859_2")
@@ -274,7 +274,7 @@ def repaired(docs: DataFrame, text: str = "text", source: str = "source", key: s
     restored is the text with all words decoded that have a likely key; n_lost counts U+FFFD, which no key brings back. Null and
     empty texts are never found; a null source is a source of its own.
     """
-    words = written(words_of(docs, text, source), "words")
+    words = spread(written(words_of(docs, text, source), "words"), "source", "word")
     pairs, weights = learn(words)
     bc = docs.sparkSession.sparkContext.broadcast((pairs, weights))
 
