@@ -18,7 +18,7 @@ from tracewell.functions import text as T
 from tracewell.operators import bank as B
 from tracewell.operators import cluster, metrics, nested, providers, relations, routing, sampling
 from tracewell.plans import prompts as P
-from tracewell.session import scratch_path, table
+from tracewell.session import scratch_path, table, widened
 from tracewell.sources import records, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,14 +226,14 @@ def grid_completeness(spark: SparkSession, d: str) -> DataFrame:
 def score_predictions(spark: SparkSession, d: str) -> DataFrame:
     """A1, A5: the whole cascade over all predictions, by source and overall."""
     used = ["pred_id", "source", "gold_ans", "model_response", "model_ans", "options", "ingested_at"]
-    return metrics.accuracy_rollup(judged(spark, d, lambda p: A.with_match(p.select(*used)), "source", "_ok"), "source")
+    return metrics.accuracy_rollup(judged(spark, d, lambda p: A.with_match(widened(p.select(*used))), "source", "_ok"), "source")
 
 
 @query()
 def score_responses(spark: SparkSession, d: str) -> DataFrame:
     """A2: labels from the response texts alone."""
     used = ["pred_id", "gold_ans", "model_response", "options", "ingested_at"]
-    return judged(spark, d, lambda p: metrics.labelled(A.with_match(p.select(*used)), "pred_id", "ingested_at"), "gold", "pred", "correct").drop("ingested_at")
+    return judged(spark, d, lambda p: metrics.labelled(A.with_match(widened(p.select(*used))), "pred_id", "ingested_at"), "gold", "pred", "correct").drop("ingested_at")
 
 
 NUM = "coalesce(try_cast(regexp_replace(trim({x}), '[.,;:]+$', '') as double), try_cast(nullif(regexp_extract(replace(trim({x}), ',', ''), '-?\\d+(?:\\.\\d+)?', 0), '') as double))"
@@ -288,7 +288,7 @@ def parse_rate(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def format_validity(spark: SparkSession, d: str) -> DataFrame:
     used = ["pred_id", "method", "gold_ans", "model_response", "ingested_at"]
-    checked = judged(spark, d, lambda p: metrics.with_validity(p.select(*used), "model_response"), "method", "_parsed", "_gold_there", "_parsed_ok")
+    checked = judged(spark, d, lambda p: metrics.with_validity(widened(p.select(*used)), "model_response"), "method", "_parsed", "_gold_there", "_parsed_ok")
     return metrics.format_validity(checked, "method")
 
 
@@ -660,7 +660,7 @@ def plain_rationales(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def parsed_replies(spark: SparkSession, d: str) -> DataFrame:
     """Rationale and answer of every response, by the teacher's rules."""
-    parse = lambda p: p.select("pred_id", "ingested_at", L.parsed_output(F.col("model_response")).alias("r")).select("pred_id", "ingested_at", F.col("r.ans.k").alias("kind"), F.col("r.ans.s").alias("text"), F.col("r.ans.n").alias("number"), F.col("r.payload").isNotNull().alias("is_json"))
+    parse = lambda p: widened(p.select("pred_id", "ingested_at", "model_response")).select("pred_id", "ingested_at", L.parsed_output(F.col("model_response")).alias("r")).select("pred_id", "ingested_at", F.col("r.ans.k").alias("kind"), F.col("r.ans.s").alias("text"), F.col("r.ans.n").alias("number"), F.col("r.payload").isNotNull().alias("is_json"))
     return judged(spark, d, parse, "kind", "text", "number", "is_json").drop("ingested_at")
 
 

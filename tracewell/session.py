@@ -60,6 +60,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores dealt out to all of them, before costly work on each row; a larger one as it is, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only if df is proven to have at most max_rows rows; else leave the join to the planner.
 
