@@ -54,6 +54,19 @@ def test_random_other(spark):
     assert relations.random_other(rows.where("own = 'hot'"), only, key="id", own="own", donor="path", donor_key="k", seed=1).where("path is null").count() == 0
 
 
+def test_random_other_draws_from_the_whole_bank(spark):
+    donors = spark.createDataFrame([(f"p{i}", "hot" if i < 1900 else f"k{i}") for i in range(2000)], "path string, k string")
+    rows = spark.createDataFrame([(i, "hot" if i % 5 == 0 else f"k{1900 + i % 100}") for i in range(10000)], "id int, own string")
+    got = relations.random_other(rows, donors, key="id", own="own", donor="path", donor_key="k", seed=1).collect()
+    key = {r["path"]: r["k"] for r in donors.collect()}
+    assert len(got) == 10000 and all(key[r["path"]] != r["own"] for r in got)
+    assert len({r["path"] for r in got}) > 1900
+    hot = Counter(r["path"] for r in got if r["own"] == "hot")
+    assert len(hot) == 100 and sum((n - 20) ** 2 / 20 for n in hot.values()) < 160
+    unkeyed = relations.random_other(rows.limit(5), donors.limit(0), key="id", own="own", donor="path", donor_key="k", seed=1)
+    assert unkeyed.where("path is null").count() == 5
+
+
 def test_proportional_sample(spark):
     rnd = random.Random(1)
     rows = [(i, rnd.choice("aaaaaabbc") if i % 50 else None) for i in range(900)]

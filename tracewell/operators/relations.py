@@ -23,23 +23,29 @@ def reuse(df: DataFrame, finished: DataFrame, key: str, value: str, compute: Col
 
 
 def random_other(rows: DataFrame, donors: DataFrame, *, key: str, own: str, donor: str, donor_key: str, seed: int, slots: int = 64) -> DataFrame:
-    """For each row one donor whose donor_key differs from the row's `own`, at random by hash (T18): (key, donor...).
+    """For each row one donor whose donor_key differs from the row's `own`, uniformly at random by hash (T18): (key, donor...).
 
-    Donors are numbered by hash within `slots` slots; a row asks a few slots in hash order and takes the first donor there that differs,
-    so no row meets all donors. Should all asked slots hold only equal ones, the exact way is taken for those rows alone: the
-    first differing donor by hash of all, from two candidates of different keys, which always suffice.
+    All donors are numbered so that those of a key stand together. A row draws one number among all donors but its own key's and steps
+    over that run, so every other donor is as likely as any and no row meets all donors. Where all donors have the row's own key, it
+    draws from them. The numbers come from counts by key and hash slice (`slots` of each), so neither the bank nor a hot key is one sort.
     """
     h = lambda *c: F.md5(F.concat_ws("|", F.lit(str(seed)), *c))
     d = donors.select(F.col(donor).alias("_d"), F.col(donor_key).alias("_k")).withColumn("_h", h(F.to_json(F.struct("_d"))))
-    d = d.withColumn("_slot", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") % slots)
-    firsts = d.groupBy("_slot", "_k").agg(F.min(F.struct("_h", "_d")).alias("f")).groupBy("_slot").agg(F.slice(F.array_sort(F.collect_list(F.struct("f._h", "f._d", "_k"))), 1, 2).alias("_two"))
-    r = rows.withColumn("_ask", F.conv(F.substring(h(F.col(key).cast("string")), 1, 4), 16, 10).cast("int") % slots)
-    asked = r.join(F.broadcast(firsts.withColumnRenamed("_slot", "_ask")), "_ask", "left")
-    pick = F.get(F.filter("_two", lambda x: ~x["_k"].eqNullSafe(F.col(own))), F.lit(0))["_d"]
-    best = firsts.select(F.explode("_two").alias("t")).groupBy("t._k").agg(F.min(F.struct("t._h", "t._d")).alias("f"))
-    two = best.agg(F.slice(F.array_sort(F.collect_list(F.struct("f._h", "f._d", "_k"))), 1, 2).alias("_any"))
-    fallback = F.coalesce(F.get(F.filter("_any", lambda x: ~x["_k"].eqNullSafe(F.col(own))), F.lit(0))["_d"], F.get("_any", F.lit(0))["_d"])
-    return asked.crossJoin(F.broadcast(two)).withColumn(donor, F.coalesce(pick, fallback)).drop("_ask", "_two", "_any")
+    d = d.withColumn("_b", F.pmod(F.xxhash64("_k"), F.lit(slots))).withColumn("_s", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") % slots)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    c = d.groupBy("_b", "_k", "_s").agg(F.count("*").alias("_m"))
+    blocks = c.groupBy("_b").agg(F.sum("_m").alias("_t")).select("_b", F.coalesce(F.sum("_t").over(before(Window.orderBy("_b"))), F.lit(0)).alias("_off"))
+    c = c.withColumn("_at", F.coalesce(F.sum("_m").over(before(Window.partitionBy("_b").orderBy("_k", "_s"))), F.lit(0)))
+    c = c.join(F.broadcast(blocks), "_b").select(F.col("_k").alias("_ck"), F.col("_s").alias("_cs"), "_m", (F.col("_at") + F.col("_off")).alias("_at"))
+    at = d.join(c, F.col("_k").eqNullSafe(F.col("_ck")) & (F.col("_s") == F.col("_cs")))
+    numbered = at.select((F.col("_at") + F.row_number().over(Window.partitionBy("_k", "_s").orderBy("_h")) - 1).alias("_no"), F.col("_d").alias(donor))
+    runs = c.groupBy("_ck").agg(F.min("_at").alias("_first"), F.sum("_m").alias("_same"))
+    total = c.agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_all"))
+    r = rows.join(runs, F.col(own).eqNullSafe(F.col("_ck")), "left").crossJoin(F.broadcast(total))
+    others = F.col("_all") - F.coalesce("_same", F.lit(0))
+    drawn = F.pmod(F.conv(F.substring(h(F.col(key).cast("string")), 1, 15), 16, 10).cast("bigint"), F.nullif(F.when(others > 0, others).otherwise(F.col("_all")), F.lit(0)))
+    r = r.withColumn("_no", drawn).withColumn("_no", F.col("_no") + F.when((others > 0) & (F.col("_no") >= F.col("_first")), F.col("_same")).otherwise(0))
+    return r.join(numbered, "_no", "left").select(*rows.columns, donor)
 
 
 def grid(*axes: DataFrame) -> DataFrame:
