@@ -268,16 +268,15 @@ def normalize_match(spark: SparkSession, d: str) -> DataFrame:
 SCORED = PRED + f", s as (select source, dataset, method, model, run, index, {norm_sql('gold_ans')} as g, {norm_sql('model_ans')} as m from p where {plain_sql('gold_ans')} and {plain_sql('model_ans')}), k as (select *, g = m or (g in ('n:1.000000', 'b:1') and m in ('n:1.000000', 'b:1')) or (g in ('n:0.000000', 'b:0') and m in ('n:0.000000', 'b:0')) as ok from s) "
 
 
-def direct(spark: SparkSession, d: str) -> DataFrame:
-    """Answers scored as they are given, without the text of the response."""
-    p = predictions(spark, d, "source", "dataset", "method", "model", "run", "index", "gold_ans", "model_ans").where(F.col("gold_ans").rlike(PLAIN) & F.col("model_ans").rlike(PLAIN))
-    g, m = A.normalize(A.raw("gold_ans")), A.normalize(A.raw("model_ans"))
-    return p.withColumn("_g", g).withColumn("_p", m).withColumn("_ok", A.matches(F.col("_g"), F.col("_p")))
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    """All predictions, judged by the whole cascade; an answer that can't be found is a miss."""
+    used = ["pred_id", "dataset", "method", "run", "index", "gold_ans", "model_response", "model_ans", "options", "ingested_at"]
+    return judged(spark, d, lambda p: A.with_match(widened(p.select(*used))), "dataset", "method", "run", "index", "_ok")
 
 
 @query(SCORED + "select dataset, cast(grouping(dataset) as bigint) as is_total, cast(sum(ok::int) as bigint) as correct, count(*) as total from k group by rollup (dataset)")
 def accuracy_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.accuracy_rollup(direct(spark, d), "dataset").select("dataset", *big("is_total", "correct", "total"))
+    return metrics.accuracy_rollup(scored(spark, d), "dataset").select("dataset", *big("is_total", "correct", "total"))
 
 
 @query(PRED + "select method, count(*) as total, count(*) filter (where regexp_matches(model_response, '\"ans\"\\s*:\\s*\\S')) as parsed from p group by 1")
@@ -302,7 +301,7 @@ RUNS = SCORED + ", v as (select dataset, method, run, avg(ok::int) * 100 as acc
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
-    return direct(spark, d).groupBy("dataset", "method", "run").agg((F.avg(F.col("_ok").cast("double")) * 100).alias("acc"))
+    return scored(spark, d).groupBy("dataset", "method", "run").agg((F.avg(F.col("_ok").cast("double")) * 100).alias("acc"))
 
 
 @query(RUNS + "select dataset, method, round(avg(acc), 6) as mean, round(coalesce(stddev_samp(acc), 0), 6) as std, count(*) as n_runs from v group by 1, 2")
@@ -334,13 +333,13 @@ def pooled_controls(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SCORED + ", i as (select index from k group by index having count(distinct run) = (select count(distinct run) from k)) select run, round(avg(ok::int) * 100, 6) as accuracy, count(*) as n from k where index in (select index from i) group by run")
 def run_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.run_accuracy(direct(spark, d), "run", "index").select("run", r6("accuracy").alias("accuracy"), *big("n"))
+    return metrics.run_accuracy(scored(spark, d), "run", "index").select("run", r6("accuracy").alias("accuracy"), *big("n"))
 
 
 @query(SCORED + """, s2 as (select index, count(*) as n, sum(ok::int) as c from k group by 1), e as (select n, c, k from s2, (values (1), (3), (5)) t(k) where n >= k),
 f as (select k, case when n - c < k then 1.0 when c = 0 then 0.0 else 1 - list_product(list_transform(range(cast(n - c + 1 as bigint), cast(n + 1 as bigint)), lambda i: 1.0 - k / i)) end as p from e) select cast(k as bigint) as k, round(avg(p), 6) as mean, count(*) as n_rows from f group by k""")
 def pass_at_k(spark: SparkSession, d: str) -> DataFrame:
-    s = direct(spark, d).groupBy("index").agg(F.count("*").alias("n"), F.sum(F.col("_ok").cast("long")).alias("c"))
+    s = scored(spark, d).groupBy("index").agg(F.count("*").alias("n"), F.sum(F.col("_ok").cast("long")).alias("c"))
     return metrics.pass_at_ks(s, [1, 3, 5]).select(*big("k"), r6("mean").alias("mean"), *big("n_rows"))
 
 
