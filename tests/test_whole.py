@@ -82,3 +82,10 @@ def test_gaps_count_every_prediction(spark, judged):
     assert got == {m: pytest.approx(mean(of(m, n) for n in (1, 2, 3)) - base, abs=1e-5) for m in ("SGFT", "DCoT")}
     assert C.pooled_controls(spark, path).first()["gap"] == pytest.approx(mean(of(m, n) for m in ("SGFT", "DCoT") for n in (1, 2, 3)) - base, abs=1e-5)
     assert C.average_gap(spark, path).first()["gap"] == pytest.approx(mean(of("SGFT", n) for n in (1, 2, 3)) - base, abs=1e-5)
+
+
+def test_safe_ids_of_long_positions(spark, tmp_path):
+    docs = [(7, "?"), (10000, ""), (99999, None), (100000, "??"), (100001, "__"), (1234567, " "), (100002, "a b")]
+    path = put(spark, tmp_path, "documents", docs, "doc_id long, source string")
+    got = {r["doc_id"]: r["name"] for r in C.safe_ids(spark, path).collect()}
+    assert got == {7: "doc_00007", 10000: "doc_10000", 99999: "doc_99999", 100000: "doc_100000", 100001: "doc_100001", 1234567: "doc_1234567", 100002: "a_b"}

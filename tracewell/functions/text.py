@@ -95,9 +95,9 @@ def slug(c: Column | str) -> Column:
 
 
 def safe_id(c: Column | str, stem: str, position: Column) -> Column:
-    """An id with only 0-9A-Za-z_.-, or stem_00000 by position if nothing is left."""
+    """An id with only 0-9A-Za-z_.-, or stem_00000 by position if nothing is left; longer positions keep all their digits."""
     s = F.regexp_replace(F.regexp_replace(col(c).cast("string"), r"[^0-9A-Za-z_.-]+", "_"), r"^[._]+|[._]+$", "")
-    return F.when(F.coalesce(s, F.lit("")) != "", s).otherwise(F.concat(F.lit(stem + "_"), F.lpad(position.cast("string"), 5, "0")))
+    return F.when(F.coalesce(s, F.lit("")) != "", s).when(position.isNotNull(), F.format_string(stem.replace("%", "%%") + "_%05d", position.cast("bigint")))
 
 
 def first_text(*cols: Column | str) -> Column:

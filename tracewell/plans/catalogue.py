@@ -630,7 +630,7 @@ def chat_messages(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select doc_id, case when regexp_replace(regexp_replace(source, '[^0-9A-Za-z_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') <> '' then regexp_replace(regexp_replace(source, '[^0-9A-Za-z_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') else 'doc_' || lpad(cast(doc_id as varchar), 5, '0') end as name from documents where doc_id < 100000")
 def safe_ids(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("doc_id < 100000").select("doc_id", T.safe_id("source", "doc", F.col("doc_id")).alias("name"))
+    return table(spark, d, "documents").select("doc_id", T.safe_id("source", "doc", F.col("doc_id")).alias("name"))
 
 
 @query()
