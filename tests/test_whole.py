@@ -89,3 +89,38 @@ def test_safe_ids_of_long_positions(spark, tmp_path):
     path = put(spark, tmp_path, "documents", docs, "doc_id long, source string")
     got = {r["doc_id"]: r["name"] for r in C.safe_ids(spark, path).collect()}
     assert got == {7: "doc_00007", 10000: "doc_10000", 99999: "doc_99999", 100000: "doc_100000", 100001: "doc_100001", 1234567: "doc_1234567", 100002: "a_b"}
+
+
+def test_extraction_runs_over_every_prediction(spark, tmp_path):
+    rows = [
+        # gold, response, answer, dataset
+        ("1,200 km", "The answer is (B)", "3/4", "yesno"),
+        ("Blue Whale", '{"ans": "12"}', None, "yesno"),
+        (None, "so #### 1,234", "$5", "other"),
+        ("Yes", "gives 7 then 9", "true", "yesno"),
+        (r"\frac{1}{2}", "nothing here", "NO ", "yesno"),
+        ("NO ", None, "false", "yesno"),
+    ]
+    path = put(spark, tmp_path, "predictions", [(i, "s", d, "CoT", "m", 1, "q", g, r, a, None, at(i)) for i, (g, r, a, d) in enumerate(rows)], PREDICTIONS)
+    of = lambda q, *c: [tuple(r[x] for x in c) for r in q(spark, path).orderBy("pred_id").collect()]
+    assert of(C.choice_extract, "choice") == [("B",), (None,), (None,), (None,), (None,), (None,)]
+    assert of(C.labels_canonical, "gold") == [("1200",), ("blue whale",), ("__MISSING__",), ("true",), ("0.5",), ("false",)]
+    assert of(C.guided_numbers, "n") == [(None,), ("12",), ("1234",), ("9",), (None,), (None,)]
+    assert of(C.normalize_match, "gold", "pred") == [
+        ("n:1200.000000", "n:0.750000"), ("s:blue whale", None), (None, "n:5.000000"), ("b:1", "b:1"), ("n:0.500000", "b:0"), ("b:0", "b:0"),
+    ]
+    assert [tuple(r) for r in C.normalised_accuracy(spark, path).collect()] == [("s", 5, 2)]
+
+
+def test_options_and_numbers_run_over_every_question(spark, tmp_path):
+    rows = [
+        ("1", "Blue", "A) 5 km\nB) 5 miles\nC) 12 cm"),
+        ("2", "$5", "A) 12 km\nB) 13 km"),
+        ("3", "7", "A) 12 km\nB) 12 kg"),
+        ("4", None, "A) red\nB) green"),
+    ]
+    path = put(spark, tmp_path, "questions", [(i, "d", "Q?", a, o) for i, a, o in rows], "id string, dataset string, question string, answer string, options string")
+    of = lambda q, c: {r["id"]: r[c] for r in q(spark, path).collect()}
+    assert of(C.nearest_option, "letter") == {"1": "C", "2": "A", "3": None, "4": None}
+    assert of(C.option_unique_match, "letter") == {"1": None, "2": "A", "3": None, "4": "A"}
+    assert of(C.number_coerce, "value") == {"1": "s:blue", "2": "n:5.000000", "3": "n:7.000000", "4": None}

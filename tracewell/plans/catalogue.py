@@ -260,9 +260,8 @@ def norm_text(n: Column) -> Column:
 
 @query(PRED + f"select pred_id, {norm_sql('gold_ans')} as gold, {norm_sql('model_ans')} as pred from p where {plain_sql('gold_ans')} and (model_ans is null or {plain_sql('model_ans')})")
 def normalize_match(spark: SparkSession, d: str) -> DataFrame:
-    """F4, F6, F7 on answers in the usual notations."""
-    p = predictions(spark, d, "gold_ans", "model_ans").where(F.col("gold_ans").rlike(PLAIN) & (F.col("model_ans").isNull() | F.col("model_ans").rlike(PLAIN)))
-    return p.select("pred_id", norm_text(A.normalize(A.raw("gold_ans"))).alias("gold"), norm_text(A.normalize(A.raw("model_ans"))).alias("pred"))
+    """F4, F6, F7 on all answers."""
+    return predictions(spark, d, "gold_ans", "model_ans").select("pred_id", norm_text(A.normalize(A.raw("gold_ans"))).alias("gold"), norm_text(A.normalize(A.raw("model_ans"))).alias("pred"))
 
 
 SCORED = PRED + f", s as (select source, dataset, method, model, run, index, {norm_sql('gold_ans')} as g, {norm_sql('model_ans')} as m from p where {plain_sql('gold_ans')} and {plain_sql('model_ans')}), k as (select *, g = m or (g in ('n:1.000000', 'b:1') and m in ('n:1.000000', 'b:1')) or (g in ('n:0.000000', 'b:0') and m in ('n:0.000000', 'b:0')) as ok from s) "
@@ -293,8 +292,7 @@ def format_validity(spark: SparkSession, d: str) -> DataFrame:
 
 @query(PRED + "select pred_id, format('{:.12g}', cast(gold_ans as double)) as gold from p where regexp_full_match(gold_ans, '-?\\d+(\\.\\d+)?')")
 def labels_canonical(spark: SparkSession, d: str) -> DataFrame:
-    p = predictions(spark, d, "gold_ans").where(F.col("gold_ans").rlike(r"^-?\d+(\.\d+)?$"))
-    return p.select("pred_id", A.label(A.normalize(A.raw("gold_ans"))).alias("gold"))
+    return predictions(spark, d, "gold_ans").select("pred_id", A.label(A.normalize(A.raw("gold_ans"))).alias("gold"))
 
 
 RUNS = SCORED + ", v as (select dataset, method, run, avg(ok::int) * 100 as acc from k group by all) "
@@ -346,7 +344,7 @@ def pass_at_k(spark: SparkSession, d: str) -> DataFrame:
 @query(PRED + """select source, count(*) as total, cast(sum((case when lower(trim(coalesce(model_ans, ''))) in ('yes', 'true', '1') then 'yes' when lower(trim(coalesce(model_ans, ''))) in ('no', 'false', '0') then 'no' else lower(trim(coalesce(model_ans, ''))) end
  = case when lower(trim(coalesce(gold_ans, ''))) in ('yes', 'true', '1') then 'yes' when lower(trim(coalesce(gold_ans, ''))) in ('no', 'false', '0') then 'no' else lower(trim(coalesce(gold_ans, ''))) end)::int) as bigint) as correct from p where dataset = 'yesno' and regexp_full_match(coalesce(gold_ans, ''), '[a-z]*') group by 1""")
 def normalised_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    p = predictions(spark, d, "source", "dataset", "gold_ans", "model_ans").where("dataset = 'yesno'").where(F.coalesce("gold_ans", F.lit("")).rlike("^[a-z]*$"))
+    p = predictions(spark, d, "source", "dataset", "gold_ans", "model_ans").where("dataset = 'yesno'")
     return metrics.normalised_accuracy(p, "truth", "source", "pred_id", []).select("source", *big("total", "correct"))
 
 
@@ -376,20 +374,18 @@ def option_map(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {OPTS}, e as (select id, unnest(ks) as k, try_cast(trim(unnest(vs)) as double) as v from o), n as (select e.id, e.k, abs(e.v - 10) as dist from e where e.v is not null), g as (select id, min(dist) as m from n group by id) select n.id, min(n.k) as letter from n join g on n.id = g.id and n.dist = g.m group by n.id having count(*) = 1")
 def nearest_option(spark: SparkSession, d: str) -> DataFrame:
-    o = options(spark, d).withColumn("m", F.map_filter("m", lambda k, v: v.rlike(r"^-?\d+(\.\d+)?$")))
-    return o.select("id", A.nearest_option(F.col("m"), F.lit(10.0)).alias("letter")).where("letter is not null")
+    return options(spark, d).select("id", A.nearest_option(F.col("m"), F.lit(10.0)).alias("letter"))
 
 
 @query(f"with {OPTS}, e as (select id, ks, vs, unnest(ks) as k, trim(unnest(vs)) as v from o), f as (select id, k, v, lower(vs[1]) as want from e) select id, min(k) as letter from f where lower(v) = trim(want) and not regexp_matches(v, '\\d') group by id having count(*) = 1")
 def option_unique_match(spark: SparkSession, d: str) -> DataFrame:
-    o = options(spark, d).withColumn("want", F.col("m")["A"]).where(~F.col("want").rlike(r"\d"))
-    return o.select("id", A.option_match(F.col("m"), A.normalize(A.raw("want"))).alias("letter")).where("letter is not null")
+    o = options(spark, d).withColumn("want", F.col("m")["A"])
+    return o.select("id", A.option_match(F.col("m"), A.normalize(A.raw("want"))).alias("letter"))
 
 
 @query(PRED + """select pred_id, upper(regexp_extract(model_response, '(?i)\\b([A-E])\\b', 1)) as choice from p where regexp_full_match(model_response, '\\s*[A-Za-z]{1,3}\\s*') and regexp_matches(model_response, '(?i)\\b([A-E])\\b')""")
 def choice_extract(spark: SparkSession, d: str) -> DataFrame:
-    short = F.when(F.col("model_response").rlike(r"^\s*[A-Za-z]{1,3}\s*$"), F.col("model_response"))
-    return judged(spark, d, lambda p: p.withColumn("choice", A.first_choice(short)).where("choice is not null"), "choice").select("pred_id", "choice")
+    return judged(spark, d, lambda p: p.withColumn("choice", A.first_choice(F.col("model_response"))), "choice").select("pred_id", "choice")
 
 
 @query("""select doc_id, coalesce(nullif(regexp_extract_all(regexp_extract(text, '\\\\boxed\\{([^}]+)\\}', 1), '-?\\d+(?:\\.\\d+)?')[-1], ''), nullif(regexp_extract_all(regexp_extract(text, '(?i)(?:final answer|the final answer|answer is|answer:)\\s*([^\\n\\r]+)', 1), '-?\\d+(?:\\.\\d+)?')[-1], ''),
@@ -400,15 +396,15 @@ def final_numeric(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select distinct id, answer, {norm_sql('answer')} as value from questions where {plain_sql('answer')}")
 def number_coerce(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "questions").where(F.col("answer").rlike(PLAIN)).select("id", "answer").distinct()
+    q = table(spark, d, "questions").select("id", "answer").distinct()
     return q.select("id", "answer", norm_text(A.normalize(A.raw("answer"))).alias("value"))
 
 
 @query(PRED + r"""select pred_id, case when regexp_matches(model_response, '####') then replace(regexp_extract_all(regexp_extract(model_response, '####\s*([^#]*)$', 1), '-?\d+(?:[,\d]*)?(?:\.\d+)?')[-1], ',', '') end as n
 from p where regexp_matches(model_response, '####[^#]*\d[^#]*$') and not starts_with(model_response, '{')""")
 def guided_numbers(spark: SparkSession, d: str) -> DataFrame:
-    marked = F.col("model_response").rlike(r"####[^#]*\d[^#]*$") & ~F.startswith("model_response", F.lit("{"))
-    return judged(spark, d, lambda p: p.where(marked).withColumn("n", A.guided_number(F.col("model_response"))), "n").select("pred_id", "n")
+    number = lambda p: widened(p.select("pred_id", "model_response", "ingested_at")).withColumn("n", A.guided_number(F.col("model_response")))
+    return judged(spark, d, number, "n").select("pred_id", "n")
 
 
 @query()
