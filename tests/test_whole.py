@@ -124,3 +124,17 @@ def test_options_and_numbers_run_over_every_question(spark, tmp_path):
     assert of(C.nearest_option, "letter") == {"1": "C", "2": "A", "3": None, "4": None}
     assert of(C.option_unique_match, "letter") == {"1": None, "2": "A", "3": None, "4": "A"}
     assert of(C.number_coerce, "value") == {"1": "s:blue", "2": "n:5.000000", "3": "n:7.000000", "4": None}
+
+
+def test_paths_with_null_steps_are_kept(spark, tmp_path):
+    route = "struct<category:string,intent:array<string>,difficulty:int,budget:int,reasoning_path:array<string>,reasoning_path_options:array<array<string>>>"
+    paths = [["a", None], ["a", None], ["a"], [None, "a"], ["x", None], [None]]
+    options = [[["a", None]], None, [["b"]], [["a", None]], [["x", None], ["y"]], [["a"]]]
+    rows = [(i, ("c", ["i"], 1, 2, p, o), at(i)) for i, (p, o) in enumerate(zip(paths, options, strict=True))]
+    put(spark, tmp_path, "teacher", rows, f"teacher_id long, route {route}, ingested_at timestamp")
+    path = put(spark, tmp_path, "bank", [("c", "i", 0, ["b"]), ("c", "i", 1, ["x", None])], "category string, intent string, path_pos int, reasoning_path array<string>")
+    assert sorted(r["path"] for r in C.new_signatures(spark, path).collect()) == ["a", "a>~", "~", "~>a"]
+    got = [(r["path_pos"], r["path"]) for r in C.merged_bank(spark, path).orderBy("path_pos").collect()]
+    assert got == [(0, "b"), (1, "x>~"), (2, "a>~"), (3, "a"), (4, "~>a"), (5, "~")]
+    own, llm = "reasoning_path_bank", "llm_generated"
+    assert {r["teacher_id"]: r["source"] for r in C.path_sources(spark, path).collect()} == {0: own, 2: llm, 3: llm, 4: own, 5: llm}

@@ -202,13 +202,12 @@ SIGNED = f", n as (select {strip_sql('route.category')} as category, {strip_sql(
 
 
 def signed(spark: SparkSession, d: str) -> DataFrame:
-    t = B.signatures(teacher(spark, d, "route"), F.col("route")).select("_sig.*", "teacher_id")
-    return t.where(~F.exists("reasoning_path", lambda s: s.isNull()))
+    return B.signatures(teacher(spark, d, "route"), F.col("route")).select("_sig.*", "teacher_id")
 
 
 @query(TEACH + SIGNED + " select category, intent, array_to_string(path, '>') as path from f")
 def new_signatures(spark: SparkSession, d: str) -> DataFrame:
-    return B.new_signatures(signed(spark, d), table(spark, d, "bank")).select("category", "intent", F.array_join("reasoning_path", ">").alias("path"))
+    return B.new_signatures(signed(spark, d), table(spark, d, "bank")).select("category", "intent", F.array_join("reasoning_path", ">", "~").alias("path"))
 
 
 @query(PRED + """, g as (select * from (select distinct dataset from p), (select distinct method from p), (select distinct model from p))
@@ -486,7 +485,7 @@ def base_routes(spark: SparkSession, d: str) -> DataFrame:
 @query(TEACH + """select teacher_id, case when len(route.reasoning_path) > 0 and list_contains(route.reasoning_path_options, route.reasoning_path) then 'reasoning_path_bank' else 'llm_generated' end as source from t where route is not null and len(route.reasoning_path_options) > 0 and list_count(route.reasoning_path) = len(route.reasoning_path)""")
 def path_sources(spark: SparkSession, d: str) -> DataFrame:
     """Whether the path of a record is one of its own options."""
-    r = teacher(spark, d, "route").where("size(route.reasoning_path_options) > 0 and route.reasoning_path is not null").where(~F.exists("route.reasoning_path", lambda s: s.isNull()))
+    r = teacher(spark, d, "route").where("size(route.reasoning_path_options) > 0 and route.reasoning_path is not null")
     base = F.col("route").withField("reasoning_path", F.lit(None).cast("array<string>"))
     return r.select("teacher_id", B.path_source(F.col("route.reasoning_path"), base).alias("source"))
 
@@ -495,7 +494,7 @@ def path_sources(spark: SparkSession, d: str) -> DataFrame:
 select category, intent, cast(path_pos as bigint) as path_pos, array_to_string(reasoning_path, '>') as path from bank union all select f.category, f.intent, coalesce(last, -1) + row_number() over (partition by f.category, f.intent order by o), array_to_string(path, '>') from f left join l using (category, intent)""")
 def merged_bank(spark: SparkSession, d: str) -> DataFrame:
     """U-b, U-c, U-d: the bank with the routes of all records that it lacks."""
-    return B.merge_routes(table(spark, d, "bank"), signed(spark, d), "teacher_id").select("category", "intent", *big("path_pos"), F.array_join("reasoning_path", ">").alias("path"))
+    return B.merge_routes(table(spark, d, "bank"), signed(spark, d), "teacher_id").select("category", "intent", *big("path_pos"), F.array_join("reasoning_path", ">", "~").alias("path"))
 
 
 @query("select category, intent, count(*) as n_paths from bank group by 1, 2")
