@@ -137,6 +137,6 @@ def fifth(records: DataFrame) -> DataFrame:
 
 
 def found(teacher: DataFrame, targets: DataFrame) -> DataFrame:
-    """p6_found: the targets that can't be met. The counts come from the reservoirs' sketches of the whole table."""
+    """p6_found: the targets that can't be met. The counts are exact ones by category and intent of the whole table; the reservoirs' sketches serve p6_sample and p6_report only."""
     r = teacher_records(teacher)
     return shortfalls(r, targets, fifth(r)).where("missing > 0").select(F.col("target_id").cast("int").alias("target_id"))

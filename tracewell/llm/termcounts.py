@@ -92,7 +92,7 @@ def counts(teacher: DataFrame) -> DataFrame:
 
 
 def found(teacher: DataFrame) -> DataFrame:
-    """p2_found: (field, term, mark) of the terms too rare or too common. An empty table gives no row."""
+    """p2_found: (field, term, mark) of the terms too rare or too common. An empty table gives no row. The whole log is aggregated at once; only in_batches() saves and merges a state."""
     return marks(counts(teacher), n_teachers(teacher)).where("mark is not null").select("field", "term", "mark")
 
 
