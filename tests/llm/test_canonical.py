@@ -90,3 +90,10 @@ def test_segments_meet():
                 del s[at]
         filed = {(len(word), i, p) for i, _, p in C.segments(word, e)}
         assert filed & set(C.probes("".join(s), True))
+
+
+def test_swaps_across_segment_borders_meet():
+    """Each swap may spoil two segments, so two of them four."""
+    for word, token in (("abcdefgh", "acbdegfh"), ("abcdefgh", "abdcefhg"), ("abcdefghij", "abdcefhgij")):
+        filed = {(len(word), i, p) for i, _, p in C.segments(word, C.budget(len(word), False))}
+        assert C.osa(word, token, 3) == 2 and filed & set(C.probes(token, False))

@@ -138,3 +138,10 @@ def test_paths_with_null_steps_are_kept(spark, tmp_path):
     assert got == [(0, "b"), (1, "x>~"), (2, "a>~"), (3, "a"), (4, "~>a"), (5, "~")]
     own, llm = "reasoning_path_bank", "llm_generated"
     assert {r["teacher_id"]: r["source"] for r in C.path_sources(spark, path).collect()} == {0: own, 2: llm, 3: llm, 4: own, 5: llm}
+
+
+def test_average_gap_over_many_datasets(spark, tmp_path):
+    rows = [(f"d{d}", m, run, run == 1 or (m == "SGFT" and d >= 100)) for d in range(104) for m in ("CoT", "SGFT") for run in (1, 2)]
+    p = [(i, "s", d, m, "m", run, "q", "4", "x", "4" if ok else "5", None, at(i)) for i, (d, m, run, ok) in enumerate(rows)]
+    path = put(spark, tmp_path, "predictions", p, PREDICTIONS)
+    assert C.average_gap(spark, path).first()["gap"] == pytest.approx(50 * 4 / 104, abs=1e-5)

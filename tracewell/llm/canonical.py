@@ -5,7 +5,7 @@ vocabulary by edit distance (segment filter, then exact distance), and the repai
 to rank the complete entries. The vocabulary also holds each entry written without spaces ("compound" tokens), so that
 glued or wrongly cut values are repaired by the same join.
 
-The edit-distance join has no cross product: a token within d edits of a word shares one of d + 2 segments of the word,
+The edit-distance join has no cross product: a token within d edits of a word shares one of 2d + 1 segments of the word,
 shifted by at most d places, so both sides meet in an equi-join on (kind, word length, segment number, segment).
 """
 
@@ -117,8 +117,8 @@ def budget(n: int, compound: bool) -> int:
 
 
 def segments(word: str, edits: int) -> list[tuple[int, int, str]]:
-    """(number, start, text) of edits + 2 pieces of nearly equal length (a swap of two letters may fall into two of them)."""
-    k, out, at = min(edits + 2, max(1, len(word))), [], 0
+    """(number, start, text) of 2 * edits + 1 pieces of nearly equal length, single letters in short words (each swap of two letters may fall into two of them)."""
+    k, out, at = min(2 * edits + 1, max(1, len(word))), [], 0
     for i in range(k):
         n = (len(word) - at) // (k - i)
         out.append((i, at, word[at : at + n]))

@@ -1,4 +1,4 @@
-"""Clustering (M2, M3, M4): PCA and DBSCAN within groups, and a DBSCAN of joins for groups of any size."""
+"""Clustering (M2, M3, M4): PCA and DBSCAN within groups, each group in one task."""
 
 from __future__ import annotations
 

@@ -78,14 +78,15 @@ def welch(m_a: Column, v_a: Column, n_a: Column, m_b: Column, v_b: Column, n_b:
     return A.let(F.struct(sa.alias("sa"), sb.alias("sb")), of)
 
 
-def welch_gaps(values: DataFrame, value: str, arm: str, baseline: str) -> DataFrame:
-    """(arm, mean, std, n, base_mean, gap, lo, hi, df, significant) of every other arm against the baseline. An arm needs two values."""
-    g = values.groupBy(arm).agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count(value).alias("n"))
-    base = g.where(F.col(arm) == baseline).select(F.col("m").alias("bm"), F.col("v").alias("bv"), F.col("n").alias("bn"))
-    both = g.where((F.col(arm) != baseline) & (F.col("n") > 1)).crossJoin(F.broadcast(base.where("bn > 1")))
+def welch_gaps(values: DataFrame, value: str, arm: str, baseline: str, *by: str) -> DataFrame:
+    """(by..., arm, mean, std, n, base_mean, gap, lo, hi, df, significant) of every other arm against the baseline, within each `by`. An arm needs two values."""
+    g = values.groupBy(*by, arm).agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count(value).alias("n"))
+    base = g.where(F.col(arm) == baseline).select(*by, F.col("m").alias("bm"), F.col("v").alias("bv"), F.col("n").alias("bn"))
+    arms, base = g.where((F.col(arm) != baseline) & (F.col("n") > 1)), base.where("bn > 1")
+    both = arms.join(base, [*by]) if by else arms.crossJoin(F.broadcast(base))
     c = F.col
-    return both.select(arm, c("m").alias("mean"), F.sqrt("v").alias("std"), "n", c("bm").alias("base_mean"), welch(c("m"), c("v"), c("n"), c("bm"), c("bv"), c("bn")).alias("w")).select(
-        arm, "mean", "std", "n", "base_mean", "w.*"
+    return both.select(*by, arm, c("m").alias("mean"), F.sqrt("v").alias("std"), "n", c("bm").alias("base_mean"), welch(c("m"), c("v"), c("n"), c("bm"), c("bv"), c("bn")).alias("w")).select(
+        *by, arm, "mean", "std", "n", "base_mean", "w.*"
     )
 
 
