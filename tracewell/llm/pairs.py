@@ -1,9 +1,11 @@
 """Broken prompt and response pairs, and text cut off by field limits.
 
-Method: responses are sorted by text (a range shuffle, so that no common beginning makes a hot group) and each is compared with
-its next different neighbour: a value that is a strict prefix of a longer one stands right before it. Lengths at which a source has
-far more values than around them are its limits. On top of this evidence, rules for shells, refusals, copies and languages and
-for open ends decide the defect.
+Method: self-join by prefix. All sentences of the table are sorted by text (a range shuffle, so that no common beginning makes a hot
+group), digits made equal; the unfinished last sentence of a response is a shortened version if the next whole sentence in that order
+begins with it and goes on. Lengths at which a source has far more values than around them are its limits. A response in prose that
+ends openly is truncated if one of the two speaks for it: an open end alone is no evidence, since many writers leave the last stop
+away. A cut mark or a JSON text that never closes speaks for itself. Shells, refusals, copies and other languages are told by
+rules on the single pair, in the same pass, so that a pair has one defect.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.session import bounded, written
+from tracewell.session import written
 
 # Texts that stand for no answer.
 PLACEHOLDERS = frozenset(
@@ -89,6 +91,7 @@ DENSE = re.compile("[\u2e80-\U0010ffff]")
 HAN = re.compile("[\u3400-\u9fff]")
 CYRILLIC = re.compile("[\u0400-\u04ff]")
 FORMULA = re.compile(r"\\[a-zA-Z]+|\$[^$]*\$")
+WORKED = re.compile(r"=\s*[-+]?\d")  # something is worked out
 
 
 class Rules:
@@ -208,191 +211,238 @@ class Rules:
 
     @staticmethod
     def refusal(texts: list[str]) -> bool:
+        """Declines, at any length, and neither announces an answer nor works anything out."""
         text = " ".join(t.strip() for t in texts).replace("’", "'")
-        if len(text) > 320:
-            return False
         low = text.lower()
-        return any(cue in low for cue in REFUSAL_CUES) and bool(REFUSAL.search(low)) and not has_answer(low)
+        return any(cue in low for cue in REFUSAL_CUES) and bool(REFUSAL.search(low)) and not has_answer(low) and not WORKED.search(low)
 
     @staticmethod
     def open_end(text: str, field: str) -> bool:
-        """The value stops within a word, a sentence or a formula."""
+        """The value stops without an end: no final mark, no announced answer. Shorter ones than a phrase are taken for bare answers."""
         s = text.rstrip()
-        if CUT_MARK.search(s):
-            return True
         if s.count("{") > s.count("}") or re.search(r"\\[a-zA-Z]*$", s):
             return True
         if field == "gold_ans":
             if s.count("(") > s.count(")"):
                 return True
             return len(re.findall(r"[^\W\d_]{2,}", s)) >= 3 and not re.search(r"[.!?。！？:;)\]}\"'”»]$", s)
-        if ANSWER_END.search(s[-120:]):
+        if ANSWER_END.search(s[s.rfind("\n") + 1 :]):
             return False
         if re.search(r"[.!?。！？]$", s) or (re.search(r"[”»\])}\"'`]$|\S\*\*$", s) and (has_answer(s) or len(s) < 60)):
             return False
         return len(s) >= 25 or len(re.findall(r"[^\W\d_]+", s)) >= 4
 
-    def defect(self, field: str, question: str | None, options: str | None, value: str | None, shortened: bool = False) -> str | None:
+    def judge(self, field: str, question: str | None, options: str | None, value: str | None) -> tuple[str | None, str | None]:
+        """(defect, evidence) of a pair by itself; the defect "open" waits for evidence from other values, its second member is the defect
+        that holds if there is none."""
         if value is None:
-            return "empty"
+            return "empty", None
         texts, open_json = parsed = self.content(value)
         if self.empty(value, parsed):
-            return "empty"
+            return "empty", None
         if open_json:
-            return "truncated"
+            return "truncated", "structure"
         texts = [t for t in texts if t and t.strip()]
         if self.refusal(texts):
-            return "refusal"
+            return "refusal", None
         if self.copied(question, options, texts):
-            return "copied"
+            return "copied", None
         prose = texts == [value] or len(texts) == 1 and value.strip()[:1] not in "{["
         text = " ".join(texts)
         asked = self.question_language(question) if question else ""
         spoken = self.language(text) if len(text) > 4 else ""
-        other = bool(asked and spoken and asked != spoken)
+        other = "language" if asked and spoken and asked != spoken else None
         if field == "gold_ans" and other and value.count("(") <= value.count(")"):
-            return "language"
+            return "language", None
+        if CUT_MARK.search(value.rstrip()):
+            return "truncated", "mark"
         if prose and self.open_end(value, field):
-            return "truncated"
-        if not prose and CUT_MARK.search(value.rstrip()):
-            return "truncated"
-        if shortened and prose and len(value) >= 40 and not has_answer(value):
-            return "truncated"
-        return "language" if other else None
+            # gold answers are phrases without copies elsewhere: their own end decides
+            return ("truncated", "end") if field == "gold_ans" else ("open", other)
+        return other, None
+
+
+# Where a text is cut into sentences, and a sentence into clauses.
+SENTENCE = r'(?<=[.!?"])[ \t\r\n]+|(?<=[。！？])[ \t\r\n]*|[ \t\r]*\n[ \t\r\n]*'
+CLAUSE = r"(?<=[,:;])[ \t]+"
+LEAST_CLAUSE = 12  # signs; shorter clauses begin too many others
+
 
+def tails(value: str) -> tuple[str, str | None]:
+    """The unfinished last sentence of a value and its last clause (null if that is short or the whole), digits made equal."""
+    s = re.split(SENTENCE, re.sub(r"[0-9]+", "0", value.strip(" \t\r\n")))[-1]
+    c = re.split(CLAUSE, s)[-1]
+    return s, c if LEAST_CLAUSE <= len(c) < len(s) else None
 
-PAIR = "tbl string, row_id long, field string, question string, options string, value string"
-DEFECT = "tbl string, row_id long, field string, defect string"
 
+JUDGED = "tbl string, row_id long, field string, source string, defect string, evidence string, tail string, clause string, n_chars int, n_bytes int"
 
-def pair(tbl: str, row_id: str, field: str, value: str, *, question: str = "question", options: str = "options") -> list[Column]:
-    return [F.lit(tbl).alias("tbl"), F.col(row_id).cast("long").alias("row_id"), F.lit(field).alias("field"), F.col(question).alias("question"), F.col(options).alias("options"), F.col(value).alias("value")]
+
+def pair(tbl: str, row_id: str, field: str, value: str, *, question: str = "question", options: str = "options", source: str | None = None) -> list[Column]:
+    src = F.col(source) if source else F.lit(None).cast("string")
+    return [F.lit(tbl).alias("tbl"), F.col(row_id).cast("long").alias("row_id"), F.lit(field).alias("field"), src.alias("source"), F.col(question).alias("question"), F.col(options).alias("options"), F.col(value).alias("value")]
 
 
 # a number, letter, truth value, root or fraction: never a defect, and not worth a trip to Python
 PLAIN = r"^(?:[-+]?[0-9][0-9.,/]*|[A-Ea-e]|true|false|yes|no|\\sqrt\{[0-9]+\}|-?\\d?frac\{[0-9]+\}\{[0-9]+\})$"
 
 
-def with_defects(pairs: DataFrame, shortened: bool = False) -> DataFrame:
-    """(tbl, row_id, field, defect) of the pairs that have one; each row for itself, so that nothing is shuffled."""
+def judged(pairs: DataFrame) -> DataFrame:
+    """The pairs with a defect of their own or an open end; each row for itself, so that nothing is shuffled."""
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rules = Rules()
+        names = [c.split()[0] for c in JUDGED.split(", ")]
         for pdf in batches:
-            out = [rules.defect(f, q, o, v, shortened) for f, q, o, v in zip(pdf["field"], pdf["question"], pdf["options"], pdf["value"], strict=True)]
-            rows = [(t, i, f, d) for t, i, f, d in zip(pdf["tbl"], pdf["row_id"], pdf["field"], out, strict=True) if d]
+            rows = []
+            for t, i, f, src, q, o, v in zip(*(pdf[c] for c in ("tbl", "row_id", "field", "source", "question", "options", "value")), strict=True):
+                defect, evidence = rules.judge(f, q, o, v)
+                if defect == "open":
+                    rows.append((t, i, f, src, defect, evidence, *tails(v), len(v), len(v.encode("utf-8", "replace"))))
+                elif defect:
+                    rows.append((t, i, f, src, defect, evidence, None, None, 0, 0))
             if rows:
-                yield pd.DataFrame(rows, columns=["tbl", "row_id", "field", "defect"])
+                yield pd.DataFrame(rows, columns=names)
 
-    return pairs.where(F.col("value").isNull() | ~F.col("value").rlike(PLAIN)).mapInPandas(classify, DEFECT)
+    return pairs.where(F.col("value").isNull() | ~F.col("value").rlike(PLAIN)).mapInPandas(classify, JUDGED)
 
 
-SORTED = "short boolean, part int, row_id long, tbl string, first string, second string, last string"
+def sentences(values: DataFrame) -> DataFrame:
+    """(text): the distinct finished sentences and clauses of all values, digits made equal. Distinct before the shuffle, too."""
+    v = F.regexp_replace("value", "[0-9]+", "0")
+    parts = values.where("value is not null").select(F.split(v, SENTENCE).alias("p"), F.col("value").rlike(r"[.!?。！？]\s*$").alias("whole"))
+    done = F.when(F.col("whole"), F.col("p")).otherwise(F.slice("p", F.lit(1), F.size("p") - 1))
+    clauses = F.flatten(F.transform(done, lambda x: F.filter(F.split(x, CLAUSE), lambda c: F.length(c) >= LEAST_CLAUSE)))
+    return parts.select(F.explode(F.array_distinct(F.concat(done, clauses))).alias("text")).where("text <> ''").distinct()
 
 
-def shortened(values: DataFrame, least: int = 20) -> DataFrame:
-    """(tbl, row_id) of values that are strict prefixes of a longer value of the table.
+def shortened(unfinished: DataFrame, finished: DataFrame) -> DataFrame:
+    """(text): the unfinished texts that are strict prefixes of a finished one.
 
-    values: tbl, row_id, value. Values are range-partitioned by text (equal ones by id too), so a hot beginning or a text that is
-    repeated a million times spreads over many tasks; the next different text after the last one of a task is found from one
-    row for each task. Values of fewer than `least` characters, nulls and repeats of equal text are never shortened versions.
+    Both: text, each distinct. They are range-partitioned and sorted together; a text is a strict prefix of some finished one exactly if
+    the next longer finished one in this order begins with it. Where that stands in a later task it is found from one row for each task,
+    the first finished text of it. No text occurs twice, so no beginning and no repeat makes a hot task.
     """
-    v = values.select("tbl", F.col("row_id").cast("long").alias("row_id"), "value").where(F.length("value") >= least)
-    ordered = v.repartitionByRange("value", "row_id").sortWithinPartitions("value", "row_id").withColumn("part", F.spark_partition_id())
+    both = finished.select("text", F.lit(True).alias("done")).unionByName(unfinished.select("text", F.lit(False).alias("done")))
+    # written first: a range shuffle reads its input twice
+    ordered = written(both, "sentences").repartitionByRange("text").sortWithinPartitions("text", "done").withColumn("part", F.spark_partition_id())
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["short", "part", "row_id", "tbl", "first", "second", "last"]
-        first = second = last = None
+        waiting: list[str] = []
+        seen = False
         part = -1
-        pending: list[tuple[int, str]] = []  # rows of the last text; a part holds no more than its share of all rows
         for pdf in batches:
-            out = []
-            for p, i, t, x in zip(pdf["part"], pdf["row_id"], pdf["tbl"], pdf["value"], strict=True):
+            rows = []
+            for p, text, done in zip(pdf["part"], pdf["text"], pdf["done"], strict=True):
                 part = p
-                if last is None:
-                    first = last = x
-                elif x != last:
-                    second = x if second is None else second
-                    if x.startswith(last):
-                        out += [(True, p, j, u, None, None, None) for j, u in pending]
-                    pending = []
-                    last = x
-                pending.append((i, t))
-            yield pd.DataFrame(out, columns=cols)
-        if last is not None:
-            yield pd.DataFrame([(False, part, j, u, None, None, None) for j, u in pending] + [(None, part, None, None, first, second, last)], columns=cols)
-
-    def cut_parts(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Parts whose last text is a strict prefix of the next text after it."""
-        rows = list(pdf.sort_values("part")[["part", "first", "second", "last"]].itertuples(index=False))
-        out, after = [], []
-        for part, first, second, last in reversed(rows):
-            following = next((x for x in after if x != last), None)
-            if following is not None and following.startswith(last):
-                out.append(part)
-            after = [x for x in (first, second) if x is not None] + after[:2]
-            after = list(dict.fromkeys(after))[:3]
-        return pd.DataFrame({"part": out}, dtype="int32")
-
-    seen = written(ordered.mapInPandas(neighbours, SORTED), "neighbours")
-    parts = seen.where("short is null").select("part", "first", "second", "last").groupBy().applyInPandas(cut_parts, "part int")
-    ends = seen.where("short = false").join(F.broadcast(parts), "part", "left_semi")
-    return seen.where("short = true").select("tbl", "row_id").unionByName(ends.select("tbl", "row_id")).distinct()
-
-
-MAX_SHORTENED = 1_000_000
-
-
-def defects(pairs: DataFrame, responses: DataFrame) -> DataFrame:
-    """(tbl, row_id, field, defect), one row for each defective pair; repeated rows count once.
-
-    pairs: all values with their questions. responses: those of them to be compared with each other (tbl, row_id, value), or
-    fewer. A null, blank or shell value is `empty`; a null question rules out `copied` and `language`.
+                if not done:
+                    waiting.append(text)
+                    continue
+                if not seen:
+                    rows.append(("first", p, text))
+                    seen = True
+                # an unfinished text equal to a finished one waits for the next
+                rows += [("prefix", p, w) for w in waiting if w != text and text.startswith(w)]
+                waiting = [w for w in waiting if w == text]
+            if rows:
+                yield pd.DataFrame(rows, columns=["kind", "part", "text"])
+        if waiting:
+            yield pd.DataFrame([("last", part, w) for w in waiting], columns=["kind", "part", "text"])
+
+    got = written(ordered.mapInPandas(neighbours, "kind string, part int, text string"), "neighbours")
+    firsts = got.where("kind = 'first'").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("_firsts"))
+    last = got.where("kind = 'last'").crossJoin(F.broadcast(firsts))
+    later = F.get(F.filter("_firsts", lambda x: (x["part"] > F.col("part")) & (x["text"] != F.col("text"))), F.lit(0))["text"]
+    return got.where("kind = 'prefix'").select("text").unionByName(last.where(F.startswith(later, F.col("text"))).select("text"))
+
+
+EVIDENCE = ("structure", "mark", "end", "prefix", "limit")
+
+
+def defects(pairs: DataFrame, sizes: DataFrame | None = None, without: tuple[str, ...] = ()) -> DataFrame:
+    """(tbl, row_id, field, defect, evidence), one row for each defective pair; repeated rows count once.
+
+    pairs: all values with their questions. sizes: (source, value) to learn limits from. evidence: what speaks for a truncation (array of
+    structure, mark, end, prefix, limit), null for other defects. without: kinds of evidence to leave out, to see what each adds.
+    A null, blank or shell value is `empty`; a null question rules out `copied` and `language`.
     """
-    short = shortened(responses)
-    again = pairs.where("field <> 'gold_ans'").join(bounded(short, MAX_SHORTENED), ["tbl", "row_id"], "left_semi")
-    return with_defects(pairs).unionByName(with_defects(again, shortened=True)).distinct()
+    j = written(judged(pairs), "judged")
+    ends = j.where("defect = 'open'")
+    own = j.where("defect <> 'open'").select("tbl", "row_id", "field", "defect", F.when(F.col("evidence").isNotNull(), F.array("evidence")).alias("evidence"))
+    unfinished = ends.select(F.explode(F.filter(F.array("tail", "clause"), lambda x: x.isNotNull() & (x != ""))).alias("text")).distinct()
+    short = shortened(unfinished, sentences(pairs.where("field <> 'gold_ans'"))) if "prefix" not in without else unfinished.limit(0)
+    hit = short.select(F.col("text").alias("_text")).distinct()
+    e = ends.join(hit, F.col("tail") == F.col("_text"), "left").withColumnRenamed("_text", "_tail").join(hit, F.col("clause") == F.col("_text"), "left").withColumnRenamed("_text", "_clause")
+    if sizes is None or "limit" in without:
+        e = e.withColumn("_limit", F.lit(False))
+    else:
+        lim = limits(sizes)
+        # a text cut at a number of bytes ends up to three bytes before it, where its last sign had more
+        reach = F.explode(F.when(F.col("unit") == "bytes", F.sequence(F.col("size_limit") - 3, F.col("size_limit"))).otherwise(F.array("size_limit")))
+        at = lim.select(F.coalesce("source", F.lit("")).alias("_s"), "unit", reach.alias("_size")).distinct()
+        places = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("_size")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("_size"))))
+        on = ends.select("tbl", "row_id", "field", F.coalesce("source", F.lit("")).alias("_s"), places.alias("x")).select("tbl", "row_id", "field", "_s", "x.*").join(at, ["_s", "unit", "_size"])
+        e = e.join(on.select("tbl", "row_id", "field", F.lit(True).alias("_limit")).distinct(), ["tbl", "row_id", "field"], "left")
+    prefix = F.col("_tail").isNotNull() | F.col("_clause").isNotNull()
+    evidence = F.array_compact(F.array(F.when(prefix, "prefix"), F.when(F.col("_limit"), "limit")))
+    e = e.select("tbl", "row_id", "field", F.when(F.size(evidence) > 0, "truncated").otherwise(F.col("evidence")).alias("defect"), F.when(F.size(evidence) > 0, evidence).alias("evidence"))
+    return own.unionByName(e.where("defect is not null")).distinct()
 
 
 def prediction_pairs(predictions: DataFrame, *fields: str) -> DataFrame:
     out = None
     for f in fields:
-        p = predictions.select(*pair("predictions", "pred_id", f, f))
+        p = predictions.select(*pair("predictions", "pred_id", f, f, source="source"))
         out = p if out is None else out.unionByName(p)
     return out
 
 
+def response_sizes(predictions: DataFrame) -> DataFrame:
+    return predictions.select("source", F.col("model_response").alias("value"))
+
+
 def found(predictions: DataFrame, teacher: DataFrame) -> DataFrame:
     """p3_found over both tables."""
     tp = teacher.select(*pair("teacher", "teacher_id", "response_rationale", "response_rationale"))
     pp = prediction_pairs(predictions, "model_response", "gold_ans")
-    responses = pp.where("field = 'model_response'").unionByName(tp).select("tbl", "row_id", "value")
-    return defects(pp.unionByName(tp), responses)
+    return defects(pp.unionByName(tp), response_sizes(predictions)).select("tbl", "row_id", "field", "defect")
+
+
+def truncations(predictions: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """(pred_id, evidence) of predictions whose response was cut off."""
+    d = defects(prediction_pairs(predictions, "model_response"), response_sizes(predictions), without)
+    return d.where("defect = 'truncated'").select(F.col("row_id").alias("pred_id"), "evidence")
 
 
 def truncated(predictions: DataFrame) -> DataFrame:
     """p5_found: predictions whose response was cut off."""
-    pp = prediction_pairs(predictions, "model_response")
-    return defects(pp, pp.select("tbl", "row_id", "value")).where("defect = 'truncated'").select(F.col("row_id").alias("pred_id")).distinct()
+    return truncations(predictions).select("pred_id").distinct()
+
+
+def by_evidence(predictions: DataFrame) -> DataFrame:
+    """(evidence, n, n_alone): how many truncations each kind of evidence speaks for, and how many would be missed without it."""
+    e = truncations(predictions).select(F.explode("evidence").alias("evidence"), (F.size("evidence") == 1).alias("alone"))
+    return e.groupBy("evidence").agg(F.count("*").alias("n"), F.count_if("alone").alias("n_alone"))
 
 
 def limits(values: DataFrame, least: int = 100, times: float = 8.0, window: int = 20, at_least: int = 5) -> DataFrame:
-    """(source, size_limit, n_at_limit): lengths at which a source has far more values than around them.
+    """(source, unit, size_limit, n_at_limit): lengths, in chars or bytes, at which a source has far more values than around them.
 
-    values: source, value. A limit is a length of at least `least` characters that holds at least `at_least` values and `times` as many
+    values: source, value. A limit is a length of at least `least` that holds at least `at_least` values and `times` as many
     as the mean of the `window` lengths on either side. Counts are summed before the shuffle; a source has few lengths.
     """
-    n = values.where(F.length("value") >= least).groupBy("source", F.length("value").alias("len")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("source").orderBy("len").rangeBetween(-window, window)
+    size = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("value").alias("len")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("value").alias("len"))))
+    n = values.select("source", size.alias("x")).select("source", "x.*").where(F.col("len") >= least).groupBy("source", "unit", "len").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("source", "unit").orderBy("len").rangeBetween(-window, window)
     around = (F.sum("n").over(w) - F.col("n")) / (2 * window)
-    return n.withColumn("around", around).where((F.col("n") >= at_least) & (F.col("n") >= times * F.greatest(F.col("around"), F.lit(0.2)))).select("source", F.col("len").alias("size_limit"), F.col("n").alias("n_at_limit"))
+    many = (F.col("n") >= at_least) & (F.col("n") >= times * F.greatest(F.col("around"), F.lit(0.2)))
+    return n.withColumn("around", around).where(many).select("source", "unit", F.col("len").alias("size_limit"), F.col("n").alias("n_at_limit"))
 
 
 def by_source(predictions: DataFrame) -> DataFrame:
     """How often each source truncates, and its most used size limit: (source, n, n_truncated, share, size_limit). A null source is one, too."""
-    once = predictions.select("pred_id", "source", "model_response").dropDuplicates(["pred_id"])
-    cut = truncated(predictions).withColumn("cut", F.lit(1))
-    rows = once.select("pred_id", "source", F.length("model_response").alias("len")).join(cut, "pred_id", "left")
+    once = predictions.groupBy("pred_id").agg(F.min("source").alias("source"))
+    rows = once.join(truncated(predictions).withColumn("cut", F.lit(1)), "pred_id", "left")
     n = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.coalesce("cut", F.lit(0))).alias("n_truncated"))
-    lim = limits(once.select("source", F.col("model_response").alias("value"))).groupBy("source").agg(F.max_by("size_limit", "n_at_limit").alias("size_limit"))
+    lim = limits(response_sizes(predictions)).groupBy("source").agg(F.max_by("size_limit", F.struct("n_at_limit", "unit", "size_limit")).alias("size_limit"))
     return n.join(lim, n["source"].eqNullSafe(lim["source"]), "left").select(n["source"], "n", "n_truncated", (F.col("n_truncated") / F.col("n")).alias("share"), "size_limit")

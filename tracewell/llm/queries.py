@@ -45,6 +45,10 @@ def p5_by_source(spark: SparkSession, d: str) -> DataFrame:
     return pairs.by_source(table(spark, d, "predictions"))
 
 
+def p5_by_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.by_evidence(table(spark, d, "predictions"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return sampling.found(table(spark, d, "teacher"), table(spark, d, "sample_targets"))
 
@@ -99,7 +103,7 @@ c as (select field, term, cast(count(*) as bigint) as n_occurrences, cast(count(
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_counts, p2_counts_in_batches, p3_found, p5_found, p5_by_source, p6_found, p6_sample, p6_report, p7_ids, p8_mix, p8_report, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_counts, p2_counts_in_batches, p3_found, p5_found, p5_by_source, p5_by_evidence, p6_found, p6_sample, p6_report, p7_ids, p8_mix, p8_report, p9_found, p9_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
