@@ -1,7 +1,7 @@
 """Broken prompt and response pairs, and text cut off by field limits.
 
-Method: self-join by prefix. All sentences of the table are sorted by text (a range shuffle, so that no common beginning makes a hot
-group), digits made equal; the unfinished last sentence of a response is a shortened version if the next whole sentence in that order
+Method: self-join by prefix. All sentences of the table are sorted by text without digits (a range shuffle, so that no common beginning makes a
+hot group); the unfinished last sentence of a response is a shortened version if the next whole sentence in that order
 begins with it and goes on. Lengths at which a source has far more values than around them are its limits. A response in prose that
 ends openly is truncated if one of the two speaks for it: an open end alone is no evidence, since many writers leave the last stop
 away. A cut mark or a JSON text that never closes speaks for itself. Shells, refusals, copies and other languages are told by
@@ -39,7 +39,10 @@ ANSWER = (
 
 def has_answer(text: str) -> bool:
     low = text.lower()
-    return any(cue in low for cue in ANSWER)
+    for cue in ANSWER:
+        if cue in low:
+            return True
+    return False
 
 
 ANSWER_END = re.compile(r"(?:####|\b(?:final answer|answer|respuesta|resposta|réponse|antwort|ответ)\s*:|答案[:：])[ \t]*\S[^\n]{0,60}$", re.I)
@@ -214,7 +217,10 @@ class Rules:
         """Declines, at any length, and neither announces an answer nor works anything out."""
         text = " ".join(t.strip() for t in texts).replace("’", "'")
         low = text.lower()
-        return any(cue in low for cue in REFUSAL_CUES) and bool(REFUSAL.search(low)) and not has_answer(low) and not WORKED.search(low)
+        for cue in REFUSAL_CUES:
+            if cue in low:
+                return not has_answer(low) and not WORKED.search(low) and bool(REFUSAL.search(low))
+        return False
 
     @staticmethod
     def open_end(text: str, field: str) -> bool:
@@ -254,7 +260,7 @@ class Rules:
         other = "language" if asked and spoken and asked != spoken else None
         if field == "gold_ans" and other and value.count("(") <= value.count(")"):
             return "language", None
-        if CUT_MARK.search(value.rstrip()):
+        if CUT_MARK.search(value.rstrip()[-100:]):  # a mark is shorter than that
             return "truncated", "mark"
         if prose and self.open_end(value, field):
             # gold answers are phrases without copies elsewhere: their own end decides
@@ -262,15 +268,16 @@ class Rules:
         return other, None
 
 
-# Where a text is cut into sentences, and a sentence into clauses.
-SENTENCE = r'(?<=[.!?"])[ \t\r\n]+|(?<=[。！？])[ \t\r\n]*|[ \t\r]*\n[ \t\r\n]*'
-CLAUSE = r"(?<=[,:;])[ \t]+"
+# Where a text is cut into sentences, and a sentence into clauses: at a space after a mark, or at a sign of its own.
+SENTENCE = r' (?<=[.!?"] )|[\n。！？]'
+CLAUSE = r" (?<=[,:;] )"
 LEAST_CLAUSE = 12  # signs; shorter clauses begin too many others
+DIGITS = "0123456789"
 
 
 def tails(value: str) -> tuple[str, str | None]:
-    """The unfinished last sentence of a value and its last clause (null if that is short or the whole), digits made equal."""
-    s = re.split(SENTENCE, re.sub(r"[0-9]+", "0", value.strip(" \t\r\n")))[-1]
+    """The unfinished last sentence of a value and its last clause (null if that is short or the whole), both without digits."""
+    s = re.split(SENTENCE, value.strip(" \t\r\n").translate(str.maketrans("", "", DIGITS)))[-1]
     c = re.split(CLAUSE, s)[-1]
     return s, c if LEAST_CLAUSE <= len(c) < len(s) else None
 
@@ -308,12 +315,14 @@ def judged(pairs: DataFrame) -> DataFrame:
 
 
 def sentences(values: DataFrame) -> DataFrame:
-    """(text): the distinct finished sentences and clauses of all values, digits made equal. Distinct before the shuffle, too."""
-    v = F.regexp_replace("value", "[0-9]+", "0")
-    parts = values.where("value is not null").select(F.split(v, SENTENCE).alias("p"), F.col("value").rlike(r"[.!?。！？]\s*$").alias("whole"))
+    """(text): the distinct finished sentences and clauses of all values, without digits. Distinct before the shuffle, too."""
+    v = F.rtrim(F.translate("value", DIGITS, ""))
+    parts = values.where("value is not null").select(F.split(v, SENTENCE).alias("p"), F.right(v, F.lit(1)).isin(*".!?。！？").alias("whole"))
     done = F.when(F.col("whole"), F.col("p")).otherwise(F.slice("p", F.lit(1), F.size("p") - 1))
-    clauses = F.flatten(F.transform(done, lambda x: F.filter(F.split(x, CLAUSE), lambda c: F.length(c) >= LEAST_CLAUSE)))
-    return parts.select(F.explode(F.array_distinct(F.concat(done, clauses))).alias("text")).where("text <> ''").distinct()
+    # a list of one clause is the sentence itself
+    clauses = F.transform(F.col("p"), lambda x: F.split(x, CLAUSE))
+    own = F.filter(F.flatten(F.transform(clauses, lambda cs: F.when(F.size(cs) > 1, cs).otherwise(F.array().cast("array<string>")))), lambda c: F.length(c) >= LEAST_CLAUSE)
+    return parts.select(done.alias("p")).select(F.explode(F.concat("p", own)).alias("text")).where("text <> ''").distinct()
 
 
 def shortened(unfinished: DataFrame, finished: DataFrame) -> DataFrame:
