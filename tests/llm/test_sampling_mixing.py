@@ -48,21 +48,40 @@ def test_shortfalls(spark, targets):
 
 def test_quotas_sum_and_minimums():
     rnd = random.Random(1)
-    for _ in range(200):
-        rows = [(t, rnd.randrange(0, 4000), rnd.randrange(0, 6), rnd.randrange(0, 60), rnd.randrange(0, 80)) for t in range(rnd.randrange(1, 8))]
+    for _ in range(300):
+        groups = {g: rnd.randrange(0, 120) for g in "abc"}
+        rows = []
+        for t in range(rnd.randrange(1, 8)):
+            g = rnd.choice("abc")
+            rows.append((t, rnd.randrange(0, 4000), rnd.randrange(0, 6), rnd.randrange(0, 60), rnd.randrange(0, groups[g] + 1), g))
         n = rnd.randrange(0, 200)
-        q = S.quotas(rows, n)
-        total = sum(h for *_, h in rows)
-        low = sum(min(m, h) for _, _, m, _, h in rows)
-        assert all(0 <= q[t] <= h and q[t] >= min(m, h) for t, _, m, _, h in rows if q[t] != min(m, h))
-        assert sum(q.values()) == min(max(n, low), total) or not any(h for *_, h in rows)
+        q = S.quotas(rows, groups, n)
+        drawn = {g: sum(q[t] for t, *_, h in rows if h == g) for g in groups}
+        can = sum(min(groups[g], sum(h for *_, h, k in rows if k == g)) for g in groups)
+        low = S.quotas([(t, s, m, 0, h, g) for t, s, m, _, h, g in rows], groups, 0)
+        assert all(0 <= q[t] <= h for t, _, _, _, h, _ in rows) and all(drawn[g] <= groups[g] for g in groups)
+        assert all(q[t] >= low[t] for t in q) and sum(q.values()) == min(max(n, sum(low.values())), can)
+
+
+def test_whole_category_draws_what_intents_leave(spark):
+    rows = [(i, "A", "x") for i in range(1000)] + [(1000 + i, "A", None if i % 2 else "y") for i in range(100)]
+    df = spark.createDataFrame(rows, "key long, category string, intent string")
+    t = spark.createDataFrame([(1, "A", "x", 1000, 10), (2, "A", None, 9000, 500), (3, "A", "x", 1, 5)], "target_id int, category string, intent string, share_bp int, min_rows int")
+    size = spark.createDataFrame([(600,)], "n long")
+    out = S.sample(df, t, size).collect()
+    n = Counter(r["target_id"] for r in out)
+    assert len({r["key"] for r in out}) == len(out) == 600 and n[2] >= 500 and n[1] >= 10 and n[3] == 0
+    assert sum(r["cell"] == "x" for r in out if r["target_id"] == 2) > 400
+    got = {r["target_id"]: (r["need"], r["available"], r["missing"], r["quota"]) for r in S.shortfalls(df, t, size).collect()}
+    assert got[1][:3] == (60, 1000, 0) and got[2][:3] == (540, 1100, 0) and got[3][1] == 1000
+    assert {k: v[3] for k, v in got.items()} == {1: n[1], 2: n[2], 3: 0}
 
 
 def test_sample_edges(spark, targets):
     df, _ = data(spark, 50)
     assert S.sample(df.limit(0), targets, S.fifth(df.limit(0))).count() == 0
     assert S.sample(df, targets.limit(0), S.fifth(df)).count() == 0
-    clash = df.withColumns({c: F.lit(1) for c in ("need", "n", "target_id", "slice", "priority", "last_slice", "_c", "_rank")})
+    clash = df.withColumns({c: F.lit(1) for c in ("need", "n", "target_id", "slice", "priority", "slice_a", "cell", "first", "_c", "_rank")})
     same = targets.withColumns({c: F.lit(1) for c in ("need", "n", "available", "size")})
     assert {r["key"] for r in S.sample(clash, same, S.fifth(clash)).collect()} == {r["key"] for r in S.sample(df, targets, S.fifth(df)).collect()}
     assert S.shortfalls(clash, same, S.fifth(clash)).count() == 4
