@@ -67,6 +67,12 @@ def test_open_and_embedded():
     assert ("r{}", (0,), ("k1",), "string", "v") in t and ("r{}.text", (1,), ("k2",), "string", "w") in t and ("e.i[]", (0,), (None,), "number", "1") in t
 
 
+def test_lone_texts_as_lists():
+    t = N.triples_of('{"a": "x", "b": [["y"], "z"], "c": " ", "d": 1}', lists=frozenset({"a", "b", "b[]", "c", "d"}))
+    assert ("a[]", (0,), (None,), "string", "x") in t and ("b[][]", (1, 0), (None, None), "string", "z") in t and ("b[][]", (0, 0), (None, None), "string", "y") in t
+    assert ("c", (), (), "array", None) in t and not [x for x in t if x[0] == "c[]"] and ("d", (), (), "number", "1") in t
+
+
 def children(spark, payloads):
     df = spark.createDataFrame([(i, p, 1, "x") for i, p in enumerate(payloads)], "record_id long, payload string, received_at int, pos string")
     return sorted(tuple(r) for r in N.second_round_children(df).collect())
@@ -103,3 +109,6 @@ def test_pivot(spark):
     inner = sorted((r["key"], *r["ordinals"], r["n"]) for r in N.pivot(t, "o[].l[]", {"n": "n"}).collect())
     assert inner == [(i, a, b, str(y["n"])) for i, d in enumerate(docs) for a, x in enumerate(d["o"]) for b, y in enumerate(x["l"])]
     assert {r["ancestor"] for r in N.explore(t).collect()} >= {"o[]", "o[].l[]"}
+    both = N.pivots(t, {"o[]": {"q": "q"}, "o[].l[]": {"n": "n"}}).collect()
+    assert sorted((r["key"], r["ordinals"][0], r["q"]) for r in both if r["ancestor"] == "o[]") == outer
+    assert sorted((r["key"], *r["ordinals"], r["n"]) for r in both if r["ancestor"] == "o[].l[]") == inner

@@ -155,6 +155,8 @@ def test_growth(spark, tmp_path):
     assert {tuple(r["reasoning_path"]) for r in g.bank.read().collect()} == {("a",), ("b",), ("d",)}
     assert {tuple(r["reasoning_path"]) for r in g.pending.read().collect()} == {("e",)}
     assert spark.read.parquet(g.history).count() == 1
+    g.batch(spark.read.schema(schema).parquet(str(tmp_path / "in" / "part=1")), 1)  # comes again
+    assert g.bank.read().count() == 3 and g.pending.read().count() == 1 and spark.read.parquet(g.history).count() == 1
 
 
 def test_stream_runs_and_resumes(spark, tmp_path):

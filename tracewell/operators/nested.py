@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRIPLE = "path string, ordinals array<int>, names array<string>, kind string, value string"
@@ -31,12 +31,13 @@ def _text(token: str) -> str:
     return json.loads(token) if "\\" in token else token[1:-1]
 
 
-def triples_of(text: str, *, open_objects: frozenset[str] = frozenset(), embedded: frozenset[str] = frozenset(), prefix: str = "") -> list[tuple]:
+def triples_of(text: str, *, open_objects: frozenset[str] = frozenset(), embedded: frozenset[str] = frozenset(), lists: frozenset[str] = frozenset(), prefix: str = "") -> list[tuple]:
     """(path, ordinals, names, kind, value) of every node of a complete JSON object, in the order of the text.
 
     kind: object, array, string, number, boolean, null. names holds the keys of open objects on the way, null for array elements.
-    A text at a path in `embedded` that is itself a complete JSON object or array is parsed in place. Of a key that an object
-    has twice, the last counts. Raises Incomplete for anything else than one complete object.
+    A text at a path in `embedded` that is itself a complete JSON object or array is parsed in place. A lone text at a path in `lists`
+    counts as an array of one, a blank one as an empty array. Of a key that an object has twice, the last counts. Raises Incomplete
+    for anything else than one complete object.
     """
     out: list[tuple | None] = []
     # a frame: closing sign, path, ordinals, names, next ordinal, where each key's triples begin, open object?
@@ -115,11 +116,16 @@ def triples_of(text: str, *, open_objects: frozenset[str] = frozenset(), embedde
             raise Incomplete
         if string is not None:
             s = _text(string)
-            inner = _inner(s, path, ords, names, open_objects, embedded) if path in embedded else None
+            inner = _inner(s, path, ords, names, open_objects, embedded, lists) if path in embedded else None
             if inner is not None:
                 out += inner
             else:
-                out.append((path, ords, names, "string", s))
+                p, o, n = path, ords, names
+                while p in lists and o is not None:
+                    out.append((p, o, n, "array", None))
+                    p, o, n = (p + "[]", (*o, 0), (*n, None)) if s.strip() else (p, None, n)
+                if o is not None:
+                    out.append((p, o, n, "string", s))
         elif number is not None:
             out.append((path, ords, names, "number", number))
         else:
@@ -138,11 +144,11 @@ def _under(t: tuple, frame: list, key: str) -> bool:
     return t[0] == p or t[0].startswith((p + ".", p + "[", p + "{"))
 
 
-def _inner(s: str, path: str, ords: tuple, names: tuple, open_objects: frozenset[str], embedded: frozenset[str]) -> list[tuple] | None:
+def _inner(s: str, path: str, ords: tuple, names: tuple, open_objects: frozenset[str], embedded: frozenset[str], lists: frozenset[str]) -> list[tuple] | None:
     if not s.lstrip()[:1] == "{":
         return None
     try:
-        got = triples_of(s, open_objects=open_objects, embedded=embedded - {path}, prefix=path)
+        got = triples_of(s, open_objects=open_objects, embedded=embedded - {path}, lists=lists, prefix=path)
     except Incomplete:
         return None
     return [(p, (*ords, *o), (*names, *n), k, v) for p, o, n, k, v in got]
@@ -158,74 +164,83 @@ def first_present(found: list[tuple], name: str, places: Sequence[str]) -> list[
 
 
 def triples(
-    records: DataFrame, key: str, text: str, *, open_objects: Sequence[str] = (), embedded: Sequence[str] = (), alternatives: dict[str, Sequence[str]] | None = None
+    records: DataFrame, key: str, text: str, *, open_objects: Sequence[str] = (), embedded: Sequence[str] = (), lists: Sequence[str] = (), alternatives: dict[str, Sequence[str]] | None = None
 ) -> DataFrame:
     """key and the triples of each record's JSON. Texts that are null or not one complete JSON object give no rows.
 
     alternatives: name -> places; the first place that holds something is renamed to the name. Nothing is shuffled.
     """
-    opened, inside, alt = frozenset(open_objects), frozenset(embedded), dict(alternatives or {})
+    opened, inside, listed, alt = frozenset(open_objects), frozenset(embedded), frozenset(lists), dict(alternatives or {})
     src = records.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, cols = [], ([], [], [], [], [])
-            for k, s in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            at, cols = [], ([], [], [], [], [])
+            for i, s in enumerate(batch.column(1).to_pylist()):
                 try:
-                    found = triples_of(s, open_objects=opened, embedded=inside)
+                    found = triples_of(s, open_objects=opened, embedded=inside, lists=listed)
                 except Incomplete:
                     continue
                 for name, places in alt.items():
                     found = first_present(found, name, places)
-                keys += [k] * len(found)
+                at += [i] * len(found)
                 for t in found:
                     for c, x in zip(cols, t, strict=True):
                         c.append(x)
             types = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k.as_py() for k in keys], batch.schema.types[0]), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["key", "path", "ordinals", "names", "kind", "value"]
+                [batch.column(0).take(pa.array(at, pa.int32())), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["key", "path", "ordinals", "names", "kind", "value"]
             )
 
     return src.mapInArrow(parse, f"key {src.schema['key'].dataType.simpleString()}, {TRIPLE}")
 
 
-def repeated_ancestor(path: str) -> str:
+def repeated_ancestor(path: Column) -> Column:
     """The path up to its last "[]" or "{}"; empty for values that occur once in a record."""
-    m = re.search(r"^(.*(?:\[\]|\{\}))", path)
-    return m[1] if m else ""
+    return F.regexp_extract(path, r"^(.*(?:\[\]|\{\}))", 1)
 
 
-def pivot(found: DataFrame, ancestor: str, columns: dict[str, str]) -> DataFrame:
-    """The table of one repeated ancestor: key, ordinals (of all ancestors), name (of the member, in open objects), value, and columns.
+def pivots(found: DataFrame, columns: dict[str, dict[str, str]]) -> DataFrame:
+    """The tables of several repeated ancestors, one below the other: key, ancestor, ordinals (of all ancestors: the link to the parent
+    row), name (of the member, in open objects), value (of an element that is no object), and all columns.
 
-    columns: name -> path below the ancestor. One row for each element, with nulls for what it lacks; `value` is the element
-    itself where it is no object. One aggregation over the triples of this ancestor, combined before the shuffle.
+    columns: ancestor -> name -> path below it. One row for each element, with nulls for what it lacks. Triples are grouped by their
+    repeated ancestor and the ordinals, in one aggregation for all tables, combined before the shuffle; those of other
+    ancestors are left out first.
     """
-    depth = ancestor.count("[]") + ancestor.count("{}")
-    p = F.col("path")
-    own = found.where((p == ancestor) | p.startswith(ancestor + ".")).where(F.size("ordinals") == depth) if ancestor else found.where(F.size("ordinals") == 0)
-    pick = lambda path: F.max(F.when(p == path, F.col("value")))
-    aggs = [F.max(F.element_at("names", -1)).alias("name"), pick(ancestor).alias("value")] if depth else []
-    return own.groupBy("key", "ordinals").agg(*aggs, F.count("*").alias("n_nodes"), *[pick(f"{ancestor}.{x}" if ancestor else x).alias(c) for c, x in columns.items()]).drop("n_nodes")
+    p, a = F.col("path"), F.col("ancestor")
+    own = found.withColumn("ancestor", repeated_ancestor(p)).where(a.isin(*columns))
+    names = dict.fromkeys(c for cs in columns.values() for c in cs)
+    of = {c: [f"{x}.{cs[c]}" if x else cs[c] for x, cs in columns.items() if c in cs] for c in names}
+    aggs = [F.max(F.try_element_at("names", F.lit(-1))).alias("name"), F.max(F.when((p == a) & (a != ""), F.col("value"))).alias("value")]
+    return own.groupBy("key", "ancestor", "ordinals").agg(*aggs, *[F.max(F.when(p.isin(*paths), F.col("value"))).alias(c) for c, paths in of.items()])
+
+
+def pivot(found: DataFrame, ancestor: str, columns: dict[str, str]) -> DataFrame:
+    """The table of one repeated ancestor: key, ordinals, name, value, and columns (name -> path below the ancestor); see pivots()."""
+    return pivots(found, {ancestor: columns}).drop("ancestor", *(() if ancestor else ("name", "value")))
 
 
 def explore(found: DataFrame) -> DataFrame:
     """(ancestor, path, kind, n): which tables and columns the records hold. Counts are combined before the shuffle."""
-    return found.groupBy(F.regexp_extract("path", r"^(.*(?:\[\]|\{\}))", 1).alias("ancestor"), "path", "kind").agg(F.count("*").alias("n"))
-
-
-# The tables of second-round records: child, paths of its elements, paths of their names below the element.
-SECOND_ROUND = (
-    ("bank_intent", ("bank.intent", "bank.intent[]"), ()),
-    ("bank_path", ("bank.reasoning_path", "bank.reasoning_path[]"), ()),
-    ("bank_option", ("bank.reasoning_path_options", "bank.reasoning_path_options[]", "bank.reasoning_path_options[][]"), ()),
-    ("final_intent", ("reasoning_path_final.intent", "reasoning_path_final.intent[]"), ()),
-    ("final_path", ("reasoning_path_final.reasoning_path", "reasoning_path_final.reasoning_path[]"), ()),
-    ("rationale", ("rationale{}", "rationale[]"), ("step",)),
-    ("check", ("rationale{}.checks[]", "rationale[].checks[]"), ("expr",)),
-    ("sample", ("samples[]",), ("pred",)),
-)
+    return found.groupBy(repeated_ancestor(F.col("path")).alias("ancestor"), "path", "kind").agg(F.count("*").alias("n"))
+
+
 ROUTES = ("reasoning_path_bank", "route", "response_payload.route")
+# What the tables of second-round records are called: ancestor -> (child, column of the name, if it isn't the element itself).
+SECOND_ROUND = {
+    "bank.intent[]": ("bank_intent", None),
+    "bank.reasoning_path[]": ("bank_path", None),
+    "bank.reasoning_path_options[][]": ("bank_option", None),
+    "reasoning_path_final.intent[]": ("final_intent", None),
+    "reasoning_path_final.reasoning_path[]": ("final_path", None),
+    "rationale{}": ("rationale", "name"),
+    "rationale[]": ("rationale", "step"),
+    "rationale{}.checks[]": ("check", "expr"),
+    "rationale[].checks[]": ("check", "expr"),
+    "samples[]": ("sample", "pred"),
+}
+LISTS = ("intent", "reasoning_path", "reasoning_path_options", "reasoning_path_options[]")
 
 
 def latest(second_round: DataFrame) -> DataFrame:
@@ -235,7 +250,10 @@ def latest(second_round: DataFrame) -> DataFrame:
 
 
 def second_round_triples(second_round: DataFrame) -> DataFrame:
-    return triples(latest(second_round), "record_id", "payload", open_objects=["rationale"], embedded=[*ROUTES, "response_payload", "reasoning_path_final"], alternatives={"bank": ROUTES})
+    return triples(
+        latest(second_round), "record_id", "payload", open_objects=["rationale"], embedded=[*ROUTES, "response_payload", "reasoning_path_final"],
+        lists=[f"{r}.{x}" for r in (*ROUTES, "reasoning_path_final") for x in LISTS], alternatives={"bank": ROUTES},
+    )
 
 
 def second_round_children(second_round: DataFrame) -> DataFrame:
@@ -244,30 +262,14 @@ def second_round_children(second_round: DataFrame) -> DataFrame:
     A lone text is a list of one (an empty one of none); an element that isn't an object is its own name; outer_pos is 0 unless
     the element lies in an option or a step. A null element is a row with a null name.
     """
-    t = second_round_triples(second_round)
-    p, n = F.col("path"), F.size("ordinals")
-    child = pos = outer = None
-    is_name = F.lit(False)
-    for name, places, labels in SECOND_ROUND:
-        lone = [x for x in places if not x.endswith(("[]", "{}"))]
-        options = name == "bank_option"
-        leaf = p.isin(*[x for x in places if x not in lone and not (options and not x.endswith("[][]"))]) if places != lone else F.lit(False)
-        if lone or options:
-            single = [*lone, *([places[1]] if options else [])]
-            leaf = leaf | (p.isin(*single) & (F.col("kind") == "string") & (F.trim("value") != ""))
-        if labels:
-            named = p.isin(*[f"{x}.{y}" for x in places for y in labels if not x.endswith("{}") or y != "step"])
-            is_name = is_name | named
-            leaf = leaf | named
-        else:
-            is_name = is_name | leaf
-        child = F.when(leaf, name) if child is None else child.when(leaf, name)
-    t = t.withColumn("child", child).where("child is not null")
-    at = lambda i: F.coalesce(F.try_element_at("ordinals", F.lit(i)), F.lit(0))
-    two = F.col("child").isin("bank_option", "check")
-    outer = F.when(two, at(1)).otherwise(0)
-    pos = F.when(two, at(2)).otherwise(at(1))
-    member = F.when((p == "rationale{}"), F.element_at("names", 1))
-    name = F.coalesce(member, F.when(is_name, F.col("value")))
-    rows = t.select(F.col("key").alias("record_id"), "child", outer.cast("int").alias("outer_pos"), pos.cast("int").alias("pos"), name.alias("name"))
-    return rows.groupBy("record_id", "child", "outer_pos", "pos").agg(F.max("name").alias("name"))
+    named = {a: c for a, (_, c) in SECOND_ROUND.items()}
+    t = pivots(second_round_triples(second_round), {a: {c: c} if c not in (None, "name") else {} for a, c in named.items()})
+    a = F.col("ancestor")
+    child, name = F.lit(None).cast("string"), F.col("value")
+    for ancestor, (called, column) in SECOND_ROUND.items():
+        child = F.when(a == ancestor, called).otherwise(child)
+        name = F.when(a == ancestor, F.col(column)).otherwise(name) if column else name
+    # an element of two repeated ancestors lies in the outer one
+    two = F.size("ordinals") > 1
+    outer, pos = F.when(two, F.get("ordinals", F.lit(0))).otherwise(0), F.element_at("ordinals", -1)
+    return t.select(F.col("key").alias("record_id"), child.alias("child"), outer.cast("int").alias("outer_pos"), pos.cast("int").alias("pos"), name.alias("name"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,17 +34,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session (tests) may leave it unset and gets one of its own, which goes when the process ends."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = jvm_dir.get() if jvm_dir.isDefined() else None
     if not d:
-        d = "file:///tmp/tracewell-" + str(os.getpid())
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="tracewell-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        d = "file://" + own
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there; any other trouble with the file system is an error."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours once no frame reads it any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

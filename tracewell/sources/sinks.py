@@ -52,9 +52,13 @@ def bank_tree(bank: DataFrame) -> DataFrame:
     return bank.groupBy("category", "intent").agg(F.count("*").alias("n_paths")).orderBy("category", "intent")
 
 
-def append_history(summary: DataFrame, path: str) -> None:
-    """K10, T-d: a summary row with the time, appended."""
-    summary.select(F.current_timestamp().alias("ts"), F.struct(*summary.columns).alias("summary")).write.mode("append").parquet(path)
+def append_history(summary: DataFrame, path: str, batch: int | None = None) -> None:
+    """K10, T-d: a summary row with the time, appended. batch: a row of this number that is there already is replaced."""
+    row = summary.select(F.current_timestamp().alias("ts"), F.struct(*summary.columns).alias("summary"))
+    if batch is None:
+        row.write.mode("append").parquet(path)
+    else:
+        row.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
 
 
 def latest_summary(history: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tracewell.operators.bank import KEY, merge_routes, new_signatures, normalized_route, summary_scoped
+from tracewell.session import exists
 from tracewell.sources.sinks import append_history
 
 ROUTES = "category string, intent string, reasoning_path array<string>, _at long"
@@ -25,14 +26,18 @@ class Versions:
     def __init__(self, spark: SparkSession, path: str, schema: StructType | str) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
+    def newest(self) -> tuple[int, str] | None:
+        """(version, name) of the newest version; null only if none was ever written. A folder that can't be read is an error, not an empty table."""
+        if not exists(self.spark, self.path + "/pointer"):
+            return None
+        got = self.spark.read.text(self.path + "/pointer").agg(F.max_by("value", F.split("value", "\\|")[0].cast("long")).alias("v")).first()["v"]
+        return (int(got.split("|")[0]), got.split("|")[1]) if got else None
+
     def read(self) -> DataFrame:
-        try:
-            newest = self.spark.read.text(self.path + "/pointer").agg(F.max_by("value", F.split("value", "\\|")[0].cast("long")).alias("v")).first()["v"]
-        except Exception:
-            newest = None
+        newest = self.newest()
         if newest is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{newest.split('|')[1]}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{newest[1]}")
 
     def replace(self, df: DataFrame, version: int) -> None:
         name = f"{version}-{uuid.uuid4().hex}"
@@ -56,18 +61,25 @@ class BankGrowth:
         self.threshold, self.rebuild = threshold, rebuild
 
     def batch(self, df: DataFrame, batch_id: int) -> None:
-        """df: route (struct), gold_matches_answer, and _at for the order."""
+        """df: route (struct), gold_matches_answer, and _at for the order. A batch that comes again after it was finished changes nothing."""
+        done = self.pending.newest()
+        if done is not None and done[0] >= 2 * batch_id + 2:
+            return
         r = df.where(F.col("gold_matches_answer").eqNullSafe(F.lit(True))).select(normalized_route(F.col("route")).alias("r"), "_at").where("r is not null").select("r.*", "_at")
         bank, waiting = self.bank.read(), self.pending.read()
-        fresh = new_signatures(r, bank, waiting)
-        pending = waiting.unionByName(fresh.select(*waiting.columns))
-        self.pending.replace(pending, 2 * batch_id + 1)
+        if done is None or done[0] < 2 * batch_id + 1:
+            fresh = new_signatures(r, bank, waiting)
+            self.pending.replace(waiting.unionByName(fresh.select(*waiting.columns)), 2 * batch_id + 1)
         pending = self.pending.read()
         if pending.count() >= self.threshold:
-            grown = merge_routes(bank, pending, "_at")
-            self.bank.replace(self.rebuild(grown) if self.rebuild else grown, batch_id + 1)
-            append_history(summary_scoped(self.bank.read()), self.history)
-            self.pending.replace(pending.limit(0), 2 * batch_id + 2)
+            last = self.bank.newest()
+            if last is None or last[0] < batch_id + 1:
+                grown = merge_routes(bank, pending, "_at")
+                self.bank.replace(self.rebuild(grown) if self.rebuild else grown, batch_id + 1)
+            # the history is told apart by batch, so that a second try doesn't write a second row
+            append_history(summary_scoped(self.bank.read()), self.history, batch_id)
+            pending = pending.limit(0)
+        self.pending.replace(pending, 2 * batch_id + 2)
 
     def start(self, stream: DataFrame, checkpoint: str):
         """Run over what is there, then stop; a restart goes on at the checkpoint (T-e)."""
