@@ -30,7 +30,7 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_counts_in_batches(spark: SparkSession, d: str) -> DataFrame:
-    return termcounts.in_batches(table(spark, d, "teacher"), spark)
+    return termcounts.in_batches(table(spark, d, "teacher"), spark).counts()
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +56,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_sample(spark: SparkSession, d: str) -> DataFrame:
     r = sampling.teacher_records(table(spark, d, "teacher"))
     s = sampling.sample(r, table(spark, d, "sample_targets"), sampling.fifth(r))
-    return s.select(F.col("key").alias("teacher_id"), "category", "intent", "target_id")
+    return s.select(F.col("key").alias("teacher_id"), "category", F.col("cell").alias("intent"), "target_id")
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
@@ -65,6 +65,12 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return sampling.shortfalls(r, t, sampling.fifth(r)).select("target_id", "category", "intent", "need", "available", "missing")
 
 
+def p6_quotas(spark: SparkSession, d: str) -> DataFrame:
+    """What the sample draws for each target, beside what there was to draw from."""
+    r = sampling.teacher_records(table(spark, d, "teacher"))
+    return sampling.shortfalls(r, table(spark, d, "sample_targets"), sampling.fifth(r)).select("target_id", "need", "available", "quota")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encoded(table(spark, d, "documents"))
 
@@ -103,7 +109,7 @@ c as (select field, term, cast(count(*) as bigint) as n_occurrences, cast(count(
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_counts, p2_counts_in_batches, p3_found, p5_found, p5_by_source, p5_by_evidence, p6_found, p6_sample, p6_report, p7_ids, p8_mix, p8_report, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_counts, p2_counts_in_batches, p3_found, p5_found, p5_by_source, p5_by_evidence, p6_found, p6_sample, p6_report, p6_quotas, p7_ids, p8_mix, p8_report, p9_found, p9_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
