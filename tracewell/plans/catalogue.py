@@ -18,6 +18,7 @@ from tracewell.functions import text as T
 from tracewell.operators import bank as B
 from tracewell.operators import cluster, metrics, nested, providers, relations, routing, sampling
 from tracewell.plans import prompts as P
+from tracewell.plans import scoring_sql as Z
 from tracewell.session import scratch_path, table, widened
 from tracewell.sources import records, sinks
 
@@ -198,14 +199,15 @@ def shared_ids_all_runs(spark: SparkSession, d: str) -> DataFrame:
     return metrics.shared_ids(predictions(spark, d, "run", "index"), "run", "index")
 
 
-SIGNED = f", n as (select {strip_sql('route.category')} as category, {strip_sql('route.intent[1]')} as intent, route.reasoning_path as path, min(teacher_id) as o from t where len(route.reasoning_path) > 0 and list_count(route.reasoning_path) = len(route.reasoning_path) group by all), f as (select * from n where category <> '' and intent <> '' and not exists (select 1 from bank b where b.category = n.category and b.intent = n.intent and b.reasoning_path = n.path))"
+SIGNED = f", n as (select {strip_sql('route.category')} as category, {strip_sql('route.intent[1]')} as intent, route.reasoning_path as path, min(teacher_id) as o from t where len(route.reasoning_path) > 0 group by all), f as (select * from n where category <> '' and intent <> '' and not exists (select 1 from bank b where b.category = n.category and b.intent = n.intent and b.reasoning_path = n.path))"
+JOINED = "array_to_string(list_transform(path, lambda s: coalesce(s, '~')), '>')"
 
 
 def signed(spark: SparkSession, d: str) -> DataFrame:
     return B.signatures(teacher(spark, d, "route"), F.col("route")).select("_sig.*", "teacher_id")
 
 
-@query(TEACH + SIGNED + " select category, intent, array_to_string(path, '>') as path from f")
+@query(TEACH + SIGNED + f" select category, intent, {JOINED} as path from f")
 def new_signatures(spark: SparkSession, d: str) -> DataFrame:
     return B.new_signatures(signed(spark, d), table(spark, d, "bank")).select("category", "intent", F.array_join("reasoning_path", ">", "~").alias("path"))
 
@@ -221,75 +223,74 @@ def grid_completeness(spark: SparkSession, d: str) -> DataFrame:
 # --- scoring
 
 
-@query()
+SCORED = PRED + "," + Z.cascade("p")
+ROLLUP = "select {by}, cast(grouping({by}) as bigint) as is_total, cast(sum(ok::int) as bigint) as correct, count(*) as total from k group by rollup ({by})"
+
+
+@query(SCORED + ROLLUP.format(by="source"))
 def score_predictions(spark: SparkSession, d: str) -> DataFrame:
     """A1, A5: the whole cascade over all predictions, by source and overall."""
     used = ["pred_id", "source", "gold_ans", "model_response", "model_ans", "options", "ingested_at"]
-    return metrics.accuracy_rollup(judged(spark, d, lambda p: A.with_match(widened(p.select(*used))), "source", "_ok"), "source")
+    s = judged(spark, d, lambda p: A.with_match(widened(p.select(*used))), "source", "_ok")
+    return metrics.accuracy_rollup(s, "source").select("source", *big("is_total", "correct", "total"))
 
 
-@query()
+@query(PRED + "," + Z.cascade("p", answers=False) + f"select pred_id, {Z.label('g')} as gold, case when ok then {Z.label('g')} else {Z.label('m')} end as pred, ok as correct from k")
 def score_responses(spark: SparkSession, d: str) -> DataFrame:
     """A2: labels from the response texts alone."""
     used = ["pred_id", "gold_ans", "model_response", "options", "ingested_at"]
     return judged(spark, d, lambda p: metrics.labelled(A.with_match(widened(p.select(*used))), "pred_id", "ingested_at"), "gold", "pred", "correct").drop("ingested_at")
 
 
-NUM = "coalesce(try_cast(regexp_replace(trim({x}), '[.,;:]+$', '') as double), try_cast(nullif(regexp_extract(replace(trim({x}), ',', ''), '-?\\d+(?:\\.\\d+)?', 0), '') as double))"
-FRAC = "case when regexp_full_match(trim({x}), '\\\\frac\\{{-?\\d+\\}}\\{{-?\\d+\\}}') then try_cast(regexp_extract(trim({x}), '\\\\frac\\{{(-?\\d+)\\}}', 1) as double) / nullif(try_cast(regexp_extract(trim({x}), '\\}}\\{{(-?\\d+)\\}}$', 1) as double), 0) end"
-
-
-def norm_sql(x: str) -> str:
-    """Text, number and truth value of a short answer, as SQL: no fractions of decimals, no underscores, no marks of four number signs."""
-    low = f"lower(trim({x}))"
-    num = f"coalesce({FRAC.format(x=x)}, {NUM.format(x=x)})"
-    return f"case when {x} is null then null when {low} in ('yes', 'true') then 'b:1' when {low} in ('no', 'false') then 'b:0' when regexp_full_match(trim({x}), '[A-Ea-e]') then 's:' || upper(trim({x})) when {num} is not null then 'n:' || format('{{:.6f}}', {num}) else 's:' || {low} end"
-
+@query(SCORED + f"select pred_id, {Z.label('g')} as gold, {Z.label('m')} as pred from k where not ok")
+def missed_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """A1: the predictions that don't match, with both answers as labels."""
+    used = ["pred_id", "gold_ans", "model_response", "model_ans", "options", "ingested_at"]
+    return judged(spark, d, lambda p: metrics.misses(A.with_match(widened(p.select(*used))), "pred_id", "ingested_at"), "gold", "pred").drop("ingested_at")
 
-PLAIN = r"^\s*(?:-?\d+(?:\.\d+)?|[A-Ea-e]|true|false|yes|no|\\sqrt\{\d+\}|\\frac\{-?\d+\}\{-?\d+\})\s*$"
 
-
-def plain_sql(x: str) -> str:
-    return f"regexp_matches({x}, '{PLAIN}')"
+def norm_sql(n: str) -> str:
+    """A normalised answer of the SQL cascade as text."""
+    return f"case {n}.k when 'b' then case when {n}.v = 'true' then 'b:1' else 'b:0' end when 'n' then 'n:' || format('{{:.6f}}', {n}.n) when 's' then 's:' || {n}.v end"
 
 
 def norm_text(n: Column) -> Column:
     return F.when(n["k"] == "b", F.when(n["b"], "b:1").otherwise("b:0")).when(n["k"] == "n", F.concat(F.lit("n:"), F.format_string("%.6f", n["n"]))).when(n["k"] == "s", F.concat(F.lit("s:"), n["s"]))
 
 
-@query(PRED + f"select pred_id, {norm_sql('gold_ans')} as gold, {norm_sql('model_ans')} as pred from p where {plain_sql('gold_ans')} and (model_ans is null or {plain_sql('model_ans')})")
+@query(PRED + "," + Z.normalised("p", g="gold_ans", m="model_ans") + f" select pred_id, {norm_sql('g')} as gold, {norm_sql('m')} as pred from k")
 def normalize_match(spark: SparkSession, d: str) -> DataFrame:
     """F4, F6, F7 on all answers."""
     return predictions(spark, d, "gold_ans", "model_ans").select("pred_id", norm_text(A.normalize(A.raw("gold_ans"))).alias("gold"), norm_text(A.normalize(A.raw("model_ans"))).alias("pred"))
 
 
-SCORED = PRED + f", s as (select source, dataset, method, model, run, index, {norm_sql('gold_ans')} as g, {norm_sql('model_ans')} as m from p where {plain_sql('gold_ans')} and {plain_sql('model_ans')}), k as (select *, g = m or (g in ('n:1.000000', 'b:1') and m in ('n:1.000000', 'b:1')) or (g in ('n:0.000000', 'b:0') and m in ('n:0.000000', 'b:0')) as ok from s) "
-
-
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """All predictions, judged by the whole cascade; an answer that can't be found is a miss."""
     used = ["pred_id", "dataset", "method", "run", "index", "gold_ans", "model_response", "model_ans", "options", "ingested_at"]
     return judged(spark, d, lambda p: A.with_match(widened(p.select(*used))), "dataset", "method", "run", "index", "_ok")
 
 
-@query(SCORED + "select dataset, cast(grouping(dataset) as bigint) as is_total, cast(sum(ok::int) as bigint) as correct, count(*) as total from k group by rollup (dataset)")
+@query(SCORED + ROLLUP.format(by="dataset"))
 def accuracy_rollup(spark: SparkSession, d: str) -> DataFrame:
     return metrics.accuracy_rollup(scored(spark, d), "dataset").select("dataset", *big("is_total", "correct", "total"))
 
 
-@query(PRED + "select method, count(*) as total, count(*) filter (where regexp_matches(model_response, '\"ans\"\\s*:\\s*\\S')) as parsed from p group by 1")
+VALID = PRED + "," + Z.validity("p") + "select method, count(*) as total, count(rj) as parsed"
+
+
+@query(VALID + " from k group by 1")
 def parse_rate(spark: SparkSession, d: str) -> DataFrame:
     return format_validity(spark, d).select("method", *big("total", "parsed"))
 
 
-@query()
+@query(VALID + ", count(rj) filter (where gold is not null) as parsed_gold, count(*) filter (where rj is not null and gold is not null and ok) as parsed_correct from k group by 1")
 def format_validity(spark: SparkSession, d: str) -> DataFrame:
     used = ["pred_id", "method", "gold_ans", "model_response", "ingested_at"]
     checked = judged(spark, d, lambda p: metrics.with_validity(widened(p.select(*used)), "model_response"), "method", "_parsed", "_gold_there", "_parsed_ok")
     return metrics.format_validity(checked, "method")
 
 
-@query(PRED + "select pred_id, format('{:.12g}', cast(gold_ans as double)) as gold from p where regexp_full_match(gold_ans, '-?\\d+(\\.\\d+)?')")
+@query(PRED + "," + Z.normalised("p", g="gold_ans") + f" select pred_id, {Z.label('g')} as gold from k")
 def labels_canonical(spark: SparkSession, d: str) -> DataFrame:
     return predictions(spark, d, "gold_ans").select("pred_id", A.label(A.normalize(A.raw("gold_ans"))).alias("gold"))
 
@@ -340,11 +341,35 @@ def pass_at_k(spark: SparkSession, d: str) -> DataFrame:
     return metrics.pass_at_ks(s, [1, 3, 5]).select(*big("k"), r6("mean").alias("mean"), *big("n_rows"))
 
 
-@query(PRED + """select source, count(*) as total, cast(sum((case when lower(trim(coalesce(model_ans, ''))) in ('yes', 'true', '1') then 'yes' when lower(trim(coalesce(model_ans, ''))) in ('no', 'false', '0') then 'no' else lower(trim(coalesce(model_ans, ''))) end
- = case when lower(trim(coalesce(gold_ans, ''))) in ('yes', 'true', '1') then 'yes' when lower(trim(coalesce(gold_ans, ''))) in ('no', 'false', '0') then 'no' else lower(trim(coalesce(gold_ans, ''))) end)::int) as bigint) as correct from p where dataset = 'yesno' and regexp_full_match(coalesce(gold_ans, ''), '[a-z]*') group by 1""")
+WORD = f"lower({Z.strip('{x}')})"
+TRUTH = f"case when {WORD} in ('yes', 'true', '1') then 'yes' when {WORD} in ('no', 'false', '0') then 'no' else {WORD} end"
+LETTER = f"upper({Z.strip('{x}')})[1]"
+NUMERAL = f"case when regexp_full_match(replace({Z.strip('{x}')}, ',', ''), '{Z.FLOAT}') and isfinite(try_cast(replace(replace({Z.strip('{x}')}, ',', ''), '_', '') as double)) then try_cast(replace(replace({Z.strip('{x}')}, ',', ''), '_', '') as double)::varchar else lower(replace({Z.strip('{x}')}, ',', '')) end"
+
+
+def normalised_sql(form: str, dataset: str) -> str:
+    put = lambda c: form.replace("{x}", f"coalesce({c}, '')")
+    return PRED + f"select source, count(*) as total, cast(sum(({put('model_ans')} = {put('gold_ans')})::int) as bigint) as correct from p where dataset = '{dataset}' group by 1"
+
+
+def normalised(spark: SparkSession, d: str, dataset: str, task: str) -> DataFrame:
+    p = predictions(spark, d, "source", "dataset", "gold_ans", "model_ans").where(F.col("dataset") == dataset)
+    return metrics.normalised_accuracy(p, task, "source", "pred_id", []).select("source", *big("total", "correct"))
+
+
+@query(normalised_sql(TRUTH, "yesno"))
 def normalised_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    p = predictions(spark, d, "source", "dataset", "gold_ans", "model_ans").where("dataset = 'yesno'")
-    return metrics.normalised_accuracy(p, "truth", "source", "pred_id", []).select("source", *big("total", "correct"))
+    return normalised(spark, d, "yesno", "truth")
+
+
+@query(normalised_sql(NUMERAL, "wordmath"))
+def normalised_accuracy_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return normalised(spark, d, "wordmath", "number")
+
+
+@query(normalised_sql(LETTER, "quantmc"))
+def normalised_accuracy_choices(spark: SparkSession, d: str) -> DataFrame:
+    return normalised(spark, d, "quantmc", "choice")
 
 
 @query("select x, round(t, 6) as t from (select x, " + T_SQL.replace("df", "x") + " as t from (select distinct cast(o_orderkey % 1300 as double) / 10 + 1 as x from orders))")
@@ -371,18 +396,21 @@ def option_map(spark: SparkSession, d: str) -> DataFrame:
     return options(spark, d).select("id", F.explode("m").alias("letter", "value"))
 
 
-@query(f"with {OPTS}, e as (select id, unnest(ks) as k, try_cast(trim(unnest(vs)) as double) as v from o), n as (select e.id, e.k, abs(e.v - 10) as dist from e where e.v is not null), g as (select id, min(dist) as m from n group by id) select n.id, min(n.k) as letter from n join g on n.id = g.id and n.dist = g.m group by n.id having count(*) = 1")
+OPTION_VALUES = f"with {OPTS}, w as (select row_number() over () as n, id, ks, list_transform(vs, lambda v: {Z.strip('v')}) as vs from o), e as (select n, id, unnest(ks) as k, unnest(vs) as v, generate_subscripts(ks, 1) as i from w), u as (select n, id, k, arg_max(v, i) as v from e group by all),"
+
+
+@query(OPTION_VALUES + Z.number_columns("v", "u") + ", r as (select n, k, abs(v_n - 10) as dist from u_5 where v_n is not null), g as (select n, min(dist) as dist from r group by n), b as (select n, min(k) as k from r join g using (n, dist) group by n having count(*) = 1) select id, k as letter from w left join b using (n)")
 def nearest_option(spark: SparkSession, d: str) -> DataFrame:
     return options(spark, d).select("id", A.nearest_option(F.col("m"), F.lit(10.0)).alias("letter"))
 
 
-@query(f"with {OPTS}, e as (select id, ks, vs, unnest(ks) as k, trim(unnest(vs)) as v from o), f as (select id, k, v, lower(vs[1]) as want from e) select id, min(k) as letter from f where lower(v) = trim(want) and not regexp_matches(v, '\\d') group by id having count(*) = 1")
+@query(OPTION_VALUES + Z.number_columns("v", "u") + f", x as (select n, k, {Z.normal(Z.raw('v'), Z.strip('v'), 'v_n')} as o from u_5), y as (select n, any_value(o) as want from x where k = 'A' group by n), b as (select n, min(k) as k from x left join y using (n) where {Z.same('o', 'want')} group by n having count(*) = 1) select id, k as letter from w left join b using (n)")
 def option_unique_match(spark: SparkSession, d: str) -> DataFrame:
     o = options(spark, d).withColumn("want", F.col("m")["A"])
     return o.select("id", A.option_match(F.col("m"), A.normalize(A.raw("want"))).alias("letter"))
 
 
-@query(PRED + """select pred_id, upper(regexp_extract(model_response, '(?i)\\b([A-E])\\b', 1)) as choice from p where regexp_full_match(model_response, '\\s*[A-Za-z]{1,3}\\s*') and regexp_matches(model_response, '(?i)\\b([A-E])\\b')""")
+@query(PRED + f"select pred_id, {Z.first_choice('model_response')} as choice from p")
 def choice_extract(spark: SparkSession, d: str) -> DataFrame:
     return judged(spark, d, lambda p: p.withColumn("choice", A.first_choice(F.col("model_response"))), "choice").select("pred_id", "choice")
 
@@ -393,14 +421,18 @@ def final_numeric(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(F.col("text").rlike(r"-?\d")).select("doc_id", A.final_number(F.col("text")).alias("n"))
 
 
-@query(f"select distinct id, answer, {norm_sql('answer')} as value from questions where {plain_sql('answer')}")
+@query("with q as (select distinct id, answer from questions)," + Z.normalised("q", v="answer") + f" select id, answer, {norm_sql('v')} as value from k")
 def number_coerce(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "questions").select("id", "answer").distinct()
     return q.select("id", "answer", norm_text(A.normalize(A.raw("answer"))).alias("value"))
 
 
-@query(PRED + r"""select pred_id, case when regexp_matches(model_response, '####') then replace(regexp_extract_all(regexp_extract(model_response, '####\s*([^#]*)$', 1), '-?\d+(?:[,\d]*)?(?:\.\d+)?')[-1], ',', '') end as n
-from p where regexp_matches(model_response, '####[^#]*\d[^#]*$') and not starts_with(model_response, '{')""")
+LAST_NUMBER = r"replace(nullif(regexp_extract_all({x}, '-?\d+(?:[,\d]*)?(?:\.\d+)?')[-1], ''), ',', '')"
+OBJECT = f"case when starts_with({Z.strip('{x}')}, '{{{{') and ends_with({Z.strip('{x}')}, '}}}}') and json_valid({Z.strip('{x}')}) then nullif(json_extract({Z.strip('{x}')}::json, '$.ans'), 'null') end".replace("{{{{", "{{").replace("}}}}", "}}")
+MEMBER = "with_json as (select *, " + OBJECT.replace("{x}", "model_response").replace("{{", "{").replace("}}", "}") + " as j from p), with_text as (select *, " + Z.strip("(case when json_type(j) in ('OBJECT', 'ARRAY') then j::varchar else j->>'$' end)") + " as jt from with_json) "
+
+
+@query(PRED + "," + MEMBER + "select pred_id, coalesce(" + LAST_NUMBER.format(x="case when contains(model_response, '####') then string_split(model_response, '####')[-1] end") + ", case when regexp_full_match(jt, '-?\\d+(?:\\.\\d+)?') then jt end, " + LAST_NUMBER.format(x="model_response") + ") as n from with_text")
 def guided_numbers(spark: SparkSession, d: str) -> DataFrame:
     number = lambda p: widened(p.select("pred_id", "model_response", "ingested_at")).withColumn("n", A.guided_number(F.col("model_response")))
     return judged(spark, d, number, "n").select("pred_id", "n")
@@ -482,7 +514,7 @@ def base_routes(spark: SparkSession, d: str) -> DataFrame:
     return r.select("teacher_id", *[F.col(f"b.{c}").cast("bigint").alias(c) for c in ("budget", "difficulty")], F.array_join("b.reasoning_path", ">", "~").alias("path"))
 
 
-@query(TEACH + """select teacher_id, case when len(route.reasoning_path) > 0 and list_contains(route.reasoning_path_options, route.reasoning_path) then 'reasoning_path_bank' else 'llm_generated' end as source from t where route is not null and len(route.reasoning_path_options) > 0 and list_count(route.reasoning_path) = len(route.reasoning_path)""")
+@query(TEACH + """select teacher_id, case when len(route.reasoning_path) > 0 and list_contains(route.reasoning_path_options, route.reasoning_path) then 'reasoning_path_bank' else 'llm_generated' end as source from t where route.reasoning_path is not null and len(route.reasoning_path_options) > 0""")
 def path_sources(spark: SparkSession, d: str) -> DataFrame:
     """Whether the path of a record is one of its own options."""
     r = teacher(spark, d, "route").where("size(route.reasoning_path_options) > 0 and route.reasoning_path is not null")
@@ -491,7 +523,7 @@ def path_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(TEACH + SIGNED + """, l as (select category, intent, max(path_pos) as last from bank group by all)
-select category, intent, cast(path_pos as bigint) as path_pos, array_to_string(reasoning_path, '>') as path from bank union all select f.category, f.intent, coalesce(last, -1) + row_number() over (partition by f.category, f.intent order by o), array_to_string(path, '>') from f left join l using (category, intent)""")
+select category, intent, cast(path_pos as bigint) as path_pos, array_to_string(reasoning_path, '>') as path from bank union all select f.category, f.intent, coalesce(last, -1) + row_number() over (partition by f.category, f.intent order by o), """ + JOINED + """ from f left join l using (category, intent)""")
 def merged_bank(spark: SparkSession, d: str) -> DataFrame:
     """U-b, U-c, U-d: the bank with the routes of all records that it lacks."""
     return B.merge_routes(table(spark, d, "bank"), signed(spark, d), "teacher_id").select("category", "intent", *big("path_pos"), F.array_join("reasoning_path", ">", "~").alias("path"))
@@ -623,7 +655,7 @@ def chat_messages(spark: SparkSession, d: str) -> DataFrame:
     return q.select("id", T.chat_text(T.chat(F.lit("You are a careful tutor."), T.strip("question"), F.coalesce("answer", F.lit("")))).alias("chat"))
 
 
-@query("select doc_id, case when regexp_replace(regexp_replace(source, '[^0-9A-Za-z_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') <> '' then regexp_replace(regexp_replace(source, '[^0-9A-Za-z_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') else 'doc_' || lpad(cast(doc_id as varchar), 5, '0') end as name from documents where doc_id < 100000")
+@query("select doc_id, case when regexp_replace(regexp_replace(source, '[^0-9A-Za-z_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') <> '' then regexp_replace(regexp_replace(source, '[^0-9A-Za-z_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') else 'doc_' || printf('%05d', doc_id) end as name from documents")
 def safe_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.safe_id("source", "doc", F.col("doc_id")).alias("name"))
 
