@@ -78,3 +78,41 @@ def test_very_long_runs(spark):
     rows = [(1, "éa" * 100_000, "s"), (2, "a" * 200_000, "s"), (3, "中" * 100_000, "s"), (4, "a " * 50_000 + "é", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert M.found(df).count() == 0
+
+
+def test_mapping_of_an_unlisted_page(spark):
+    """A source read with a pair of pages that no list holds: its letters are learned from its own words."""
+    rnd = random.Random(4)
+    cons, vowels = "bdgklmnprstvčšž", "aeioyąęėįųū"
+    after = {c: rnd.choices(vowels, k=3) for c in cons} | {v: rnd.choices(cons, k=4) for v in vowels}  # letters have their usual successors
+    def word():
+        w = rnd.choice(cons)
+        while len(w) < 3 or rnd.random() < 0.75:
+            w += rnd.choices(after[w[-1]], (6, 3, 1, 1)[: len(after[w[-1]])])[0]
+        return w
+
+    vocabulary = [word() for _ in range(500)]
+    say = lambda: " ".join(rnd.choice(vocabulary) for _ in range(12))
+    rows = [(i, say(), rnd.choice("ab")) for i in range(600)]
+    letters = "čšžąęėįųū"
+    signs = rnd.sample("ßþðøæœŁłđħŋŧĸĳ", len(letters))
+    table = str.maketrans(dict(zip(letters, signs)))
+    planted = {1000 + i: say() for i in range(150)}
+    rows += [(i, t.translate(table), "c") for i, t in planted.items()]
+    got = {r["doc_id"]: r for r in M.repaired(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len(set(planted) & set(got)) >= 0.9 * len(planted) and not set(got) - set(planted)
+    words = [(a, b) for i, t in planted.items() if i in got for a, b in zip(t.split(), got[i]["restored"].split())]
+    assert sum(a == b for a, b in words) >= 0.8 * len(words) and any("learned" in r["keys"] for r in got.values())
+
+
+def test_hidden_letters_sum_to_one():
+    lang = M.Language(*map(M.np.array, zip(*[(c, 5.0) for w in ("éta", "àté", "téà") for c in M.pair_codes(w)])))
+    letters = M.Letters(lang)
+    channel = {y: M.np.ones(len(letters.letters)) for y in "ßø"}
+    got, p = M.hidden_letters("taßøt", letters, channel)
+    assert len(got) == 2 and all(abs(x.sum() - 1) < 1e-9 for _, x in got) and p > 0
+
+
+def test_more_sources_than_numbers():
+    few, many = M.Sources(["b", None, "a"]), M.Sources([str(i) for i in range(M.MAX_SOURCES + 1)])
+    assert len({few.of(x) for x in ("a", "b", None)}) == 3 and many.number is None and 0 <= many.of("zz") < M.MAX_SOURCES
