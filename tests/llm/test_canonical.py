@@ -19,13 +19,22 @@ def mapped(spark, labels, kind, values):
     return {r["value"]: r["label_id"] for r in C.map_labels(df, labels).collect()}
 
 
-@pytest.mark.parametrize("kind,value,want", [
+VALUES = [
     ("category", "ratio_and_proportion", 1), ("category", "RatioAndProportion", 1), ("category", "ratioandproprtion", 1), ("category", "Proportion, Ratio and", 1), ("category", "and Speed Work", 2), ("category", "wrok & spede", 2),
     ("category", "3. Ratio and Prop.", 1), ("category", "Rаtio and Proportion", 1), ("category", "ＷＯＲＫ ＡＮＤ ＳＰＥＥＤ", 2), ("category", "Step 4: work/and/speed (general)", 2), ("category", "Unit Testing", 0), ("category", "n/a", 0), ("category", "???", 0), ("category", "qxzvbk", 0),
     ("category", "unknown 93", 0), ("intent", "scale a reci.", 11), ("intent", "units digit of a power", 12), ("intent", "Share a Photo", 0), ("step", "statefinalansw.", 21), ("step", "STATING_FINAL_ANSWER", 21), ("step", "notice the pattern", 22), ("step", "Total, Compute", 23), ("step", "ShareScreen", 0), ("step", "ComputeTotal", 23),
-])
-def test_values(spark, labels, kind, value, want):
-    assert mapped(spark, labels, kind, [value]) == {value: want}
+]
+
+
+@pytest.fixture(scope="module")
+def all_mapped(spark, labels):
+    df = spark.createDataFrame([(k, v) for k, v, _ in VALUES], "kind string, value string")
+    return {(r["kind"], r["value"]): r["label_id"] for r in C.map_labels(df, labels).collect()}
+
+
+@pytest.mark.parametrize("kind,value,want", VALUES)
+def test_values(all_mapped, kind, value, want):
+    assert all_mapped[kind, value] == want
 
 
 def test_random_slips_are_repaired(spark, labels):
@@ -57,6 +66,13 @@ def test_edges(spark, labels):
     assert list(mapped(spark, labels, "category", [long])) == [long]
 
 
+@pytest.mark.parametrize("bound", [1, 20_000])
+def test_long_lists_are_joined(spark, labels, bound, monkeypatch):
+    monkeypatch.setattr(C, "MAX_VOCABULARY", bound)
+    got = mapped(spark, labels, "category", ["ratio_and_proportion", "wrok & spede", "Unit Testing"])
+    assert got == {"ratio_and_proportion": 1, "wrok & spede": 2, "Unit Testing": 0}
+
+
 def test_found(spark, labels):
     route = "struct<category:string,intent:array<string>,reasoning_path:array<string>>"
     rows = [(1, ("work_and_speed", ["Scale a Recipe", None, " ", "scale recipe"], None)), (1, ("work_and_speed", ["Scale a Recipe", None, " ", "scale recipe"], None)), (2, None), (3, (None, [], ["StateFinalAnswer", "spot patern"])), (4, ("Work and Speed", None, ["misc"]))]
@@ -88,12 +104,13 @@ def test_segments_meet():
                 s[at] = rnd.choice("xyz")
             elif len(s) > 2:
                 del s[at]
-        filed = {(len(word), i, p) for i, _, p in C.segments(word, e)}
+        filed = {(e, len(word), i, p) for i, _, p in C.segments(word, e)}
         assert filed & set(C.probes("".join(s), True))
 
 
 def test_swaps_across_segment_borders_meet():
     """Each swap may spoil two segments, so two of them four."""
     for word, token in (("abcdefgh", "acbdegfh"), ("abcdefgh", "abdcefhg"), ("abcdefghij", "abdcefhgij")):
-        filed = {(len(word), i, p) for i, _, p in C.segments(word, C.budget(len(word), False))}
+        e = C.budget(len(word), False)
+        filed = {(e, len(word), i, p) for i, _, p in C.segments(word, e)}
         assert C.osa(word, token, 3) == 2 and filed & set(C.probes(token, False))

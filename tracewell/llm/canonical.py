@@ -1,12 +1,13 @@
 """Mapping free-entered labels to a canonical list.
 
-Method: token-level repair. Every distinct value is cut into tokens; each distinct token is joined to the reference
-vocabulary by edit distance (segment filter, then exact distance), and the repaired tokens are combined by soft TF-IDF
-to rank the complete entries. The vocabulary also holds each entry written without spaces ("compound" tokens), so that
-glued or wrongly cut values are repaired by the same join.
+Method: token-level repair. Every distinct value is cut into tokens, and values of the same tokens are one case. Each distinct token is
+joined to the reference vocabulary: by itself, its stem or its beginning, and if it is no word of the list, by edit distance (segment
+filter, then exact distance). The repaired tokens are combined by soft TF-IDF to rank the complete entries. The vocabulary also holds
+each entry written without spaces ("compound" forms); cases that their tokens leave open meet these by the same join, first within one
+edit and, where a farther form could still be better, within all edits allowed.
 
 The edit-distance join has no cross product: a token within d edits of a word shares one of 2d + 1 segments of the word,
-shifted by at most d places, so both sides meet in an equi-join on (kind, word length, segment number, segment).
+shifted by at most d places, so both sides meet in an equi-join on (kind, edits, word length, segment number, segment).
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from tracewell.session import bounded, spread
+from tracewell.session import bounded, spread, written
 
 # Function words, which carry no weight.
 FUNCTION_WORDS = frozenset("a an the and or of by to for in into on from with per at as is are that when".split())
@@ -48,7 +49,7 @@ SAME = (
 MAX_VOCABULARY = 20_000
 MAX_FORMS = 200_000
 ACCEPT = 0.72
-SHORTENED = (0.9, 0.85)  # similarities of an abbreviation with and without its dot
+SETTLED = 0.999  # a case whose tokens make up a whole entry
 
 
 def fold(value: str) -> str:
@@ -126,16 +127,16 @@ def segments(word: str, edits: int) -> list[tuple[int, int, str]]:
     return out
 
 
-def probes(token: str, compound: bool) -> list[tuple[int, int, str]]:
-    """(word length, segment number, text) under which a vocabulary word near the token is filed."""
+def probes(token: str, compound: bool, most: int = 3) -> list[tuple[int, int, int, str]]:
+    """(edits, word length, segment number, text) under which a vocabulary word within `most` edits of the token is filed."""
     out = set()
     for n in range(max(1, len(token) - 3), len(token) + 4):
-        e = budget(n, compound)
+        e = min(most, budget(n, compound))
         if abs(n - len(token)) > e:
             continue
         for i, at, piece in segments("x" * n, e):
             for start in range(max(0, at - e), min(len(token) - len(piece), at + e) + 1):
-                out.add((n, i, token[start : start + len(piece)]))
+                out.add((e, n, i, token[start : start + len(piece)]))
     return list(out)
 
 
@@ -181,11 +182,10 @@ def compounds(words: list[str], same: dict[str, set[str]]) -> dict[str, float]:
     return out
 
 
-FORM = "kind string, form string, word string, compound boolean, edits boolean, sim double"
-FILED = FORM + ", n int, seg int, piece string"
-CUT = "kind string, value string, i int, token string, compound boolean, dot boolean"
-PROBED = "kind string, token string, compound boolean, dot boolean, n int, seg int, piece string"
-EXACT = -1  # the "word length" under which forms are filed that take no edits
+FORM = "kind string, form string, word string, compound boolean, edits boolean, short boolean, sim double"
+FILED = FORM + ", d int, n int, seg int, piece string"
+KEYED = "kind string, value string, key string"
+EXACT = -1  # the "edits" under which forms are filed that take none
 
 
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,40 +196,28 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for kind, label_id, label in zip(pdf["kind"], pdf["label_id"], pdf["label"], strict=True):
             ws = [w.rstrip(".") for w in tokens(label)] if label else []
             for w in ws:
-                rows.add((kind, w, w, False, True, 1.0))
+                rows.add((kind, w, w, False, True, False, 1.0))
                 if w not in FUNCTION_WORDS:
-                    rows.add((kind, "~" + stem(w), w, False, False, 0.97))
-                    rows |= {(kind, w[:n] + ".", w, False, False, 0.9) for n in range(2, len(w))}
-                    rows |= {(kind, "~" + stem(o), w, False, False, 0.93) for o in same.get(stem(w), ()) if stem(o) != stem(w)}
+                    rows.add((kind, "~" + stem(w), w, False, False, False, 0.97))
+                    rows |= {(kind, w[:n] + ".", w, False, False, True, 0.9) for n in range(2, len(w))}
+                    rows |= {(kind, "~" + stem(o), w, False, False, False, 0.93) for o in same.get(stem(w), ()) if stem(o) != stem(w)}
             for c, sure in compounds(ws, same).items() if ws else ():
-                rows.add((kind, c, f"={label_id}", True, True, sure))
+                rows.add((kind, c, f"={label_id}", True, True, False, sure))
         filed = []
         for r in rows:
-            e = budget(len(r[1]), r[3])
-            filed += [(*r, len(r[1]), i, piece) for i, _, piece in segments(r[1], e)] if r[4] else [(*r, EXACT, 0, r[1])]
-        yield pd.DataFrame(filed, columns=["kind", "form", "word", "compound", "edits", "sim", "n", "seg", "piece"])
+            filed.append((*r, EXACT, 0, 0, r[1]))
+            if r[4]:
+                most = budget(len(r[1]), r[3])
+                for e in sorted({min(1, most), most}) if r[3] else [most]:
+                    filed += [(*r, e, len(r[1]), i, piece) for i, _, piece in segments(r[1], e)]
+        yield pd.DataFrame(filed, columns=[c.split()[0] for c in FILED.split(", ")])
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The tokens of each value; position -1 holds the value in one piece."""
+def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The tokens of each value as one text; empty for a placeholder and for a value without letters."""
     for pdf in batches:
-        rows = []
-        for kind, value in zip(pdf["kind"], pdf["value"], strict=True):
-            ts = tokens(value)
-            rows.append((kind, value, -1, "".join(t.rstrip(".") for t in ts), True, False))
-            rows += [(kind, value, i, t.rstrip("."), False, t.endswith(".")) for i, t in enumerate(ts)]
-        yield pd.DataFrame(rows, columns=["kind", "value", "i", "token", "compound", "dot"])
-
-
-def _probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Where a vocabulary form near a token is filed."""
-    for pdf in batches:
-        rows = []
-        for kind, token, compound, dot in zip(pdf["kind"], pdf["token"], pdf["compound"], pdf["dot"], strict=True):
-            exact = [] if compound else ["~" + stem(token), *([token + "."] if dot or len(token) >= 4 else [])]
-            rows += [(kind, token, compound, dot, EXACT, 0, x) for x in exact]
-            rows += [(kind, token, compound, dot, *p) for p in probes(token, compound)]
-        yield pd.DataFrame(rows, columns=["kind", "token", "compound", "dot", "n", "seg", "piece"])
+        keys = ["" if re.sub(r"\s*\d+$", "", fold(v).lower()) in PLACEHOLDERS else " ".join(tokens(v)) for v in pdf["value"]]
+        yield pd.DataFrame({"kind": pdf["kind"], "value": pdf["value"], "key": keys})
 
 
 @F.pandas_udf(IntegerType())
@@ -237,65 +225,82 @@ def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa(x, y, 3) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
-def repairs(spark: SparkSession, labels: DataFrame, cut: DataFrame) -> DataFrame:
-    """(kind, token, compound, word, sim): vocabulary words that each distinct token may have meant."""
-    forms = labels.select("kind", "label_id", "label").coalesce(1).mapInPandas(_forms, FILED).distinct()
-    asked = spread(cut.select("kind", "token", "compound", "dot").where("token <> ''").distinct(), "kind", "token").mapInPandas(_probed, PROBED)
-    met = (
-        asked.join(bounded(forms, MAX_FORMS), ["kind", "compound", "n", "seg", "piece"])
-        .select("kind", "token", "compound", "dot", "form", "word", "edits", "sim")
-        .distinct()
-    )
+def near(asked: DataFrame, forms: DataFrame, compound: bool, most: int = 3) -> DataFrame:
+    """(kind, token, dot, word, short, sim) of the forms within `most` edits of each distinct (kind, token, dot)."""
+
+    def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, t, dot, *p) for k, t, dot in zip(pdf["kind"], pdf["token"], pdf["dot"], strict=True) for p in probes(t, compound, most)]
+            yield pd.DataFrame(rows, columns=["kind", "token", "dot", "d", "n", "seg", "piece"])
+
+    # few short rows that cost much work each: spread over all tasks
+    p = spread(asked, "kind", "token").mapInPandas(probed, "kind string, token string, dot boolean, d int, n int, seg int, piece string")
+    own = forms.where((F.col("compound") == compound) & F.col("edits") & (F.col("d") != EXACT)).drop("compound", "edits")
     n = F.length("form")
-    d = F.when(F.col("edits"), _edits("token", "form")).otherwise(0)
-    most = F.when(F.col("compound"), F.when(F.col("sim") <= 0.9, 1).when(n >= 12, 3).otherwise(2)).otherwise(F.when(n <= 2, 0).when(n <= 4, 1).otherwise(2))
-    # a swap of two letters or a slip costs less in a long word
-    loss = F.when(F.col("compound"), d * 1.4 / n).otherwise(d * 0.9 / n)
-    abbreviated = (F.col("sim") == 0.9) & F.col("form").endswith(".") & ~F.col("dot")
-    return (
-        met.withColumn("d", d)
-        .where(F.col("d") <= most)
-        .withColumn("sim", F.greatest(F.lit(0.05), F.col("sim") - loss - F.when(abbreviated, 0.05).otherwise(0)))
-        .groupBy("kind", "token", "compound", "word")
-        .agg(F.max("sim").alias("sim"))
-    )
-
-
-def rank(n_tokens: list[str], hits: list[tuple[int, str, float]], postings: dict[str, list[int]], entries: dict[int, dict[str, float]]) -> tuple[int, float]:
+    allowed = (F.when(F.col("sim") <= 0.9, 1).when(n >= 12, 3).otherwise(2)) if compound else F.when(n <= 2, 0).when(n <= 4, 1).otherwise(2)
+    allowed = F.least(allowed, F.lit(most))
+    met = p.join(own, ["kind", "d", "n", "seg", "piece"]).select("kind", "token", "dot", "form", "word", "short", "sim")
+    # a swap is one edit here and two to the built-in distance, which sorts out most pairs first
+    met = met.where(F.levenshtein("token", "form", 6).between(0, 2 * allowed)).distinct()
+    # a slip costs less in a long word
+    loss = (1.4 if compound else 0.9) * F.col("e") / n
+    return met.withColumn("e", _edits("token", "form")).where(F.col("e") <= allowed).select("kind", "token", "dot", "word", "short", F.greatest(F.lit(0.05), F.col("sim") - loss).alias("sim"))
+
+
+def repairs(asked: DataFrame, forms: DataFrame) -> DataFrame:
+    """(kind, token, dot, word, short, sim): vocabulary words that each distinct (kind, token, dot) may have meant."""
+
+    def written_as(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for kind, token, dot in zip(pdf["kind"], pdf["token"], pdf["dot"], strict=True):
+                rows += [(kind, token, dot, x) for x in (token, "~" + stem(token), *([token + "."] if dot or len(token) >= 4 else []))]
+            yield pd.DataFrame(rows, columns=["kind", "token", "dot", "piece"])
+
+    whole = forms.where((F.col("d") == EXACT) & ~F.col("compound")).select("kind", "piece", "word", "short", "sim")
+    same = asked.mapInPandas(written_as, "kind string, token string, dot boolean, piece string").join(whole, ["kind", "piece"])
+    same = same.select("kind", "token", "dot", "word", "short", (F.col("sim") - F.when(F.col("short") & ~F.col("dot"), 0.05).otherwise(0.0)).alias("sim"))
+    known = whole.where(~F.startswith("piece", F.lit("~")) & ~F.col("short")).select("kind", F.col("piece").alias("token")).distinct()
+    both = same.unionByName(near(asked.join(known, ["kind", "token"], "left_anti"), forms, False))
+    best = F.max(F.struct("sim", "short"))
+    return both.groupBy("kind", "token", "dot", "word").agg(best.alias("b")).select("kind", "token", "dot", "word", "b.sim", "b.short")
+
+
+def rank(n_tokens: list[str], hits: list[tuple[int, str, float, bool]], postings: dict[str, list[int]], entries: dict[int, dict[str, float]]) -> tuple[int, float]:
     """The best entry and its soft TF-IDF similarity; 0 if none is near enough.
 
-    hits: (token number or -1 for the value in one piece, word or "=label_id", similarity). entries: weight of each word of an entry.
+    hits: (token number or -1 for the value in one piece, word or "=label_id", similarity, abbreviation?). entries: weight of each word of an entry.
     """
     most = max((w for e in entries.values() for w in e.values()), default=1.0)
     light = 0.15
     best: dict[int, float] = {}
-    by_entry: dict[int, list[tuple[float, int, str]]] = {}
+    by_entry: dict[int, list[tuple[float, int, str, bool]]] = {}
     weight = [light if t in FUNCTION_WORDS else most for t in n_tokens]
-    for i, word, sim in hits:
+    for i, word, sim, short in hits:
         if i < 0:
             entry = int(word[1:])
             best[entry] = max(best.get(entry, 0.0), sim)
         else:
             for entry in postings.get(word, ()):
-                by_entry.setdefault(entry, []).append((sim, i, word))
+                by_entry.setdefault(entry, []).append((sim, i, word, short))
     for entry, found in by_entry.items():
         words = entries[entry]
-        used_i: dict[int, tuple[float, float]] = {}
+        used_i: dict[int, tuple[float, float, bool]] = {}
         used_w: set[str] = set()
-        for sim, i, word in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+        for sim, i, word, short in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
             if i not in used_i and word not in used_w:
-                used_i[i] = (sim, words[word])
+                used_i[i] = (sim, words[word], short)
                 used_w.add(word)
         norm_e = sum(w * w for w in words.values()) ** 0.5
         norm_v = sum((used_i[i][1] if i in used_i else w) ** 2 for i, w in enumerate(weight)) ** 0.5
-        dot = sum(sim * w * w for sim, w in used_i.values())
+        dot = sum(sim * w * w for sim, w, _ in used_i.values())
         score = dot / (norm_e * norm_v) if norm_e and norm_v else 0.0
         # the end of a label names its matter: all of it met and only the first word strange is a hit of its own
         best[entry] = max(best.get(entry, 0.0), score)
         rest = [w for w in list(words)[1:] if w not in FUNCTION_WORDS]
-        shortened = any(sim in SHORTENED for sim, _ in used_i.values())
+        shortened = any(short for *_, short in used_i.values())
         unmet = [t for i, t in enumerate(n_tokens) if i not in used_i and t not in FUNCTION_WORDS]
-        if rest and len(unmet) <= 1 and all(w in used_w for w in rest) and all(len(postings[w]) == 1 for w in rest) and min(s for s, _ in used_i.values()) >= 0.82 and not shortened:
+        if rest and len(unmet) <= 1 and all(w in used_w for w in rest) and all(len(postings[w]) == 1 for w in rest) and min(s for s, *_ in used_i.values()) >= 0.82 and not shortened:
             best[entry] = max(best[entry], 0.8)
     order = sorted(best.items(), key=lambda x: (-x[1], x[0]))
     if not order or order[0][1] < ACCEPT or (len(order) > 1 and order[1][1] > order[0][1] - 0.005):
@@ -303,49 +308,74 @@ def rank(n_tokens: list[str], hits: list[tuple[int, str, float]], postings: dict
     return order[0]
 
 
-def map_labels(values: DataFrame, labels: DataFrame) -> DataFrame:
-    """(kind, value, label_id, score) for each distinct (kind, value) of `values`; label_id 0 means no entry.
+HITS = "array<struct<i:int,word:string,sim:double,short:boolean>>"
 
-    values: kind, value. labels: label_id, kind, label. Nulls and blank values give no row; an exact label gives itself
-    with score 1. Ties between two entries give 0. An empty list maps all to 0. Other columns are ignored.
-    """
-    spark = values.sparkSession
-    v = values.select("kind", "value").where(F.trim("value") != "").distinct()
-    lab = labels.select("kind", F.col("label_id").cast("bigint").alias("label_id"), "label").where("label is not null")
-    cut = spread(v, "kind", "value").mapInPandas(_cut, CUT)
-    rep = repairs(spark, lab, cut)
-    hits = spread(cut.join(rep, ["kind", "token", "compound"], "left"), "kind", "value")
-    per_value = hits.groupBy("kind", "value").agg(
-        F.collect_set(F.when(F.col("i") >= 0, F.struct("i", "token"))).alias("ts"),
-        F.collect_set(F.when(F.col("word").isNotNull(), F.struct("i", "word", "sim"))).alias("hits"),
-    )
-    # the list itself goes along as one row for each kind; its size is checked
-    entries = lab.groupBy("kind").agg(F.collect_list(F.struct("label_id", "label")).alias("entries"))
+
+def _ranked(cases: DataFrame, labels: DataFrame) -> DataFrame:
+    """(kind, key, label_id, score) of cases (kind, key, hits). The list goes along as one object if it is no longer than MAX_VOCABULARY entries,
+    else the list of a kind is joined to its cases."""
+    rows = labels.select("kind", "label_id", "label").limit(MAX_VOCABULARY + 1).collect()
+    small = len(rows) <= MAX_VOCABULARY
+    lists: dict[str, list[tuple[int, str]]] = {}
+    for r in rows if small else ():
+        lists.setdefault(r["kind"], []).append((r["label_id"], r["label"]))
+    bc = cases.sparkSession.sparkContext.broadcast(lists)
+    if not small:
+        cases = cases.join(labels.groupBy("kind").agg(F.collect_list(F.struct("label_id", "label")).alias("entries")), "kind", "left")
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prepared: dict[str, tuple] = {}
         for pdf in batches:
             rows = []
-            for kind, value, ts, hs, es in zip(pdf["kind"], pdf["value"], pdf["ts"], pdf["hits"], pdf["entries"], strict=True):
-                if es is None or not len(es):
-                    rows.append((kind, value, 0, 0.0))
-                    continue
+            listed = pdf["entries"] if "entries" in pdf else [None] * len(pdf)
+            for kind, key, hs, es in zip(pdf["kind"], pdf["key"], pdf["hits"], listed, strict=True):
                 if kind not in prepared:
-                    prepared[kind] = _prepare([(int(e["label_id"]), e["label"]) for e in es])
-                exact, postings, weights = prepared[kind]
-                if value in exact:
-                    rows.append((kind, value, exact[value], 1.0))
-                elif re.sub(r"\s*\d+$", "", fold(value).lower()) in PLACEHOLDERS | {""}:
-                    rows.append((kind, value, 0, 0.0))
-                else:
-                    words = [t["token"] for t in sorted(ts, key=lambda t: t["i"])]
-                    rows.append((kind, value, *rank(words, [(h["i"], h["word"], h["sim"]) for h in hs], postings, weights)))
-            yield pd.DataFrame(rows, columns=["kind", "value", "label_id", "score"])
+                    prepared[kind] = _prepare([(int(e["label_id"]), e["label"]) for e in es] if es is not None else bc.value.get(kind, []))
+                words = [t.rstrip(".") for t in key.split(" ")]
+                got = [(h["i"], h["word"], h["sim"], h["short"]) for h in hs] if hs is not None else []
+                rows.append((kind, key, *rank(words, got, *prepared[kind])))
+            yield pd.DataFrame(rows, columns=["kind", "key", "label_id", "score"])
 
-    return per_value.join(F.broadcast(entries), "kind", "left").mapInPandas(decide, "kind string, value string, label_id long, score double")
+    return cases.mapInPandas(decide, "kind string, key string, label_id long, score double")
 
 
-def _prepare(entries: list[tuple[int, str]]) -> tuple[dict[str, int], dict[str, list[int]], dict[int, dict[str, float]]]:
+def map_labels(values: DataFrame, labels: DataFrame) -> DataFrame:
+    """(kind, value, label_id, score) for each distinct (kind, value) of `values`; label_id 0 means no entry.
+
+    values: kind, value. labels: label_id, kind, label. Nulls and blank values give no row; an exact label gives itself
+    with score 1. Ties between two entries give 0. An empty list maps all to 0. Other columns are ignored.
+    """
+    v = values.select("kind", "value").where(F.trim("value") != "").distinct()
+    lab = labels.select("kind", F.col("label_id").cast("bigint").alias("label_id"), "label").where("label is not null")
+    keyed = written(spread(v, "kind", "value").mapInPandas(_keyed, KEYED), "labels")
+    forms = written(spread(lab, "kind", "label").mapInPandas(_forms, FILED).distinct(), "forms")
+    forms = bounded(forms, MAX_FORMS)
+    keys = keyed.where("key <> ''").select("kind", "key").distinct()
+    plain = lambda t: F.regexp_replace(t, "\\.$", "")
+    cut = keys.select("kind", "key", F.posexplode(F.split("key", " ")).alias("i", "t")).select("kind", "key", "i", plain(F.col("t")).alias("token"), F.endswith("t", F.lit(".")).alias("dot"))
+    rep = repairs(cut.select("kind", "token", "dot").where("token <> ''").distinct(), forms)
+    hit = F.struct("i", "word", "sim", "short")
+    cases = cut.join(rep, ["kind", "token", "dot"], "left").groupBy("kind", "key").agg(F.collect_set(F.when(F.col("word").isNotNull(), hit)).alias("hits"))
+    # written: a case that its tokens leave open is ranked once more
+    first = written(cases.join(_ranked(cases, lab), ["kind", "key"]), "ranked")
+    open_ = first.where(F.col("score") < SETTLED).select("kind", "key", "hits", F.regexp_replace("key", "[ .]", "").alias("token")).where("token <> ''")
+    glued = open_.select("kind", "token", F.lit(True).alias("dot")).distinct()
+    whole = forms.where((F.col("d") == EXACT) & F.col("compound")).select("kind", F.col("piece").alias("token"), "word", "short", "sim")
+    one = written(glued.join(whole, ["kind", "token"]).select("kind", "token", "dot", "word", "short", "sim").unionByName(near(glued, forms, True, 1)), "one_edit")
+    # forms two edits away come to no more than this
+    farther = 1 - 2.8 / (F.length("token") + 3)
+    done = one.groupBy("kind", "token").agg(F.max("sim").alias("best")).where(F.col("best") > farther + 0.005).select("kind", "token")
+    far = near(glued.join(done, ["kind", "token"], "left_anti"), forms, True)
+    pieces = one.unionByName(far).groupBy("kind", "token", "word").agg(F.max("sim").alias("sim"))
+    pieces = pieces.groupBy("kind", "token").agg(F.collect_list(F.struct(F.lit(-1).alias("i"), "word", "sim", F.lit(False).alias("short"))).alias("more"))
+    again = open_.join(pieces, ["kind", "token"], "left").select("kind", "key", F.concat(F.coalesce("hits", F.array().cast(HITS)), F.coalesce("more", F.array().cast(HITS))).alias("hits"))
+    settled = first.where(F.col("score") >= SETTLED).select("kind", "key", "label_id", "score").unionByName(_ranked(again, lab))
+    exact = lab.groupBy("kind", F.col("label").alias("value")).agg(F.max("label_id").alias("own"))
+    out = keyed.join(settled, ["kind", "key"], "left").join(bounded(exact, MAX_VOCABULARY), ["kind", "value"], "left")
+    return out.select("kind", "value", F.coalesce("own", "label_id", F.lit(0)).cast("long").alias("label_id"), F.when(F.col("own").isNotNull(), 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"))
+
+
+def _prepare(entries: list[tuple[int, str]]) -> tuple[dict[str, list[int]], dict[int, dict[str, float]]]:
     split = {i: list(dict.fromkeys(t.rstrip(".") for t in tokens(label))) for i, label in entries}
     postings: dict[str, list[int]] = {}
     for i, ws in split.items():
@@ -353,7 +383,7 @@ def _prepare(entries: list[tuple[int, str]]) -> tuple[dict[str, int], dict[str,
             postings.setdefault(w, []).append(i)
     idf = {w: math.log(1 + len(split) / len(ids)) for w, ids in postings.items()}
     weights = {i: {w: 0.15 if w in FUNCTION_WORDS else idf[w] for w in ws} for i, ws in split.items()}
-    return {label: i for i, label in entries}, postings, weights
+    return postings, weights
 
 
 def route_entries(teacher: DataFrame) -> DataFrame:
@@ -365,20 +395,24 @@ def route_entries(teacher: DataFrame) -> DataFrame:
     return teacher.select("teacher_id", e.alias("e")).select("teacher_id", "e.*").where(F.trim("value") != "")
 
 
+def off_list(teacher: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries that aren't exactly a label of their kind, each delivery's once; written, since they are read more than once."""
+    exact = labels.select(F.col("kind"), F.col("label").alias("value")).distinct()
+    return written(route_entries(teacher).join(bounded(exact, MAX_VOCABULARY), ["kind", "value"], "left_anti").distinct(), "off_list")
+
+
 def found(teacher: DataFrame, labels: DataFrame) -> DataFrame:
     """p1_found: one row for each entry that isn't exactly a label of its kind, with the label meant or 0.
 
     Deliveries of one record count once. Only the entries off the list are shuffled, and only distinct ones are repaired.
     """
-    exact = labels.select(F.col("kind"), F.col("label").alias("value")).distinct()
-    off = route_entries(teacher).join(bounded(exact, MAX_VOCABULARY), ["kind", "value"], "left_anti")
+    off = off_list(teacher, labels)
     mapped = map_labels(off, labels).select("kind", "value", "label_id")
-    return off.distinct().join(mapped, ["kind", "value"]).select("teacher_id", "field", "pos", "label_id").distinct()
+    return off.join(mapped, ["kind", "value"]).select("teacher_id", "field", "pos", "label_id").distinct()
 
 
 def report(teacher: DataFrame, labels: DataFrame) -> DataFrame:
     """How often each stored value off the list occurs, its label, and a score: label_id 0 are the unmatched ones."""
-    exact = labels.select(F.col("kind"), F.col("label").alias("value")).distinct()
-    off = route_entries(teacher).join(bounded(exact, MAX_VOCABULARY), ["kind", "value"], "left_anti")
-    n = off.distinct().groupBy("kind", "value").agg(F.count("*").alias("n"))
+    off = off_list(teacher, labels)
+    n = off.groupBy("kind", "value").agg(F.count("*").alias("n"))
     return n.join(map_labels(off, labels), ["kind", "value"])
