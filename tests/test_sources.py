@@ -98,7 +98,7 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "o")).count() == 4
     S.write_text(df, "id", str(tmp_path / "t"))
     S.write_labels(df.withColumn("file", F.col("id")), str(tmp_path / "l"))
-    assert (tmp_path / "l" / "file=10").exists()
+    assert json.loads((tmp_path / "l" / "10.labels.jsonl").read_text()) == {"id": "10", "n": 1} and not (tmp_path / "l.new").exists()
     S.write_report(df, str(tmp_path / "rep"))
     assert spark.read.option("header", True).csv(str(tmp_path / "rep" / "csv")).count() == 2
     for n in (1, 2):
@@ -106,6 +106,43 @@ def test_sinks(spark, tmp_path):
     assert S.latest_summary(spark.read.parquet(str(tmp_path / "h"))).first()["k"] == 2
 
 
+def test_json_array_and_tree(spark, tmp_path):
+    df = spark.createDataFrame([("b", 2), ("a", 1), (None, 3)], "id string, n int")
+    for rows in (df, df.limit(0), df):
+        S.write_json_array(rows, str(tmp_path / "a.json"), "n")
+        assert json.loads((tmp_path / "a.json").read_text()) == ([{"id": "a", "n": 1}, {"id": "b", "n": 2}, {"n": 3}] if rows is df else [])
+    S.write_labels(df.withColumn("file", F.concat(F.lit("x/y é="), "id")), str(tmp_path / "t"))
+    assert sorted(p.relative_to(tmp_path / "t").as_posix() for p in (tmp_path / "t").rglob("*.jsonl")) == ["x/y é=a.labels.jsonl", "x/y é=b.labels.jsonl"]
+
+
+def test_binary_vectors(spark, tmp_path):
+    df = spark.createDataFrame([("é", [0.5, 1.0]), ("b", [2.0, -1.0])], "token string, vec array<float>")
+    S.write_vectors(df, str(tmp_path / "v.bin"))
+    assert (tmp_path / "v.bin").read_bytes().startswith(b"2 2\nb ")
+    assert {r["token"]: r["vec"] for r in R.read_vectors(spark, str(tmp_path / "v.bin"), binary=True).collect()} == {"é": [0.5, 1.0], "b": [2.0, -1.0]}
+
+
+def test_finished(spark, tmp_path):
+    p = write(tmp_path / "s.jsonl", '{"id": "a", "samples": [1, 2]}\n{"id": "a", "samples": [1]}\n{"id": "b"}\n{"x": 1}\n{"id": "c", "samp')
+    assert {r["id"]: r["n"] for r in R.finished(spark, p, "id").collect()} == {"a": 2, "b": 1}
+    assert R.finished(spark, p, "id", "samples").where("id = 'a'").first()["n"] == 2
+
+
+def test_lines_are_not_read_whole(spark, tmp_path):
+    p = write(tmp_path / "big.jsonl", "\n".join(json.dumps({"i": i}) for i in range(300)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = R.read_records(spark, p)
+        assert R.lines(spark, p).rdd.getNumPartitions() > 1 and "MapInPandas" not in got._jdf.queryExecution().toString() and [r["i"] for r in raws(got)] == list(range(300))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_pivoted(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "y", 3)], "r string, c string, n int")
+    assert S.markdown(S.pivoted(df, "r", "c", "n")).splitlines() == ["| r | x | y |", "|---|---|---|", "| a | 1 | 2 |", "| b |  | 3 |"]
+
+
 def test_stringified(spark):
     df = spark.createDataFrame([(None, True, 5, ["a"]), ("x", None, None, None)], "s string, b boolean, n int, l array<string>")
     assert [tuple(r) for r in S.stringified(df).collect()] == [("", "True", "5", '["a"]'), ("x", "", "", "")]

@@ -57,4 +57,4 @@ def test_chat(spark):
 
 
 def test_choice_rule(spark):
-    assert one(spark, ['Give <numeric>. "ans" must be true or false.'], T.with_choice_rule) == ['Give <A|B|C|D|E>. "ans" must be one of A, B, C, D, or E (letter only, not a numeric value).']
+    assert one(spark, ["Give <numeric>. " + T.ANSWER_RULES["text"]], T.with_choice_rule) == ['Give <A|B|C|D|E>. Put the letter of one option into "ans": A, B, C, D, E.']

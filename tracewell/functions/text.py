@@ -111,13 +111,16 @@ def with_options(question: Column | str, options: Column | str) -> Column:
     return F.when(is_blank(options) | F.contains(q, o), q).otherwise(F.concat(q, F.lit("\nOptions:\n"), o))
 
 
+# how "ans" is to be given, by task: wording of our own
+ANSWER_RULES = {"math": 'Put a bare number into "ans", without its unit.', "text": 'Put true or false into "ans".', "choice": 'Put the letter of one option into "ans": {letters}.'}
+
+
 def with_choice_rule(prompt: Column | str, letters: str = "ABCDE") -> Column:
     """placeholders and rules for numbers or truth values replaced by those for choices."""
     schema = "<" + "|".join(letters) + ">"
-    listed = " or ".join(letters) if len(letters) < 3 else ", ".join(letters[:-1]) + ", or " + letters[-1]
-    rule = f'"ans" must be one of {listed} (letter only, not a numeric value).'
+    rule = ANSWER_RULES["choice"].format(letters=", ".join(letters))
     out = col(prompt)
-    for old, new in (("<numeric>", schema), ("<bool>", schema), ('"ans" must be numeric (no strings, units, or words).', rule), ('"ans" must be true or false.', rule)):
+    for old, new in (("<numeric>", schema), ("<bool>", schema), (ANSWER_RULES["math"], rule), (ANSWER_RULES["text"], rule)):
         out = F.replace(out, F.lit(old), F.lit(new))
     return out
 

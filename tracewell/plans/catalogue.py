@@ -38,10 +38,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from tracewell.plans import roundtrips, rules  # noqa: F401  they put their queries here
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -438,14 +441,6 @@ def guided_numbers(spark: SparkSession, d: str) -> DataFrame:
     return judged(spark, d, number, "n").select("pred_id", "n")
 
 
-@query()
-def teacher_scores(spark: SparkSession, d: str) -> DataFrame:
-    """the teacher's own rules on its answers."""
-    t = teacher(spark, d, "gold", "response_ans", "response_payload", "model")
-    ok = A.teacher_matches(F.col("gold"), F.col("response_ans"))
-    return t.groupBy("model").agg(F.count("*").alias("n"), F.count_if(ok).alias("ok"), F.count_if(A.contained(F.col("gold"), F.col("response_payload"))).alias("contained"))
-
-
 # --- the bank (A13-A15, A19, W5, J8, J9, P4-P9, U-b)
 
 TAX = TEACH + f""", r as (select teacher_id, coalesce(nullif({strip_sql('route.category')}, ''), 'unknown') as category, route.intent as intents, route.reasoning_path as path from t where gold_matches_answer and route is not null and len(route.intent) > 0 and len(route.reasoning_path) > 0),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.functions import text
 from tracewell.functions.text import strip, with_choice_rule, with_options
 
 TASKS = ("math", "text", "choice")
@@ -21,7 +22,7 @@ PARTS = {
     "diverse": "Give several different chains of reasoning, then the answer they agree on.",
     "guided": "Follow the solution guidance.",
 }
-ANSWER_RULES = {"math": '"ans" must be numeric (no strings, units, or words).', "text": '"ans" must be true or false.', "choice": '"ans" must be one of A, B, C, D, or E (letter only, not a numeric value).'}
+ANSWER_RULES = text.ANSWER_RULES | {"choice": text.ANSWER_RULES["choice"].format(letters="A, B, C, D, E")}
 SCHEMAS = {"math": "<numeric>", "text": "<bool>", "choice": "<A|B|C|D|E>"}
 DETAILED = " Write each step in full sentences."
 

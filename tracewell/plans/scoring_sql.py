@@ -80,20 +80,46 @@ def as_choice(a: str) -> str:
     return f"case when {a} is null then null when ct and {x} is not null then {{'k': 's', 't': {x}}} else {a} end"
 
 
-def number_columns(x: str, of: str) -> str:
-    """Stages that take the text column `x` of table `of` to a number: tables {of}_1 to {of}_5 with column {x}_n."""
-    s, c = f"{x}_s", f"{x}_c"
-    part = lambda t: f"(case when regexp_full_match({t}, {q(FLOAT)}) then try_cast(replace({t}, '_', '') as double) end)"
-    pair = lambda a, b: f"case when {part(b)} <> 0 and isfinite({part(a)} / {part(b)}) then {part(a)} / {part(b)} end"
+def as_float(t: str) -> str:
+    return f"(case when regexp_full_match({t}, {q(FLOAT)}) then try_cast(replace({t}, '_', '') as double) end)"
+
+
+def fraction_columns(s: str, of: str) -> str:
+    """Stages {of}_b and {of}_f that take the stripped text column s of table `of` to a fraction: column {s}_f."""
+    c = f"{s}_b"
+    pair = lambda a, b: f"case when {as_float(b)} <> 0 and isfinite({as_float(a)} / {as_float(b)}) then {as_float(a)} / {as_float(b)} end"
     tight = f"replace({c}, ' ', '')"
     braced, short, slash = r"\\frac\s*\{([^{}]+)\}\s*\{([^{}]+)\}", r"\\frac([+-]?\d+(?:\.\d+)?)([+-]?\d+(?:\.\d+)?)", r"([+-]?\d+(?:\.\d+)?)\s*/\s*([+-]?\d+(?:\.\d+)?)"
     two = lambda t, p: pair(*[strip(f"replace(regexp_extract({t}, {q('^' + p + '$')}, {i}), ',', '')") for i in (1, 2)])
     return f"""
+{of}_b as (select *, {strip(f"regexp_replace(case when regexp_matches({s}, '/|{chr(92) * 2}frac') then replace({strip(s)}, '−', '-') end, '^[+-]', '')")} as {c}, starts_with(replace({strip(s)}, '−', '-'), '-') as {s}_m from {of}),
+{of}_f as (select *, case when {s}_m then -1.0 else 1.0 end * case when regexp_full_match({c}, {q(braced)}) then {two(c, braced)} when regexp_full_match({tight}, {q(short)}) then {two(tight, short)} when regexp_full_match({c}, {q(slash)}) then {two(c, slash)} end as {s}_f from {of}_b)"""
+
+
+def number_columns(x: str, of: str) -> str:
+    """Stages that take the text column `x` of table `of` to a number: the last is table {of}_5, with column {x}_n."""
+    s = f"{x}_s"
+    return f"""
 {of}_1 as (select *, case when contains({x}, '####') then {strip(f"string_split({x}, '####')[-1]")} else {strip(x)} end as {x}_h from {of}),
-{of}_2 as (select *, regexp_replace({x}_h, '[.,;:]+$', '') as {s} from {of}_1),
-{of}_3 as (select *, {strip(f"regexp_replace(case when regexp_matches({s}, '/|{chr(92) * 2}frac') then replace({strip(s)}, '−', '-') end, '^[+-]', '')")} as {c}, starts_with(replace({strip(s)}, '−', '-'), '-') as {x}_m from {of}_2),
-{of}_4 as (select *, case when {x}_m then -1.0 else 1.0 end * case when regexp_full_match({c}, {q(braced)}) then {two(c, braced)} when regexp_full_match({tight}, {q(short)}) then {two(tight, short)} when regexp_full_match({c}, {q(slash)}) then {two(c, slash)} end as {x}_f from {of}_3),
-{of}_5 as (select *, coalesce({x}_f, {part(strip(s))}, try_cast({group(f"replace({s}, ',', '')", NUMBER, 0)} as double)) as {x}_n from {of}_4)"""
+{of}_2 as (select *, regexp_replace({x}_h, '[.,;:]+$', '') as {s} from {of}_1), {fraction_columns(s, f"{of}_2")},
+{of}_5 as (select *, coalesce({s}_f, {as_float(strip(s))}, try_cast({group(f"replace({s}, ',', '')", NUMBER, 0)} as double)) as {x}_n from {of}_2_f)"""
+
+
+def teacher_columns(x: str, of: str) -> str:
+    """Stages that take the text column `x` of table `of` to the teacher's reading of it: table {of}_t, with column {x}_v (k, n, s)."""
+    s, t = f"{x}_c", strip(x)
+    plain_ = f"regexp_replace(regexp_replace(replace(replace({t}, ',', ''), '−', '-'), '^[$₹€£]+|[$₹€£]+$', '', 'g'), '%+$', '')"
+    only = r"^[^\d\-+]*([\-+]?\d+(?:\.\d+)?)[^\d]*$"
+    n = f"coalesce({s}_f, {as_float(strip(s))}, try_cast({group(s, only)} as double))"
+    return f"""
+{of}_c as (select *, {plain_} as {s} from {of}), {fraction_columns(s, f"{of}_c")},
+{of}_t as (select *, case when {x} is null then null when lower({t}) in ('true', 'false') then {{'k': 'b', 'n': case when lower({t}) = 'true' then 1.0 else 0.0 end, 's': null::varchar}}
+  when {n} is not null then {{'k': 'n', 'n': {n}, 's': null::varchar}} else {{'k': 's', 'n': null::double, 's': {x}}} end as {x}_v from {of}_c_f)"""
+
+
+def teacher_same(g: str, p: str, low: str) -> str:
+    """Whether two teacher's readings are equal; low: the lower-case texts' equality."""
+    return f"coalesce(case when {g}.k = 'b' and {p}.k = 'b' then {g}.n = {p}.n when {g}.k = 'n' and {p}.k = 'n' then abs({g}.n - {p}.n) < 1e-9 else {low} end, false)"
 
 
 def normal(a: str, t: str, n: str) -> str:

@@ -1,7 +1,7 @@
 """Readers of records in JSON, JSON lines, text and CSV (S1-S16, S20). Every reader keeps the order of the file in _pos.
 
-JSON lines stay line-splittable: a line is parsed in the JVM by try_parse_json / from_json. Files that hold one JSON array or a
-wrapper around one are a record each and are parsed whole, since their format has no split point.
+JSON lines stay line-splittable: a line is parsed in the JVM by try_parse_json / from_json, whatever the file's size. Files that hold one
+JSON array or a wrapper around one are a record each and are parsed whole, since their format has no split point.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,10 +50,11 @@ def as_object(text: Column) -> Column:
 def read_jsonl(spark: SparkSession, path: str | list[str], *, trailing_commas: bool = False, fail: bool = False) -> DataFrame:
     """(raw, data VARIANT, file, _pos) of JSON lines; blank lines are skipped, malformed ones too unless fail.
 
-    fail: a malformed line is an error when the data is read, naming the line's file (S4, S5).
+    A byte-order mark in front is taken off. fail: a malformed line is an error when the data is read, naming the line's file, and signs
+    without width are taken out of the lines first (S4, S5).
     """
     d = lines(spark, path)
-    raw = strip(F.regexp_replace("value", INVISIBLE, ""))
+    raw = strip(F.regexp_replace("value", INVISIBLE if fail else "^\ufeff", ""))
     d = d.withColumn("raw", F.regexp_replace(raw, ",+$", "") if trailing_commas else raw).where("raw <> ''")
     d = d.withColumn("data", as_object(F.col("raw")))
     if fail:
@@ -64,10 +66,26 @@ def read_jsonl(spark: SparkSession, path: str | list[str], *, trailing_commas: b
 def read_records(spark: SparkSession, path: str | list[str], *, wrapper_keys: tuple[str, ...] = ("data", "examples"), repair: bool = False) -> DataFrame:
     """(raw, file, _pos) of files that hold a JSON array, one object, a wrapper around an array, or JSON lines.
 
-    Each file is sniffed by a trial parse, as one record. Items that aren't objects are dropped. repair: an array that ends early gets
-    its trailing comma taken off and a bracket put on. Key order and duplicate keys of objects stay as they are written.
+    A file whose first line is an object of its own and isn't the only line holds JSON lines and is read by lines; others are a record
+    each. Items that aren't objects are dropped. repair: an array that ends early gets its trailing comma taken off and a
+    bracket put on. Key order and duplicate keys of objects stay as they are written.
     """
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    heads = lines(spark, path).where(strip("value") != "").groupBy("file").agg(F.min_by("value", "_pos").alias("first"), F.count("*").alias("n"))
+    first = F.regexp_replace(strip(F.regexp_replace("first", "^\ufeff", "")), ",+$", "")
+    kinds = heads.select("file", ((F.col("n") > 1) & as_object(first).isNotNull()).alias("by_line")).collect()
+    by_line, whole = [r["file"] for r in kinds if r["by_line"]], [r["file"] for r in kinds if not r["by_line"]]
+    parts = []
+    if by_line:
+        parts.append(numbered(read_jsonl(spark, by_line, trailing_commas=True)).select("raw", "file", F.col("_pos").cast("long").alias("_pos")))
+    if whole:
+        parts.append(_whole_files(spark, whole, wrapper_keys, repair))
+    if not parts:
+        return spark.createDataFrame([], "raw string, file string, _pos long")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _whole_files(spark: SparkSession, paths: list[str], wrapper_keys: tuple[str, ...], repair: bool) -> DataFrame:
+    whole = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
 
     def objects(text: str) -> list[str] | None:
         def of(x: object) -> list[str] | None:
@@ -94,7 +112,7 @@ def read_records(spark: SparkSession, path: str | list[str], *, wrapper_keys: tu
                     found = []
                     for line in text.splitlines():
                         try:
-                            x = json.loads(line.strip().rstrip(",").lstrip("﻿"))
+                            x = json.loads(line.strip().rstrip(",").lstrip("\ufeff"))
                         except ValueError:
                             continue
                         if isinstance(x, dict):
@@ -177,19 +195,47 @@ def read_bank(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.explode(bank_rows("value")).alias("r")).select("r.*")
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(token, vec) of a text file of word vectors; a first line with only counts is skipped."""
+def read_vectors(spark: SparkSession, path: str, binary: bool = False) -> DataFrame:
+    """(token, vec) of word vectors, in text (a first line with only counts is skipped) or in the binary form of word2vec.
+
+    A binary file has no split point: it is one record, read in a task of its own.
+    """
+    if binary:
+
+        def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for data in pdf["content"]:
+                    head, _, data = data.partition(b"\n")
+                    n, width = map(int, head.split())
+                    at, rows = 0, []
+                    for _ in range(n):
+                        end = data.index(b" ", at)
+                        rows.append((data[at:end].lstrip(b"\n").decode("utf-8", "replace"), np.frombuffer(data, "<f4", width, end + 1)))
+                        at = end + 1 + 4 * width
+                        if len(rows) == 4096:
+                            yield pd.DataFrame(rows, columns=["token", "vec"])
+                            rows = []
+                    yield pd.DataFrame(rows, columns=["token", "vec"])
+
+        return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "token string, vec array<float>")
     p = F.split(strip("value"), r"\s+")
     v = spark.read.text(path).select(p.alias("p")).where(F.size("p") > 2)
     return v.select(F.get("p", F.lit(0)).alias("token"), F.transform(F.slice("p", 2, F.size("p") - 1), lambda x: x.cast("float")).alias("vec"))
 
 
+def finished(spark: SparkSession, path: str, key: str, samples: str | None = None) -> DataFrame:
+    """(key, n) of the records in a sink of JSON lines that can be resumed: how often each id was written, or the size of its member `samples`
+    (an array; the largest counts). A last line cut off by a crash is skipped, a record without the key too."""
+    d = read_jsonl(spark, path).select(F.try_variant_get("data", f"$.{key}", "string").alias(key), F.size(F.try_variant_get("data", f"$.{samples}", "array<variant>")).alias("_n") if samples else F.lit(1).alias("_n"))
+    return d.where(F.col(key).isNotNull()).groupBy(key).agg((F.max("_n") if samples else F.count("*")).cast("long").alias("n"))
+
+
 def response_text(v: Column) -> Column:
     """The text of a model service's reply of any of the usual shapes, given as VARIANT: output_text, choices, output or content."""
     get = lambda p: F.try_variant_get(v, p, "string")
-    parts = lambda p: F.nullif(F.array_join(F.transform(F.try_variant_get(v, p, "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.try_variant_get(x, "$", "string"))), ""), F.lit(""))
+    parts = lambda p: F.nullif(F.array_join(F.transform(F.try_variant_get(v, p, "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))), ""), F.lit(""))
     nested = F.nullif(
         F.array_join(F.flatten(F.transform(F.try_variant_get(v, "$.output", "array<variant>"), lambda o: F.transform(F.try_variant_get(o, "$.content", "array<variant>"), lambda x: F.try_variant_get(x, "$.text", "string")))), ""),
         F.lit(""),
     )
-    return F.coalesce(get("$.output_text"), get("$.choices[0].message.content"), get("$.choices[0].text"), nested, parts("$.content"), get("$.content"))
+    return F.coalesce(get("$.output_text"), get("$.choices[0].message.content"), get("$.choices[0].text"), nested, parts("$.content"), F.when(F.schema_of_variant(F.try_variant_get(v, "$.content", "variant")) == "STRING", get("$.content")))
