@@ -98,8 +98,29 @@ def test_route_ties_and_limit(spark):
     q = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0])], "id int, v array<double>")
     got = {r["id"]: r["label"] for r in routing.route_argmax(q, i, q_id="id", q_vec="v", i_pos="pos", i_vec="v", label=["label"]).collect()}
     assert got == {1: "x", 2: "x"}
-    with pytest.raises(ValueError):
-        routing.route_argmax(q, i, q_id="id", q_vec="v", i_pos="pos", i_vec="v", label=["label"], max_intents=2)
+
+
+def test_routing_in_blocks(spark):
+    """Several blocks on either side, equal vectors far apart, nulls; no bound on the number of intents."""
+    rnd = np.random.default_rng(5)
+    n = 2 * routing.BLOCK_ROWS + 50
+    v = rnd.normal(size=(n, 6))
+    v[n - 1], v[3] = v[7], 0.0
+    rows = [(i, "ab"[i % 2], v[i].tolist() if i != 11 else None) for i in range(n)]
+    i = spark.createDataFrame(rows, "pos int, label string, v array<double>").repartition(3)
+    q = spark.createDataFrame([(k, v[k].tolist()) for k in range(0, n, 40)] + [(7, v[7].tolist()), (9, None)], "id int, v array<double>").repartition(2)
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    u[3] = 0.0
+    s = np.round(u @ u.T, 12)
+    s[:, 11] = -9
+    np.fill_diagonal(s, -9)
+    got = {r["id"]: (r["pos"], round(r["score"], 9)) for r in routing.route_argmax(q, i.withColumnRenamed("label", "l2"), q_id="id", q_vec="v", i_pos="pos", i_vec="v", label=["l2", "pos"], not_self=True).collect()}
+    asked = [*range(0, n, 40), 7]
+    assert got == {k: (int(s[k].argmax()), round(float(s[k].max()), 9)) for k in asked} and got[7][0] == n - 1
+    top = routing.top_k_paths(q.withColumn("label", F.lit("a")), i.withColumn("p", F.col("pos")), q_id="id", q_vec="v", keys=["label"], path="p", pos="pos", p_vec="v", k=3, not_self=True).collect()
+    for k in asked:
+        mine = np.where(np.arange(n) % 2 == 0, s[k], -9)
+        assert [r["p"] for r in sorted((r for r in top if r["id"] == k), key=lambda r: r["rank"])] == list(np.argsort(-mine, kind="stable")[:3])
 
 
 def test_route_sources(spark):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,41 +31,104 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
-def unit(df: DataFrame, vec: str) -> DataFrame:
-    """df with _u, the vector at unit length (or as it is, if it has none), so that a dot product is the cosine."""
-    n = norm(F.col(vec))
-    return df.withColumn("_u", let(n, lambda n: F.transform(vec, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))))
-
+BLOCK_ROWS = 2048
+PARTS = 8
 
-BLOCK_ROWS = 4096
 
+def packed(df: DataFrame, key: str, vec: str, by: list[str], rows: int = BLOCK_ROWS) -> DataFrame:
+    """(by..., _keys array<bigint>, _rows bigint, _data binary): unit vectors laid together in blocks of at most `rows`, those of each `by` apart.
 
-def route_argmax(questions: DataFrame, intents: DataFrame, *, q_id: str, q_vec: str, i_pos: str, i_vec: str, label: list[str], max_intents: int = 200_000, not_self: bool = False) -> DataFrame:
-    """For each question the intent of highest cosine, the first by position among equals: (q_id, label..., score).
-
-    A stated set of intents is scored against all questions in blocks: the intents (checked against max_intents, an error beyond) are laid
-    out in blocks of BLOCK_ROWS rows, broadcast once, and each question keeps only its best of each block, so nothing wider than
-    one row for each question and block is ever shuffled. not_self: a question that is itself one of the intents (position = id) isn't
-    routed to itself.
+    A vector of no length stays as it is, so that its cosine is 0; null vectors are left out. Nothing is shuffled: a block holds rows of one partition.
+    """
+    d = df.where(F.col(vec).isNotNull()).select(F.col(key).cast("bigint").alias("_k"), F.col(vec).alias("_v"), *by)
+    schema = "".join(f"`{c}` {d.schema[c].dataType.simpleString()}, " for c in by) + "_keys array<bigint>, _rows bigint, _data binary"
+
+    def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, tuple[list, list]] = {}
+
+        def block(group: tuple) -> tuple:
+            keys, vectors = held.pop(group)
+            m = np.array(vectors, dtype=np.float64)
+            n = np.sqrt((m * m).sum(1, keepdims=True))
+            return (*group, keys, len(keys), (m / np.where(n > 0, n, 1.0)).tobytes())
+
+        names = [*by, "_keys", "_rows", "_data"]
+        for pdf in batches:
+            out = []
+            for row in pdf[["_k", "_v", *by]].itertuples(index=False):
+                group = tuple(row[2:])
+                keys, vectors = held.setdefault(group, ([], []))
+                keys.append(row[0])
+                vectors.append(row[1])
+                if len(keys) >= rows:
+                    out.append(block(group))
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        # what is left of each group; many small groups go out in small frames
+        while held:
+            yield pd.DataFrame([block(g) for g in list(held)[:256]], columns=names)
+
+    return d.mapInPandas(lay, schema)
+
+
+def best_of_blocks(pairs: DataFrame, keep: list[str], k: int, not_self: bool) -> DataFrame:
+    """(keep..., _q, _p, _score): the k best candidates of each question within each pair of blocks, by one matrix product.
+
+    Scores are rounded to 12 places, so that equal vectors tie wherever they lie in a block; ties go to the lower position.
     """
-    n = intents.limit(max_intents + 1).count()
-    if n > max_intents:
-        raise ValueError(f"more than {max_intents} intents; route with an index first")
-    cand = unit(intents, i_vec).select(F.col(i_pos).alias("_pos"), F.col("_u").alias("_iu"), *label)
-    blocks = cand.groupBy(F.pmod(F.xxhash64("_pos"), F.lit(max(1, n // BLOCK_ROWS))).alias("_block")).agg(F.collect_list(F.struct("_pos", "_iu", *label)).alias("_cands"))
-    q = unit(questions, q_vec).select(q_id, F.col("_u").alias("_qu"))
-    best = lambda c: F.struct(dot(F.col("_qu"), c["_iu"]).alias("score"), (-c["_pos"]).alias("_neg"), *[c[x].alias(x) for x in label])
-    score = (lambda c: F.when(c["_pos"] != F.col(q_id), best(c))) if not_self else best
-    each = q.crossJoin(F.broadcast(blocks)).select(q_id, F.array_max(F.transform("_cands", score)).alias("b")).where("b is not null")
-    return each.groupBy(q_id).agg(F.max("b").alias("b")).select(q_id, *[F.col(f"b.{x}").alias(x) for x in label], F.col("b.score").alias("score"))
+    schema = "".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}, " for c in keep) + "_q bigint, _p bigint, _score double"
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                q, p = np.array(row["_qk"]), np.array(row["_pk"])
+                a, b = np.frombuffer(row["_qd"]).reshape(len(q), -1), np.frombuffer(row["_pd"]).reshape(len(p), -1)
+                order = np.argsort(p, kind="stable")
+                p, b = p[order], b[order]
+                s = np.round(a @ b.T, 12)
+                if not_self:
+                    s[q[:, None] == p[None, :]] = -np.inf
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k] if k > 1 else s.argmax(1)[:, None]
+                at = np.repeat(np.arange(len(q)), top.shape[1])
+                out = pd.DataFrame({"_q": q[at], "_p": p[top.ravel()], "_score": s[at, top.ravel()]})
+                out = out[np.isfinite(out["_score"])]
+                for c in keep:
+                    out.insert(0, c, [row[c]] * len(out))
+                yield out[[*keep, "_q", "_p", "_score"]]
+
+    return pairs.mapInPandas(score, schema)
+
+
+def route_argmax(questions: DataFrame, intents: DataFrame, *, q_id: str, q_vec: str, i_pos: str, i_vec: str, label: list[str], not_self: bool = False) -> DataFrame:
+    """For each question the intent of highest cosine, the first by position among equals: (q_id, label..., score). Ids are whole numbers.
+
+    A stated set of questions is scored against all intents in blocks: both sides are packed into matrices, every block of questions meets
+    every block of intents in one product, and only the best of each block goes on to the maximum. There is no bound on
+    either side: the planner broadcasts the smaller blocks if they are small. not_self: a question that is itself one
+    of the intents (position = id) isn't routed to itself.
+    """
+    q = packed(questions, q_id, q_vec, []).select(F.col("_keys").alias("_qk"), F.col("_data").alias("_qd"))
+    i = packed(intents, i_pos, i_vec, []).select(F.col("_keys").alias("_pk"), F.col("_data").alias("_pd"))
+    each = best_of_blocks(q.crossJoin(i), [], 1, not_self)
+    best = each.groupBy("_q").agg(F.max(F.struct("_score", (-F.col("_p")).alias("_neg"))).alias("b")).select("_q", (-F.col("b._neg")).alias("_p"), F.col("b._score").alias("score"))
+    named = best.join(intents.select(F.col(i_pos).cast("bigint").alias("_p"), *label), "_p")
+    return named.select(F.col("_q").alias(q_id), *label, "score")
 
 
 def top_k_paths(routed: DataFrame, bank: DataFrame, *, q_id: str, q_vec: str, keys: list[str], path: str, pos: str, p_vec: str, k: int, not_self: bool = False) -> DataFrame:
-    """The k best paths (at least one) of the bucket each question was routed to; the first by position among equals."""
-    both = routed.join(bank, keys)
-    scored = (both.where(F.col(pos) != F.col(q_id)) if not_self else both).withColumn("score", cosine(F.col(q_vec), F.col(p_vec)))
-    w = Window.partitionBy(q_id).orderBy(F.desc("score"), F.asc(pos))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(1, k)).select(q_id, *keys, "rank", path, "score")
+    """The k best paths (at least one) of the bucket each question was routed to; the first by position among equals.
+
+    Blocks of questions meet blocks of paths of their bucket; each pair of blocks gives k candidates for each question, so no pair is ever
+    shuffled. The blocks of a hot bucket are dealt out to PARTS joins.
+    """
+    k = max(1, k)
+    q = packed(routed, q_id, q_vec, keys).select(*keys, F.col("_keys").alias("_qk"), F.col("_data").alias("_qd"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+    p = packed(bank, pos, p_vec, keys).select(*keys, F.col("_keys").alias("_pk"), F.col("_data").alias("_pd"), F.pmod(F.xxhash64("_keys"), F.lit(PARTS)).cast("int").alias("_part"))
+    each = best_of_blocks(q.join(p, [*keys, "_part"]), keys, k, not_self)
+    w = Window.partitionBy("_q").orderBy(F.desc("_score"), F.asc("_p"))
+    best = each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    named = best.join(bank.select(F.col(pos).cast("bigint").alias("_p"), *keys, F.col(path).alias("_path")), [*keys, "_p"])
+    return named.select(F.col("_q").alias(q_id), *keys, "rank", F.col("_path").alias(path), F.col("_score").alias("score"))
 
 
 def mean_vector(tokens: DataFrame, vectors: DataFrame, key: str, token: str, vec: str) -> DataFrame:

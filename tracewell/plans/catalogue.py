@@ -659,12 +659,13 @@ def safe_ids(spark: SparkSession, d: str) -> DataFrame:
 def word2vec_vocab(spark: SparkSession, d: str) -> DataFrame:
     """The vocabulary and vector sizes of word vectors trained on the tokens of the bank's paths."""
     from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
 
     s = table(spark, d, "bank").select(T.path_tokens("reasoning_path").alias("w"))
     m = Word2Vec(vectorSize=100, windowSize=5, minCount=1, seed=42, inputCol="w", outputCol="v").fit(s)
     path = scratch_path(spark, "word2vec")
     m.getVectors().write.parquet(path)
-    return spark.read.parquet(path).select("word", F.size(F.udf(lambda v: v.toArray().tolist(), "array<double>")("vector")).alias("n"))
+    return spark.read.parquet(path).select("word", F.size(vector_to_array("vector")).alias("n"))
 
 
 @query("select distinct coalesce(id, '') as id, coalesce(dataset, '') as dataset, coalesce(question, '') as question, coalesce(answer, '') as answer, coalesce(options, '') as options from questions")

@@ -75,8 +75,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df over all shuffle partitions by its keys. Small rows that cost much work each would else be put into few tasks."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    """df over all shuffle partitions by its keys. Small rows that cost much work each would else be put into few tasks.
+
+    By a hash of the keys rather than the keys: a shuffle by the same keys that comes before would else take this one's place, and
+    be merged into few partitions for its few bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*keys))
 
 
 def widened(df: DataFrame) -> DataFrame:
