@@ -31,11 +31,12 @@ def random_other(rows: DataFrame, donors: DataFrame, *, key: str, own: str, dono
     """
     h = lambda *c: F.md5(F.concat_ws("|", F.lit(str(seed)), *c))
     d = donors.select(F.col(donor).alias("_d"), F.col(donor_key).alias("_k")).withColumn("_h", h(F.to_json(F.struct("_d"))))
-    d = d.withColumn("_b", F.pmod(F.xxhash64("_k"), F.lit(slots))).withColumn("_s", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") % slots)
+    # hashes that every engine can compute
+    d = d.withColumn("_kh", h(F.to_json(F.struct("_k")))).withColumn("_b", F.conv(F.substring("_kh", 1, 4), 16, 10).cast("int") % slots).withColumn("_s", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") % slots)
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    c = d.groupBy("_b", "_k", "_s").agg(F.count("*").alias("_m"))
+    c = d.groupBy("_b", "_kh", "_k", "_s").agg(F.count("*").alias("_m"))
     blocks = c.groupBy("_b").agg(F.sum("_m").alias("_t")).select("_b", F.coalesce(F.sum("_t").over(before(Window.orderBy("_b"))), F.lit(0)).alias("_off"))
-    c = c.withColumn("_at", F.coalesce(F.sum("_m").over(before(Window.partitionBy("_b").orderBy("_k", "_s"))), F.lit(0)))
+    c = c.withColumn("_at", F.coalesce(F.sum("_m").over(before(Window.partitionBy("_b").orderBy("_kh", "_s"))), F.lit(0)))
     c = c.join(F.broadcast(blocks), "_b").select(F.col("_k").alias("_ck"), F.col("_s").alias("_cs"), "_m", (F.col("_at") + F.col("_off")).alias("_at"))
     at = d.join(c, F.col("_k").eqNullSafe(F.col("_ck")) & (F.col("_s") == F.col("_cs")))
     numbered = at.select((F.col("_at") + F.row_number().over(Window.partitionBy("_k", "_s").orderBy("_h")) - 1).alias("_no"), F.col("_d").alias(donor))

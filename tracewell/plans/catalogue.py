@@ -488,13 +488,35 @@ def tokenize_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "bank_labels").select("label_id", F.array_join(T.label_tokens("label"), " ").alias("tokens"))
 
 
-@query()
+GREEDY = """with recursive t as (select category, intent, path_pos, reasoning_path as path, list_distinct(flatten(list_transform(reasoning_path, lambda s: list_transform(regexp_extract_all(s, '[A-Z]?[a-z]+|[0-9]+'), lambda x: lower(x))))) as w,
+  row_number() over (partition by category, intent order by path_pos) as i from bank),
+f as (
+  select category, intent, 0::bigint as i, 0 as path_pos, []::struct(path varchar[], w varchar[])[] as kept, true as keep, 0.0::double as score, null::varchar[] as near from (select distinct category, intent from bank)
+  union all
+  select category, intent, i, path_pos, case when score < 0.3 then list_append(kept, {'path': path, 'w': w}) else kept end, score < 0.3, score, near from (
+    select *, coalesce(list_max(upto), 0.0) as score, case when list_max(upto) > 0 then kept[list_position(upto, list_max(upto))].path end as near from (
+      select *, case when hit > 0 then sims[:hit] else sims end as upto from (
+        select *, coalesce(list_position(list_transform(sims, lambda v: v >= 0.3), true), 0) as hit from (
+          select t.category, t.intent, t.i, t.path_pos, t.path, t.w, f.kept, list_transform(f.kept, lambda k: coalesce(len(list_intersect(t.w, k.w)) / nullif(len(list_distinct(list_concat(t.w, k.w))), 0), 0.0)) as sims
+          from f join t on t.category = f.category and t.intent = f.intent and t.i = f.i + 1))))
+) """
+
+
+@query(GREEDY + "select category, intent, cast(path_pos as bigint) as path_pos, keep as kept, round(score, 6) as score, array_to_string(near, '>') as near from f where i > 0")
 def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Paths that are near to one kept before are removed, in order."""
     return routing.greedy_dedup(table(spark, d, "bank"), keys=["category", "intent"], path="reasoning_path", pos="path_pos", threshold=0.3).select(
         "category", "intent", *big("path_pos"), "kept", r6("score").alias("score"), F.array_join("near", ">").alias("near")
     )
 
 
+@query(GREEDY + ", b as (select category, intent, count(*) filter (where not keep) as r from f where i > 0 group by all) select cast(sum(r) as bigint) as removed_paths, count(*) filter (where r = 0) as unchanged_buckets from b")
+def dedup_stats(spark: SparkSession, d: str) -> DataFrame:
+    """How many paths go, and how many buckets stay as they are."""
+    kept = routing.greedy_dedup(table(spark, d, "bank"), keys=["category", "intent"], path="reasoning_path", pos="path_pos", threshold=0.3)
+    return routing.dedup_stats(kept, ["category", "intent"]).select(*big("removed_paths", "unchanged_buckets"))
+
+
 @query()
 def bank_build(spark: SparkSession, d: str) -> DataFrame:
     """From gold records to a bank, intents embedded offline by hashing."""
@@ -584,14 +606,32 @@ def perturb_input(spark: SparkSession, d: str) -> DataFrame:
     return t.select("teacher_id", "route.category", F.get("route.intent", F.lit(0)).alias("intent"), "route.budget", F.filter("route.reasoning_path", lambda s: s.isNotNull()).alias("reasoning_path"))
 
 
-@query()
+DONORS = TEACH + """, r as (select teacher_id, route.category as category, route.intent[1] as intent, route.budget as budget, list_filter(route.reasoning_path, lambda s: s is not null) as path from t where route is not null),
+b as (select path, arg_min({'category': category, 'intent': intent}, teacher_id) as meta from r where len(path) > 0 group by path),
+d as (select path, {key} as k, md5('42|' || to_json({'_d': path})::varchar) as h, md5('42|' || {json}) as kh from b),
+s as (select *, ('0x' || kh[1:4])::int % 64 as bk, ('0x' || h[1:4])::int % 64 as sl from d),
+n as (select path, k, row_number() over (order by bk, kh, sl, h) - 1 as no from s),
+g as (select k, min(no) as first, count(*) as same from n group by k),
+a as (select r.*, coalesce(g.same, 0) as same, g.first, (select count(*) from n) as every, ('0x' || md5('42|' || teacher_id)[1:15])::bigint as x from r left join g on g.k is not distinct from {own}),
+i as (select *, case when every > same then x % (every - same) else x % nullif(every, 0) end as drawn from a),
+o as (select *, drawn + case when every > same and drawn >= first then same else 0 end as no from i) """
+META = "'{\"_k\":{' || array_to_string(list_filter([case when meta.category is not null then '\"category\":' || to_json(meta.category)::varchar end, case when meta.intent is not null then '\"intent\":' || to_json(meta.intent)::varchar end], lambda x: x is not null), ',') || '}}'"
+
+
+def donors_sql(key: str, json: str, own: str) -> str:
+    return DONORS.replace("{key}", key).replace("{json}", json).replace("{own}", own)
+
+
+@query(donors_sql("meta", META, "{'category': r.category, 'intent': r.intent}") + "select teacher_id, array_to_string(n.path[:greatest(coalesce(nullif(budget, 0), nullif(len(o.path), 0), 1), 1)], '>') as path from o left join n using (no)")
 def random_donor(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.perturbed(perturb_input(spark, d), "random", "teacher_id", "teacher_id")
+    """The path of a donor of another category or intent, cut to the budget."""
+    return sampling.perturbed(perturb_input(spark, d), "random", "teacher_id", "teacher_id").select("teacher_id", F.array_join("reasoning_path", ">").alias("path"))
 
 
-@query()
+@query(donors_sql("path", "to_json({'_k': path})::varchar", "r.path") + "select teacher_id, array_to_string(n.path, '>') as path from o left join n using (no)")
 def randglobal_donor(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.perturbed(perturb_input(spark, d), "randglobal", "teacher_id", "teacher_id")
+    """The path of any donor but the record's own."""
+    return sampling.perturbed(perturb_input(spark, d), "randglobal", "teacher_id", "teacher_id").select("teacher_id", F.array_join("reasoning_path", ">").alias("path"))
 
 
 # --- text quality, prompts and nested fields
@@ -693,11 +733,22 @@ def average_gap(spark: SparkSession, d: str) -> DataFrame:
     return metrics.average_gap(gaps).select(r6("gap").alias("gap"), F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"))
 
 
-@query()
+REASONS = f", n as (select *, {STEP_SQL} as s from e), r as (select *, case when s = 0 then 'empty' else {_reasons_sql()} end as r from n) "
+RETRY = chr(10) + "Only high-level steps."
+
+
+@query(f"with q as (select distinct id, question from questions where question is not null), e as (select id, 1 as k, question as text from q union all select id, 2, question || '{RETRY}' from q)" + REASONS + "select a.id, a.r = '' or b.r = '' as valid, a.r <> '' as retried, case when a.r <> '' then b.r else '' end as reasons from r a join r b on a.id = b.id and a.k = 1 and b.k = 2")
 def guided_replies(spark: SparkSession, d: str) -> DataFrame:
     """An offline provider asked for every question's guidance, checked, asked once more where it fails."""
     q = table(spark, d, "questions").where("question is not null").select("id", F.lit("Give steps.").alias("system"), F.col("question").alias("user")).distinct()
-    return providers.validated(q, lambda: (lambda system, user: user), key="id", reasons=T.reject_reasons, retry_suffix="\nOnly high-level steps.").select("id", "valid", "retried", F.array_join("reasons", ",").alias("reasons"))
+    return providers.validated(q, lambda: (lambda system, user: user), key="id", reasons=T.reject_reasons, retry_suffix=RETRY).select("id", "valid", "retried", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("with e as (select text from documents)" + REASONS + "select count(*) as total, count(*) filter (where r = '') as accepted, count(*) filter (where r <> '') as rejected from r")
+def accepted_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many guides are accepted and rejected."""
+    n = providers.accepted_rejected(table(spark, d, "documents").select("doc_id", "text"), "text", T.reject_reasons)[2]
+    return n.toDF("total", "accepted", "rejected")
 
 
 # --- nested records (problem 4)
