@@ -25,7 +25,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.session import written
@@ -217,9 +217,14 @@ class Model:
         return got
 
 
+def beyond_ascii(text: str) -> Column:
+    """Whether a text has signs beyond ASCII: its bytes are more than its signs. Null for a null text."""
+    return F.octet_length(text) > F.char_length(text)
+
+
 def words_of(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
     """(source, word, n): distinct words with signs beyond ASCII, counted before the shuffle."""
-    w = docs.where(F.col(text).isNotNull()).select(F.col(source).alias("source"), F.explode(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("word"))
+    w = docs.where(beyond_ascii(text)).select(F.col(source).alias("source"), F.explode(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("word"))
     return w.groupBy("source", "word").agg(F.count("*").alias("n"))
 
 
@@ -541,7 +546,7 @@ def repaired(docs: DataFrame, text: str = "text", source: str = "source", key: s
                     rows.append((i, restored, n, lost, keys))
             yield pd.DataFrame(rows, columns=["doc_id", "restored", "n_words", "n_lost", "keys"])
 
-    d = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source")).where(F.col("text").rlike(r"[^\x00-\x7F]"))
+    d = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source")).where(beyond_ascii("text"))
     return d.mapInPandas(find, FOUND)
 
 
