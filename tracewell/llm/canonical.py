@@ -241,7 +241,7 @@ def near(asked: DataFrame, forms: DataFrame, compound: bool, most: int = 3) -> D
     allowed = F.least(allowed, F.lit(most))
     met = p.join(own, ["kind", "d", "n", "seg", "piece"]).select("kind", "token", "dot", "form", "word", "short", "sim")
     # a swap is one edit here and two to the built-in distance, which sorts out most pairs first
-    met = met.where(F.levenshtein("token", "form", 6).between(0, 2 * allowed)).distinct()
+    met = spread(met.where(F.levenshtein("token", "form", 6).between(0, 2 * allowed)), "kind", "token").distinct()
     # a slip costs less in a long word
     loss = (1.4 if compound else 0.9) * F.col("e") / n
     return met.withColumn("e", _edits("token", "form")).where(F.col("e") <= allowed).select("kind", "token", "dot", "word", "short", F.greatest(F.lit(0.05), F.col("sim") - loss).alias("sim"))
