@@ -53,6 +53,29 @@ def test_flush_keeps_results(coder, monkeypatch):
     assert t.encode(text) == coder.encode(text)
 
 
+def test_lookahead_settles_tokens(coder, reference, monkeypatch):
+    """Tokens emitted on the way are those of the whole piece, however short the lookahead."""
+    rnd = random.Random(8)
+    text = "".join(rnd.choice(["the", "ing", "tion", "qu", "x", "é", "ß", "ab", "zz"]) for _ in range(3000))
+    want = reference.encode_ordinary(text)
+    for n in (1, 7, 64, 512):
+        monkeypatch.setattr(bpe, "LOOKAHEAD", n)
+        t = bpe.Transducer(coder.ranks)
+        assert t.encode(text) == want
+    settled, open_ = [], []
+    own = bpe.Transducer._settled
+
+    def watch(self, state, lasts):
+        end = own(self, state, lasts)
+        settled.append(end)
+        open_.append(len(lasts) - end)
+        return end
+
+    monkeypatch.setattr(bpe.Transducer, "_settled", watch)
+    coder.encode_piece(text.encode())
+    assert any(settled) and max(open_) < 200  # what stays open is bounded by the vocabulary's tokens, not by the piece
+
+
 def test_table(spark, coder):
     df = spark.createDataFrame([(1, "hello world", "s"), (2, None, None), (3, "", "s"), (1, "hello world", "s")], "doc_id long, text string, ids string")
     got = sorted((r["doc_id"], list(r["ids"])) for r in bpe.encoded(df).collect())

@@ -117,11 +117,13 @@ def sized(spark, n=3000):
 MIX = [("big", 4000, 2), ("small", 3500, 2), ("mid", 2000, 5), ("gone", 500, 3)]
 
 
-def test_mix(spark):
+@pytest.mark.parametrize("block_tokens", [100_000, 7])
+def test_mix(spark, block_tokens):
     df, rows = sized(spark)
     t = spark.createDataFrame(MIX, "source string, weight_bp int, max_repeats int")
-    out = M.mix(df, t, slots=500).collect()
+    out = M.mix(df, t, block_tokens=block_tokens).collect()
     total = sum(n for *_, n in rows)
+    slots = max(1, -(-total // (M.PERIOD * block_tokens))) * M.PERIOD
     has = Counter()
     for _, s, n in rows:
         has[s] += n
@@ -136,13 +138,20 @@ def test_mix(spark):
     rep = {r["source"]: r for r in M.report(df, t).collect()}
     assert rep["gone"]["taken"] == 0 and not rep["gone"]["reached"] and rep["big"]["reached"]
     # any beginning of the mix holds the shares that the whole has, to within a block and a document
-    half, upto = Counter(), 0
-    for r in sorted(out, key=lambda r: (r["slot"], r["place"])):
-        if r["slot"] >= 250:
-            break
-        half[r["source"]] += r["n_tokens"]
-    assert abs(half["big"] - total * 0.4 / 2) <= total / 500 + 300 * 2
-    del upto
+    order = sorted(out, key=lambda r: (r["slot"], r["place"]))
+    assert (max(r["slot"] for r in order) > M.PERIOD) == (slots > M.PERIOD)
+    for part in (0.25, 0.5, 0.6):
+        upto = Counter()
+        for r in order:
+            if r["slot"] < slots * part:
+                upto[r["source"]] += r["n_tokens"]
+        assert abs(upto["big"] - total * 0.4 * part) <= total / slots + 300
+
+
+def test_more_weight_than_all(spark):
+    df, _ = sized(spark, 30)
+    with pytest.raises(ValueError):
+        M.mix(df, spark.createDataFrame([("big", 9000, 2), ("mid", 2000, 1)], "source string, weight_bp int, max_repeats int"))
 
 
 def test_mix_edges(spark):

@@ -5,8 +5,10 @@ is the BPE encoding of its bytes exactly if every two neighbours, put together,
 has one encoding, and its last token is the only token t that ends there and goes with the last token of the prefix before t. A
 state is the set of token beginnings that may still grow, each with the last token before it. States are determinised
 lazily: a state and its transitions are made when a byte first asks for them, and shared by all pieces from then on; the table is
-flushed when it outgrows its bound, as lazy automata do. Reading a byte yields the last token of the prefix so far; once the piece
-ends, the encoding is read off backwards. Decoding is streamed: token bytes go through an incremental UTF-8 state machine.
+flushed when it outgrows its bound, as lazy automata do. Reading a byte yields the last token of the prefix so far. Tokens are emitted after
+a bounded lookahead: whatever follows, the encoding goes on from one of the beginnings in the state, so the tokens that lie on the way
+to all of them are settled; they are read off every LOOKAHEAD bytes, and the rest at the end of the piece. A piece of any length thus
+needs room for its open end only. Decoding is streamed: token bytes go through an incremental UTF-8 state machine.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\
 
 MAX_STATES = 400_000
 MAX_PIECES = 400_000
+MAX_PAIRS = 1_000_000
+LOOKAHEAD = 512  # bytes; most pieces are far shorter and are read off once
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -41,6 +45,7 @@ class Transducer:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.child: dict[int, int] = {}  # node * 256 + byte -> node
         self.token_at: dict[int, int] = {}  # node -> token that ends there
+        self.depth = [0]  # node -> bytes from the root
         nodes = 1
         for b, i in ranks.items():
             at = 0
@@ -49,6 +54,7 @@ class Transducer:
                 to = self.child.get(key)
                 if to is None:
                     self.child[key] = to = nodes
+                    self.depth.append(self.depth[at] + 1)
                     nodes += 1
                 at = to
             self.token_at[at] = i
@@ -81,6 +87,8 @@ class Transducer:
         ok = self.pairs.get((a, b))
         if ok is None:
             x = (self.bytes_of[a] if a >= 0 else b"") + self.bytes_of[b]
+            if len(self.pairs) >= MAX_PAIRS:
+                self.pairs.clear()
             ok = self.pairs[a, b] = self.merged(x) == ([a, b] if a >= 0 else [b])
         return ok
 
@@ -105,21 +113,40 @@ class Transducer:
         self.moves[state * 256 + byte] = n, last
         return n, last
 
+    def _back(self, lasts: list[int], at: int) -> list[int]:
+        """The tokens up to place `at`, read off backwards; lasts holds the last token of each prefix."""
+        out = []
+        while at > 0:
+            out.append(lasts[at - 1])
+            at -= len(self.bytes_of[out[-1]])
+        out.reverse()
+        return out
+
+    def _settled(self, state: int, lasts: list[int]) -> int:
+        """The last place that every continuation's encoding has as a token's end: 0 if none is sure yet."""
+        common: set[int] | None = None
+        for node, _ in self.states[state]:
+            at, ends = len(lasts) - self.depth[node], set()
+            while at > 0:
+                ends.add(at)
+                at -= len(self.bytes_of[lasts[at - 1]])
+            common = ends if common is None else common & ends
+            if not common:
+                return 0
+        return max(common or (0,))
+
     def encode_piece(self, piece: bytes) -> list[int]:
         if len(self.states) > MAX_STATES:
             self._flush()
-        moves, state, lasts = self.moves, 0, []
+        moves, state, lasts, out = self.moves, 0, [], []
         for x in piece:
             m = moves.get(state * 256 + x)
             state, last = m if m is not None else self._move(state, x)
             lasts.append(last)
-        out, at = [], len(piece)
-        while at > 0:
-            t = lasts[at - 1]
-            out.append(t)
-            at -= len(self.bytes_of[t])
-        out.reverse()
-        return out
+            if len(lasts) >= LOOKAHEAD and len(lasts) % LOOKAHEAD == 0 and (end := self._settled(state, lasts)):
+                out += self._back(lasts, end)
+                del lasts[:end]
+        return out + self._back(lasts, len(lasts))
 
     def encode(self, text: str | None) -> list[int]:
         """Token ids without special tokens; null and empty text give an empty list."""

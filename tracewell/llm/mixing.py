@@ -1,10 +1,11 @@
 """Mixing sources to target weights.
 
-Method: Pfair scheduling. The mix is a line of slots of equal token size. Each source is a task with its weight as utilisation: its j-th
-block may not start before slot floor(j / w) and is due before slot ceil((j + 1) / w); earliest deadline first keeps every source within
-one block of its share at any point of the mix. The schedule has a bounded number of slots (a parameter), so it is computed once
-on the driver; the documents find their block through running token sums that are built in two levels, so that no source,
-however large, is sorted in one task.
+Method: Pfair scheduling. The mix is a line of slots of equal token size, one block each. Each source is a task with its weight as
+utilisation: its j-th block may not start before slot floor(j / w) and is due before slot ceil((j + 1) / w); earliest deadline first keeps
+every source within one block of its share at any point of the mix. Weights are whole parts of 10,000, so the schedule repeats after 10,000
+slots: that period is computed once on the driver (at most 10,000 sources can have a weight), and the number of periods grows with the
+corpus, so that a block stays small. The documents find their block through running token sums that are built in two levels, so that
+no source, however large, is sorted in one task.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from tracewell.session import bounded
 
 BUCKETS = 1024  # parts of a source whose token sums are added up first
-SLOTS = 10_000
-MAX_SOURCES = 10_000
+PERIOD = 10_000  # slots after which every schedule repeats: weights are parts of it
+BLOCK_TOKENS = 100_000  # the size of a block that is aimed at; a mix has at least one period, so its blocks may be smaller
 
 
 def schedule(weights: dict[str, int], slots: int) -> list[tuple[str, int, int]]:
@@ -72,31 +73,37 @@ def targets_met(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return t.withColumn("taken_at_most", F.least("wanted", F.col("has") * F.col("max_repeats")))
 
 
-def mix(sized: DataFrame, targets: DataFrame, seed: int = 42, slots: int = SLOTS) -> DataFrame:
+def mix(sized: DataFrame, targets: DataFrame, seed: int = 42, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(key, source, repeat, n_tokens, slot, place): the documents of the mix in the order of the schedule.
 
     sized: key, source, n_tokens. A document is taken once for each full pass through its source and once more if its middle lies before
     the end of the last pass, so a source's size is met to within half a document. repeat counts from 0 and stays below max_repeats.
     Documents of no tokens (null or empty text), of a null source or of sources without a target aren't taken. Order the result by
-    (slot, place) to read the mix; place is the running token sum within the source.
+    (slot, place) to read the mix; place is the running token sum within the source. Blocks of a source beyond its weight, which
+    rounding may leave, come last. Weights above 10,000 in sum are an error.
     """
     t = targets_met(sized, targets)
     r = running(sized.where("source is not null and n_tokens > 0"), seed)
-    m = r.join(bounded(t.select("source", "has", "taken_at_most", "total", "weight_bp", "max_repeats").where("has > 0"), MAX_SOURCES), "source")
+    # sources with a weight are at most PERIOD: the weights are whole and their sum is checked
+    spark = sized.sparkSession
+    listed = targets.where("source is not null and weight_bp > 0").select("source", "weight_bp").limit(PERIOD + 1).collect()
+    weights = {x["source"]: x["weight_bp"] for x in listed}
+    if len(listed) > PERIOD or sum(weights.values()) > PERIOD:
+        raise ValueError(f"weights are parts of {PERIOD}, in sum no more")
+    m = r.join(bounded(t.select("source", "has", "taken_at_most", "total", "weight_bp", "max_repeats").where("has > 0 and weight_bp > 0"), PERIOD), "source")
     # position of the k-th copy in the endless repetition of the source
     left = F.col("taken_at_most") - F.col("start") - F.col("n_tokens") / 2
     copies = F.least(F.greatest(F.ceil(left / F.col("has")).cast("int"), F.lit(0)), F.col("max_repeats"))
     m = m.withColumn("_n", copies).where("_n > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     m = m.withColumn("place", F.col("start") + F.col("repeat") * F.col("has"))
-    block = F.floor(F.col("place") * F.lit(slots) / F.col("total")).cast("int")
-    m = m.withColumn("block", block)
-    spark = sized.sparkSession
-    weights = {x["source"]: x["weight_bp"] for x in targets.where("source is not null").select("source", "weight_bp").limit(MAX_SOURCES + 1).collect()}
-    if len(weights) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} target sources")
-    rows = schedule(weights, slots)
-    s = spark.createDataFrame(pd.DataFrame(rows, columns=["source", "block", "slot"]), "source string, block int, slot int") if rows else spark.createDataFrame([], "source string, block int, slot int")
-    return m.join(F.broadcast(s), ["source", "block"], "left").select("key", "source", "repeat", "n_tokens", F.coalesce("slot", F.lit(slots)).alias("slot"), "place")
+    slots = F.greatest(F.ceil(F.col("total") / F.lit(PERIOD * block_tokens)), F.lit(1)).cast("long") * PERIOD
+    # the block of a document: its place in units of total / slots tokens; a source has weight_bp blocks in each period
+    m = m.withColumn("_slots", slots).withColumn("_all", F.floor(F.col("place") * F.col("_slots") / F.col("total")).cast("long"))
+    m = m.withColumn("block", F.pmod("_all", F.col("weight_bp").cast("long")).cast("int")).withColumn("_period", F.floor(F.col("_all") / F.col("weight_bp")).cast("long"))
+    rows = schedule(weights, PERIOD)
+    s = spark.createDataFrame(pd.DataFrame(rows, columns=["source", "block", "_slot"]), "source string, block int, _slot int") if rows else spark.createDataFrame([], "source string, block int, _slot int")
+    slot = F.when(F.col("_period") * PERIOD + F.col("_slot") < F.col("_slots"), F.col("_period") * PERIOD + F.col("_slot")).otherwise(F.col("_slots"))
+    return m.join(F.broadcast(s), ["source", "block"], "left").select("key", "source", "repeat", "n_tokens", F.coalesce(slot, F.col("_slots")).alias("slot"), "place")
 
 
 def report(sized: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
