@@ -57,6 +57,30 @@ def test_pca_keeps_distances():
     assert np.allclose(np.linalg.norm(x[0] - x[1]), np.linalg.norm(y[0] - y[1]))
 
 
+@pytest.mark.parametrize("dims", [None, 3])
+def test_clusters_by_joins(spark, dims, monkeypatch):
+    """Groups too large for one task get the clusters that one task would give: dense spots, chains, border points, noise, weights, several blocks."""
+    monkeypatch.setattr(cluster, "BLOCK_POINTS", 16)
+    rnd = np.random.default_rng(11)
+    rows = []
+    for g, n in (("a", 150), ("b", 90), (None, 40)):
+        spots = rnd.normal(scale=0.7, size=(6, 4))
+        for i in range(n):
+            x = spots[i % 6] + rnd.normal(scale=0.12, size=4) if i % 5 else np.array([i * 0.02, 0.1, 0.0, 0.0]) if i % 2 else rnd.normal(scale=2, size=4)
+            rows.append((g, i, x.tolist(), int(rnd.integers(1, 3))))
+    df = spark.createDataFrame(rows, "g string, k int, v array<double>, w int").repartition(4)
+    ask = lambda local: {(r["g"], r["k"]): r["cluster"] for r in cluster.cluster_groups(df, group="g", key="k", vec="v", weight="w", eps=0.3, min_samples=4, dims=dims, local=local).collect()}
+    want = ask(10_000)
+    assert ask(50) == want == ask(0) and len(want) == len(rows) and -1 in want.values() and max(want.values()) >= 3
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(0, 40) if i != 20]
+    nodes = spark.createDataFrame([(i,) for i in range(45)], "id long")
+    got = {r["id"]: r["label"] for r in cluster.components(nodes, spark.createDataFrame([(b, a) for a, b in chain], "a long, b long")).collect()}
+    assert got == {i: 0 if i <= 20 else 21 if i <= 40 else i for i in range(45)}
+
+
 def test_greedy_dedup(spark):
     rnd = random.Random(4)
     steps = ["StateAnswer", "SetUp", "ListCases", "DrawSketch", "RoundUp"]

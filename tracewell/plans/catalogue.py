@@ -170,6 +170,32 @@ def dbscan_labels(spark: SparkSession, d: str) -> DataFrame:
     return cluster.cluster_groups(table(spark, d, "embeddings"), group="label", key="vec_id", vec="embedding", eps=0.4)
 
 
+DBSCAN = """with recursive e as (select label, vec_id as i, embedding::double[] as v from embeddings), near as (select a.label, a.i, b.i as j from e a join e b on a.label = b.label where list_distance(a.v, b.v) <= {eps}),
+core as (select i, label from near group by all having count(*) >= {m}), link as (select near.i, near.j from near where i in (select i from core) and j in (select i from core)),
+reach as (select i, i as c from core union select link.j, reach.c from reach join link on link.i = reach.i), comp as (select i, min(c) as c from reach group by i),
+numbered as (select comp.i, dense_rank() over (partition by label order by c) - 1 as cluster from comp join core using (i)),
+border as (select near.i, min(cluster) as cluster from near join numbered on numbered.i = near.j where near.i not in (select i from core) group by near.i)
+select e.label, e.i as vec_id, cast(coalesce(numbered.cluster, border.cluster, -1) as bigint) as cluster from e left join numbered using (i) left join border using (i)"""
+DBSCAN_SQL = DBSCAN.format(eps=1.2, m=4)
+
+
+def dbscan_whole(spark: SparkSession, d: str, **how: int) -> DataFrame:
+    c = cluster.cluster_groups(table(spark, d, "embeddings"), group="label", key="vec_id", vec="embedding", eps=1.2, min_samples=4, dims=None, **how)
+    return c.select("label", "vec_id", *big("cluster"))
+
+
+@query(DBSCAN_SQL)
+def dbscan_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """M3: DBSCAN of the vectors of each label in their own space, groups small enough for one task."""
+    return dbscan_whole(spark, d)
+
+
+@query(DBSCAN_SQL)
+def dbscan_by_joins(spark: SparkSession, d: str) -> DataFrame:
+    """M3: the same clusters by joins of grid cells, as for groups of any size."""
+    return dbscan_whole(spark, d, local=0)
+
+
 # --- filters and joins between runs (P2, P3, J3-J7, J15, U-a)
 
 
@@ -517,6 +543,21 @@ def dedup_stats(spark: SparkSession, d: str) -> DataFrame:
     return routing.dedup_stats(kept, ["category", "intent"]).select(*big("removed_paths", "unchanged_buckets"))
 
 
+NAMED = TAX + """, m as (select category, intent, min(teacher_id * 100 + i) as pos from v group by 1, 2), c as (select *, length(intent) % 4 - 1 as cluster, string_split_regex(intent, '{ws}') as w from m),
+f as (select *, min(pos) over (partition by category, cluster) as first from c), b as (select category, cluster, arg_min(intent, (len(w), length(intent), pos)) as best from c where cluster >= 0 group by 1, 2),
+n as (select f.category, f.intent, f.pos, f.first, f.cluster, coalesce(best, f.intent) as form from f left join b on f.category = b.category and f.cluster = b.cluster),
+k as (select *, case when len(string_split_regex(form, '{ws}')) > 4 then array_to_string(string_split_regex(form, '{ws}')[1:4], ' ') else form end as canonical, case when cluster < 0 then pos end as own from n),
+h as (select category, canonical, max((first, coalesce(own, -1))) as holder from k group by 1, 2), d as (select k.category, k.intent, k.canonical, (first, coalesce(own, -1)) as place, holder from k join h using (category, canonical))
+select category, intent, arg_max(canonical, place) as canonical from d where place = holder group by 1, 2""".replace("{ws}", _WS + "+")
+
+
+@query(NAMED)
+def canonical_names(spark: SparkSession, d: str) -> DataFrame:
+    """The canonical names of clusters given by the lengths of the intents; a later cluster holds a name that two come to."""
+    m = taxonomy(spark, d).groupBy("category", "intent").agg(F.min("_pos").alias("_pos"))
+    return B.canonical_map(m, m.select("category", "_pos", (F.length("intent") % 4 - 1).alias("cluster")), "_pos")
+
+
 @query()
 def bank_build(spark: SparkSession, d: str) -> DataFrame:
     """From gold records to a bank, intents embedded offline by hashing."""
@@ -672,12 +713,28 @@ def append_options(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "questions").where("question is not null").select("id", T.with_options("question", "options").alias("text")).distinct()
 
 
-@query("select distinct id, case when contains(lower(dataset), 'mc') or contains(lower(dataset), 'aqua') or contains(lower(dataset), 'arc') or contains(lower(dataset), 'gpqa') or contains(lower(dataset), 'choice') then 'choice' when contains(lower(dataset), 'strategy') or contains(lower(dataset), 'yesno') or contains(lower(dataset), 'bool') then 'text' else 'math' end as task from questions")
+TASKS_SQL = "select distinct id, case when contains(lower(dataset), 'mc') or contains(lower(dataset), 'aqua') or contains(lower(dataset), 'arc') or contains(lower(dataset), 'gpqa') or contains(lower(dataset), 'choice') then 'choice' when contains(lower(dataset), 'strategy') or contains(lower(dataset), 'yesno') or contains(lower(dataset), 'bool') then 'text' else 'math' end as task from questions"
+
+
+@query(TASKS_SQL)
 def task_types(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "questions").select("id", P.task_of(F.col("dataset")).alias("task")).distinct()
 
 
-@query()
+def prompt_sql() -> str:
+    """The prompts of all strategies, put together from the same parts."""
+    lit = lambda t: "'" + t.replace("'", "''") + "'"
+    with_options = "trim(question) || case when options is null or trim(options) = '' or contains(trim(question), trim(options)) then '' else chr(10) || 'Options:' || chr(10) || trim(options) end"
+    parts = []
+    for strategy in P.STRATEGIES:
+        for task in P.TASKS:
+            schema = "<A|B|C|D|E>" if task == "choice" else P.SCHEMAS[task]
+            body = f'\n\n{P.PARTS[strategy]}\nReply in JSON: {{"rationale": {{...}}, "ans": {schema}}}\n{P.ANSWER_RULES[task]}'
+            parts.append(f"select id, '{strategy}' as strategy, task, 'You are a careful tutor.' as system, 'Question:' || chr(10) || ({with_options}) || {lit(body)} as user from q where task = '{task}'")
+    return f"with t as ({TASKS_SQL}), q as (select distinct id, dataset, question, answer, options, task from questions join t using (id)) " + " union all ".join(parts)
+
+
+@query(prompt_sql())
 def prompt_table(spark: SparkSession, d: str) -> DataFrame:
     """Prompts of all strategies for all questions."""
     q = table(spark, d, "questions").select("id", "dataset", "question", "answer", "options").distinct()
