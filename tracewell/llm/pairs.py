@@ -94,6 +94,8 @@ DENSE = re.compile("[\u2e80-\U0010ffff]")
 HAN = re.compile("[\u3400-\u9fff]")
 CYRILLIC = re.compile("[\u0400-\u04ff]")
 FORMULA = re.compile(r"\\[a-zA-Z]+|\$[^$]*\$")
+TOKEN = re.compile(r"\w+")
+LEAD = re.compile(r"^\W*(?:question|frage|pregunta|pergunta|вопрос|q)\s*[:：]")
 WORKED = re.compile(r"=\s*[-+]?\d")  # something is worked out
 
 
@@ -103,6 +105,7 @@ class Rules:
     def __init__(self) -> None:
         self.words = _weights()
         self.known: dict[str, str] = {}
+        self.bared: dict[str, tuple[list[str], Counter]] = {}
 
     def leaves(self, x: object) -> list[str]:
         if isinstance(x, dict):
@@ -183,7 +186,17 @@ class Rules:
 
     @staticmethod
     def bare(s: str) -> list[str]:
-        return re.findall(r"\w+", re.sub(r"^\W*(?:question|frage|pregunta|pergunta|вопрос|q)\s*[:：]", "", s.lower().replace("’", "'")))
+        return TOKEN.findall(LEAD.sub("", s.lower().replace("’", "'")))
+
+    def asked(self, text: str) -> tuple[list[str], Counter]:
+        """The words of a question or of options, with their numbers; many responses have the same."""
+        got = self.bared.get(text)
+        if got is None:
+            if len(self.bared) > 50_000:
+                self.bared.clear()
+            q = self.bare(text)
+            got = self.bared[text] = q, Counter(q)
+        return got
 
     def copied(self, question: str | None, options: str | None, texts: list[str]) -> bool:
         """The words of the response are those of the question, but for a few left out or put in, and there is no answer."""
@@ -194,20 +207,23 @@ class Rules:
         if has_answer(text) and not has_answer(question):
             return False
         dense = not question.isascii() and bool(DENSE.search(question))
-        q = self.bare(question)
+        q, asked = self.asked(question)
         if len(q) < 4 and not (len(question) >= 12 and dense):
             return False
         if dense:  # no spaces between words
             q = [c for c in question if c.isalnum()]
-            parts = [[c for c in re.sub(r"^\W*问题[:：]", "", t) if c.isalnum()] for t in texts]
+            asked = Counter(q)
+            r = [c for t in texts for c in re.sub(r"^\W*问题[:：]", "", t) if c.isalnum()]
         else:
-            parts = [self.bare(t) for t in texts]
-        r = [w for p in parts for w in p]
+            r = [w for t in texts for w in self.bare(t)]
         if len(r) < 0.6 * len(q) or len(r) > 3.5 * len(q) + len((options or "").split()) + 4:
             return False
-        have, asked = Counter(r), Counter(q)
+        offered = self.asked(options)[1] if options else {}
+        if sum(w in asked or w in offered for w in r) < 0.88 * len(r):  # too many words of its own, however often each may occur
+            return False
+        have = Counter(r)
         times = max(1, round(len(r) / len(q)))
-        allowed = Counter({w: n * times for w, n in asked.items()}) + Counter(self.bare(options or ""))
+        allowed = Counter({w: n * times for w, n in asked.items()}) + Counter(offered)
         common = sum((have & allowed).values())
         covered = sum((have & asked).values())
         return common >= 0.88 * len(r) and covered >= 0.7 * len(q)
@@ -216,10 +232,14 @@ class Rules:
     def refusal(texts: list[str]) -> bool:
         """Declines, at any length, and neither announces an answer nor works anything out."""
         text = " ".join(t.strip() for t in texts).replace("’", "'")
+        if WORKED.search(text):
+            return False
         low = text.lower()
+        if has_answer(low):
+            return False
         for cue in REFUSAL_CUES:
             if cue in low:
-                return not has_answer(low) and not WORKED.search(low) and bool(REFUSAL.search(low))
+                return bool(REFUSAL.search(low))
         return False
 
     @staticmethod
@@ -256,7 +276,7 @@ class Rules:
         prose = texts == [value] or len(texts) == 1 and value.strip()[:1] not in "{["
         text = " ".join(texts)
         asked = self.question_language(question) if question else ""
-        spoken = self.language(text) if len(text) > 4 else ""
+        spoken = self.language(text) if asked and len(text) > 4 else ""
         other = "language" if asked and spoken and asked != spoken else None
         if field == "gold_ans" and other and value.count("(") <= value.count(")"):
             return "language", None
@@ -269,16 +289,28 @@ class Rules:
 
 
 # Where a text is cut into sentences, and a sentence into clauses: at a space after a mark, or at a sign of its own.
-SENTENCE = r' (?<=[.!?"] )|[\n。！？]'
-CLAUSE = r" (?<=[,:;] )"
+SENTENCE_ENDS, CLAUSE_ENDS, OWN_ENDS, DIGITS = '.!?"', ",:;", "\n。！？", "0123456789"
+CUT, SUB = "\x01", "\x02"
 LEAST_CLAUSE = 12  # signs; shorter clauses begin too many others
-DIGITS = "0123456789"
+
+
+def marked(value: Column) -> Column:
+    """The value without digits, with a sign of its own where sentences and clauses end."""
+    v = F.translate(value, OWN_ENDS + DIGITS, CUT * len(OWN_ENDS))
+    for ends, sign in ((SENTENCE_ENDS, CUT), (CLAUSE_ENDS, SUB)):
+        for x in ends:
+            v = F.replace(v, F.lit(x + " "), F.lit(x + sign))
+    return v
 
 
 def tails(value: str) -> tuple[str, str | None]:
     """The unfinished last sentence of a value and its last clause (null if that is short or the whole), both without digits."""
-    s = re.split(SENTENCE, value.strip(" \t\r\n").translate(str.maketrans("", "", DIGITS)))[-1]
-    c = re.split(CLAUSE, s)[-1]
+    v = value.strip(" \t\r\n").translate(str.maketrans(dict.fromkeys(OWN_ENDS, CUT) | dict.fromkeys(DIGITS)))
+    for ends, sign in ((SENTENCE_ENDS, CUT), (CLAUSE_ENDS, SUB)):
+        for x in ends:
+            v = v.replace(x + " ", x + sign)
+    last = v.rpartition(CUT)[2]
+    s, c = last.replace(SUB, " "), last.rpartition(SUB)[2]
     return s, c if LEAST_CLAUSE <= len(c) < len(s) else None
 
 
@@ -316,13 +348,14 @@ def judged(pairs: DataFrame) -> DataFrame:
 
 def sentences(values: DataFrame) -> DataFrame:
     """(text): the distinct finished sentences and clauses of all values, without digits. Distinct before the shuffle, too."""
-    v = F.rtrim(F.translate("value", DIGITS, ""))
-    parts = values.where("value is not null").select(F.split(v, SENTENCE).alias("p"), F.right(v, F.lit(1)).isin(*".!?。！？").alias("whole"))
+    v = marked(F.rtrim("value"))
+    parts = values.where("value is not null").select(F.split(v, CUT).alias("p"), F.right(v, F.lit(1)).isin(*".!?", CUT).alias("whole"))
     done = F.when(F.col("whole"), F.col("p")).otherwise(F.slice("p", F.lit(1), F.size("p") - 1))
+    sentence = F.transform("p", lambda x: F.replace(x, F.lit(SUB), F.lit(" ")))
     # a list of one clause is the sentence itself
-    clauses = F.transform(F.col("p"), lambda x: F.split(x, CLAUSE))
-    own = F.filter(F.flatten(F.transform(clauses, lambda cs: F.when(F.size(cs) > 1, cs).otherwise(F.array().cast("array<string>")))), lambda c: F.length(c) >= LEAST_CLAUSE)
-    return parts.select(done.alias("p")).select(F.explode(F.concat("p", own)).alias("text")).where("text <> ''").distinct()
+    clauses = F.flatten(F.transform(F.filter("p", lambda x: F.contains(x, F.lit(SUB))), lambda x: F.split(x, SUB)))
+    texts = F.concat(sentence, F.filter(clauses, lambda c: F.length(c) >= LEAST_CLAUSE))
+    return parts.select(done.alias("p")).select(F.explode(texts).alias("text")).where("text <> ''").distinct()
 
 
 def shortened(unfinished: DataFrame, finished: DataFrame) -> DataFrame:
