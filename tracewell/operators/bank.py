@@ -87,6 +87,11 @@ def path_source(path: Column, base: Column) -> Column:
     return F.when(path_in_bank(path, base), "reasoning_path_bank").otherwise("llm_generated")
 
 
+def parse_status(rationale: Column, ans: Column) -> Column:
+    """Ok if a reply gave both, else parse_error."""
+    return F.when(rationale.isNotNull() & ans.isNotNull(), "ok").otherwise("parse_error")
+
+
 def signatures(df: DataFrame, r: Column) -> DataFrame:
     """df with _sig, the normalised route as a joinable struct; rows without one are left out."""
     return df.withColumn("_sig", normalized_route(r)).where("_sig is not null")

@@ -752,7 +752,7 @@ def safe_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.safe_id("source", "doc", F.col("doc_id")).alias("name"))
 
 
-@query()
+@query("select distinct lower(w) as word, 100 as n from (select unnest(flatten(list_transform(reasoning_path, lambda s: regexp_extract_all(s, '[A-Z]?[a-z]+|[0-9]+')))) as w from bank)")
 def word2vec_vocab(spark: SparkSession, d: str) -> DataFrame:
     """The vocabulary and vector sizes of word vectors trained on the tokens of the bank's paths."""
     from pyspark.ml.feature import Word2Vec
@@ -776,13 +776,6 @@ def plain_rationales(spark: SparkSession, d: str) -> DataFrame:
     return teacher(spark, d, "response_rationale").select("teacher_id", L.plain_text("response_rationale").alias("text"))
 
 
-@query()
-def parsed_replies(spark: SparkSession, d: str) -> DataFrame:
-    """Rationale and answer of every response, by the teacher's rules."""
-    parse = lambda p: widened(p.select("pred_id", "ingested_at", "model_response")).select("pred_id", "ingested_at", L.parsed_output(F.col("model_response")).alias("r")).select("pred_id", "ingested_at", F.col("r.ans.k").alias("kind"), F.col("r.ans.s").alias("text"), F.col("r.ans.n").alias("number"), F.col("r.payload").isNotNull().alias("is_json"))
-    return judged(spark, d, parse, "kind", "text", "number", "is_json").drop("ingested_at")
-
-
 @query(RUNS + ", z as (select dataset, method, run, acc from v), a0 as (select dataset, method as arm, avg(acc) as m, var_samp(acc) as v, count(*) as n from z where method in ('CoT', 'SGFT') group by 1, 2), w as (select a.dataset, a.m - b.m as gap, a.v / a.n as sa, b.v / b.n as sb, a.n as na, b.n as nb from a0 a join a0 b on a.dataset = b.dataset and a.arm = 'SGFT' and b.arm = 'CoT' and a.n > 1 and b.n > 1), x as (select *, case when sa + sb > 0 then (sa + sb) * (sa + sb) / (sa * sa / (na - 1) + sb * sb / (nb - 1)) else 1.0 end as df from w), y as (select *, (" + T_SQL + ") * sqrt(sa + sb) as h from x) select round(avg(gap), 6) as gap, round(avg(gap) - sqrt(sum(h * h)) / count(*), 5) as lo, round(avg(gap) + sqrt(sum(h * h)) / count(*), 5) as hi from y")
 def average_gap(spark: SparkSession, d: str) -> DataFrame:
     """The gap of one method against the baseline, averaged over the datasets."""
@@ -834,7 +827,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.second_round_children(table(spark, d, "second_round"))
 
 
-@query()
+P4_CHECKS = P4_SQL[: P4_SQL.index("select record_id, child, cast(outer_pos")] + ", z as (select record_id, outer_pos as step, generate_subscripts(cs, 1) - 1 as pos, unnest(cs) as c from (select record_id, outer_pos, (sv->'checks')::json[] as cs from n where json_type(sv->'checks') = 'ARRAY')) select record_id, cast(step as integer) as step, cast(pos as integer) as pos, c->>'expr' as expr, c->>'ok' as ok from z"
+
+
+@query(P4_CHECKS)
 def p4_checks(spark: SparkSession, d: str) -> DataFrame:
     """The checks of the steps as one table by pivot: (record_id, step, pos, expr, ok)."""
     t = nested.pivot(nested.second_round_triples(table(spark, d, "second_round")), "rationale[].checks[]", {"expr": "expr", "ok": "ok"})
@@ -850,9 +846,8 @@ def p4_columns(spark: SparkSession, d: str) -> DataFrame:
 # --- a stream (T-a to T-d)
 
 
-@query()
-def bank_growth_stream(spark: SparkSession, d: str) -> DataFrame:
-    """T-b, T-d: the teacher's routes as a stream into a bank that grows in steps; its summaries."""
+def grown(spark: SparkSession, d: str) -> "BankGrowth":  # noqa: F821
+    """The teacher's routes as a stream into a bank that grows in steps."""
     from tracewell.streaming.growth import BankGrowth
 
     path = scratch_path(spark, "growth")
@@ -860,7 +855,21 @@ def bank_growth_stream(spark: SparkSession, d: str) -> DataFrame:
     g = BankGrowth(spark, path, threshold=20)
     schema = spark.read.parquet(path + "/in").schema
     g.start(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path + "/in"), path + "/checkpoint").awaitTermination()
-    return spark.read.parquet(g.history).select("summary.*")
+    return g
+
+
+@query()
+def bank_growth_stream(spark: SparkSession, d: str) -> DataFrame:
+    """T-b, T-d: the summaries of the bank as it grows."""
+    return spark.read.parquet(grown(spark, d).history).select("summary.*")
+
+
+@query(TEACH + f"select distinct {strip_sql('route.category')} as category, {strip_sql('route.intent[1]')} as intent, {JOINED.replace('path', 'route.reasoning_path')} as path from t where gold_matches_answer and len(route.reasoning_path) > 0 and {strip_sql('route.category')} <> '' and {strip_sql('route.intent[1]')} <> ''")
+def bank_growth_routes(spark: SparkSession, d: str) -> DataFrame:
+    """T-b, T-c: all routes of the stream, each once, in the bank or still waiting."""
+    g = grown(spark, d)
+    both = g.bank.read().select(*B.KEY).unionByName(g.pending.read().select(*B.KEY))
+    return both.select("category", "intent", F.array_join("reasoning_path", ">", "~").alias("path"))
 
 
 __all__ = ["oracle_sql", "queries"]

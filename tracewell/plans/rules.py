@@ -168,3 +168,50 @@ def clean_answers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "questions").select("id", "answer").distinct().select("id", L.clean_answer(F.col("answer")).alias("answer"))
 
 
+
+
+# --- replies parsed by the teacher's rules (G5, G6, P9), slugs (F30), system lines
+
+OBJECT = f"coalesce({Z.group('r', FENCED)}, {BRACES.format(x='r')})"
+ANS = "(case when json_type(j->'ans') in ('OBJECT', 'ARRAY') then (j->'ans')::varchar when (j->'ans') <> 'null' then j->>'ans' end)"
+
+
+def token_sql(c: str) -> str:
+    """The teacher's token of a cleaned text column c whose reading is {c}_v: kind, text, number."""
+    return f"case when {c} is null or {c} = '' then null when {lone_letter(c)} is not null then {{'k': 's', 'n': null::double, 's': {lone_letter(c)}}} else {c}_v end"
+
+
+@query(PRED + f""", a as (select pred_id, model_response as r from p), b as (select *, {OBJECT} as o, {VALUE} as v, {TAG} as tag from a), c as (select *, case when json_valid(o) then case when json_type(o::json) = 'OBJECT' then o::json end end as j from b),
+d as (select *, {CHOICES} as choice, {cleaned(ANS)} as jt, {cleaned('tag')} as tt, nullif(regexp_extract_all(replace(r, ',', ''), {Z.q(A.NUMBER)})[-1], '') as ln from c), {Z.teacher_columns('jt', 'd')}, {Z.teacher_columns('tt', 'd_t')}, {Z.teacher_columns('ln', 'd_t_t')},
+e as (select pred_id, j is not null as is_json, case when j is not null then {token_sql('jt')} when choice is not null then {{'k': 's', 'n': null::double, 's': choice}} else coalesce({token_sql('tt')}, ln_v) end as x from d_t_t_t)
+select pred_id, x.k as kind, x.s as text, case when x.k = 'n' then x.n end as number, is_json from e""")
+def parsed_replies(spark: SparkSession, d: str) -> DataFrame:
+    """The answer of every response by the teacher's rules: from its object, else by tag, field, cue or last number."""
+    r = L.parsed_output(F.col("model_response"))
+    out = responses(spark, d, r=r)
+    return out.select("pred_id", F.col("r.ans.k").alias("kind"), F.col("r.ans.s").alias("text"), F.col("r.ans.n").alias("number"), F.col("r.payload").isNotNull().alias("is_json"))
+
+
+@query(PRED + f", a as (select pred_id, {Z.strip('model_response')} as r from p), j as (select pred_id, {WHOLE.format(x='r')} as j from a) select pred_id, case when (j->'rationale') <> 'null' and (j->'ans') <> 'null' then 'ok' else 'parse_error' end as status from j")
+def parse_statuses(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a reply gave both a rationale and an answer."""
+    t = A.strip(F.col("model_response"))
+    whole = F.when(F.startswith(t, F.lit("{")) & F.endswith(t, F.lit("}")), F.try_parse_json(t))
+    part = lambda k: A.json_value(F.try_variant_get(whole, f"$.{k}", "variant"))
+    return responses(spark, d, status=B.parse_status(part("rationale"), part("ans")))
+
+
+@query(f"select doc_id, regexp_replace(regexp_replace(lower({Z.strip('source')}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from documents")
+def slugs(spark: SparkSession, d: str) -> DataFrame:
+    """the sources as names of files."""
+    from tracewell.functions import text as T
+
+    return table(spark, d, "documents").select("doc_id", T.slug("source").alias("slug"))
+
+
+@query("select distinct id, question || ' ' || 'Choose one of up to 3 reasoning paths.' as prompt from questions")
+def system_lines(spark: SparkSession, d: str) -> DataFrame:
+    """a system prompt whose line on the path is rewritten for several paths."""
+    from tracewell.plans import prompts as P
+
+    return table(spark, d, "questions").select("id", P.system_line(F.concat("question", F.lit(" Follow the reasoning path.")), 3).alias("prompt")).distinct()
