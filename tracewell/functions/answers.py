@@ -1,8 +1,8 @@
 """Answer extraction, normalisation and matching as column expressions.
 
 A raw answer is a struct(kind, text): kind s (text), n (number), b (truth value) or j (object or array), null if there is none. A
-normalised answer is a struct(k, b, n, s) with k one of b, n, s. Each builder is small and staged by its caller with withColumn,
-so that Catalyst evaluates shared parts once and nothing leaves whole-stage code generation for Python.
+normalised answer is a struct(k, b, n, s) with k one of b, n, s. The cascade is staged by columns; within a stage a part used more than once
+is bound by let(), whose lambda is evaluated outside whole-stage code generation, in the JVM. Nothing goes to Python.
 """
 
 from __future__ import annotations
@@ -372,50 +372,66 @@ def column_raw(df: DataFrame, k: str) -> Column:
     return raw(k, {"boolean": "b", "string": "s"}.get(df.schema[k].dataType.simpleString(), "n"))
 
 
-def with_answers(df: DataFrame, object_responses: bool = False) -> DataFrame:
-    """df with _gold and _pred (raw answers) and _choice (choice task?), by the scorer's cascade over the columns that df has.
+_BUILT: dict[tuple, list[tuple[str, Column]]] = {}
 
-    object_responses: model_response holds objects as JSON text, not texts. Presence of a column stands for presence of a key.
-    """
+
+def staged(df: DataFrame, build: Callable[[DataFrame, bool], list[tuple[str, Column]]], object_responses: bool) -> DataFrame:
+    """df with the columns that build() names, one after the other. They follow from the names and types of df alone and take thousands of
+    calls to put together, so they are kept for the next table of the same columns."""
+    key = (df.sparkSession.sparkContext.applicationId, build.__name__, tuple(df.dtypes), object_responses)
+    if key not in _BUILT:
+        _BUILT[key] = build(df, object_responses)
+    for name, c in _BUILT[key]:
+        df = df.withColumn(name, c)
+    return df
+
+
+def _answer_columns(df: DataFrame, object_responses: bool) -> list[tuple[str, Column]]:
     has = set(df.columns)
     opts = [F.col(k) for k in OPTION_KEYS if k in has]
-    df = df.withColumn("_gold", gold_answer(df))
-    df = df.withColumn("_options", F.coalesce(*[option_map(o) for o in opts]) if opts else F.lit(None).cast("map<string,string>"))
-    df = df.withColumn("_choice", F.coalesce((F.col("_gold.kind") == "s") & strip(F.col("_gold.text")).rlike(CHOICE), F.lit(False)) | F.col("_options").isNotNull())
+    out = [("_gold", gold_answer(df)), ("_options", F.coalesce(*[option_map(o) for o in opts]) if opts else F.lit(None).cast("map<string,string>"))]
+    out.append(("_choice", F.coalesce((F.col("_gold.kind") == "s") & strip(F.col("_gold.text")).rlike(CHOICE), F.lit(False)) | F.col("_options").isNotNull()))
     ct = F.col("_choice")
-    direct = [as_choice(column_raw(df, k), ct) for k in ("model_ans", "pred_ans", "response_ans") if k in has]
-    steps = list(direct)
+    steps = [as_choice(column_raw(df, k), ct) for k in ("model_ans", "pred_ans", "response_ans") if k in has]
     if "response_payload" in has:
-        df = df.withColumn("_pj", text_ans(F.col("response_payload")))
+        out.append(("_pj", text_ans(F.col("response_payload"))))
         steps += [as_choice(F.col("_pj"), ct), prose_answer(F.col("response_payload"), ct, coerce=True)]
     if "model_response" in has:
         if object_responses:
             steps.append(object_answer(F.col("model_response"), ct))
         else:
-            df = df.withColumn("_rj", text_ans(F.col("model_response")))
+            out.append(("_rj", text_ans(F.col("model_response"))))
             steps += [as_choice(F.col("_rj"), ct), prose_answer(F.col("model_response"), ct)]
     if not has & {"model_response", "model_ans", "response_payload"}:
         steps += [as_choice(column_raw(df, k), ct) for k in ("ans", "response_ans", "pred_ans") if k in has]
         if "response_rationale" in has:
             steps.append(prose_answer(F.col("response_rationale"), ct, coerce=True))
-    pred = F.coalesce(*steps) if steps else F.lit(None).cast(RAW)
-    return df.withColumn("_pred", pred).drop("_pj", "_rj")
+    return [*out, ("_pred", F.coalesce(*steps) if steps else F.lit(None).cast(RAW))]
 
 
-def with_match(df: DataFrame, object_responses: bool = False) -> DataFrame:
-    """with_answers() plus the row-level repairs of choice answers (F38) and _ok: whether the prediction matches. No gold or no prediction: a miss."""
-    df = with_answers(df, object_responses)
+def with_answers(df: DataFrame, object_responses: bool = False) -> DataFrame:
+    """df with _gold and _pred (raw answers) and _choice (choice task?), by the scorer's cascade over the columns that df has.
+
+    object_responses: model_response holds objects as JSON text, not texts. Presence of a column stands for presence of a key.
+    """
+    return staged(df, _answer_columns, object_responses).drop("_pj", "_rj")
+
+
+def _match_columns(df: DataFrame, object_responses: bool) -> list[tuple[str, Column]]:
     texts = [c for c in ("model_response", "response_payload", "response_rationale") if c in df.columns]
     letter = F.coalesce((F.col("_gold.kind") == "s") & strip(F.col("_gold.text")).rlike(CHOICE), F.lit(False))
-    df = df.withColumn("_g", normalize(F.col("_gold"))).withColumn("_p", normalize(F.col("_pred")))
     is_letter = (F.col("_p.k") == "s") & F.col("_p.s").rlike(CHOICE)
     text = F.when(F.col("_pred.kind") == "s", F.col("_pred.text"))
     from_rows = [choice_in_text(F.col(c)) for c in texts]
     repaired = F.coalesce(choice_of_number(F.col("_pred")), choice_in_text(text), option_match(F.col("_options"), F.col("_p")), *from_rows)
     fixed = F.when(letter & ~F.coalesce(is_letter, F.lit(False)) & repaired.isNotNull(), normal("s", s=repaired)).otherwise(F.col("_p"))
-    df = df.withColumn("_p", fixed)
     ok = F.col("_g").isNotNull() & F.col("_p").isNotNull() & matches(F.col("_g"), F.col("_p"))
-    return df.withColumn("_ok", ok)
+    return [("_g", normalize(F.col("_gold"))), ("_p", normalize(F.col("_pred"))), ("_p", fixed), ("_ok", ok)]
+
+
+def with_match(df: DataFrame, object_responses: bool = False) -> DataFrame:
+    """with_answers() plus the row-level repairs of choice answers (F38) and _ok: whether the prediction matches. No gold or no prediction: a miss."""
+    return staged(with_answers(df, object_responses), _match_columns, object_responses)
 
 
 # --- the teacher's side: other rules for numbers, tokens and equality

@@ -27,8 +27,12 @@ def accuracy_rollup(scored: DataFrame, file: str) -> DataFrame:
 
 
 def misses(scored: DataFrame, *keep: str) -> DataFrame:
-    """A1: the rows that don't match, with gold and prediction as labels."""
-    return scored.where(~F.col("_ok")).select(*keep, A.label(F.col("_g")).alias("gold"), A.label(F.col("_p")).alias("pred"))
+    """A1: the rows that don't match, with gold and prediction as labels.
+
+    The verdict goes through a generator: a filter would be pushed below the columns it needs and work them out once more.
+    """
+    row = F.struct(F.col("_ok").alias("ok"), A.label(F.col("_g")).alias("gold"), A.label(F.col("_p")).alias("pred"))
+    return scored.select(*keep, F.explode(F.filter(F.array(row), lambda r: ~r["ok"])).alias("_r")).select(*keep, "_r.gold", "_r.pred")
 
 
 def labelled(scored: DataFrame, *keep: str) -> DataFrame:
