@@ -85,8 +85,7 @@ class TermCounts:
             self.version, self.buckets = newest["version"], newest["buckets"]
             for kind, keys in (("records", "key"), ("counts", "field, term")):
                 folder = f"{self.path}/{newest[kind]}"
-                columns = spark.read.parquet(folder).schema.simpleString()[7:-1]
-                columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(folder).schema.fields) or columns
+                columns = ", ".join(f"`{c}` {t}" for c, t in spark.read.parquet(folder).dtypes)
                 name = f"{kind}_{uuid.uuid4().hex}"
                 spark.sql(f"create table {name} ({columns}) using parquet clustered by ({keys}) sorted by ({keys}) into {self.buckets} buckets location '{folder}'")
                 self.tables[kind] = name
