@@ -120,3 +120,11 @@ def test_limits(spark):
 def test_no_defects_at_all(spark):
     p = spark.createDataFrame([(i, "s", Q, "69", None, LONG + "\nAnswer: 69") for i in range(50)], "pred_id long, source string, question string, gold_ans string, options string, model_response string")
     assert P.truncated(p).count() == 0
+
+
+def test_refusal_cues_follow_from_the_pattern():
+    assert P.literals(r"\bi (?:cannot|can't)\b|no solution\b[^.]{0,9}here|\b(?:so )?sorry") == ["i can", "no solution", "sorry"]
+    for text in ("I cannot help with this question.", "Let's skip this one.", "Lo siento, no puedo ayudar.", "抱歉，我不能回答。", "Das kann ich leider nicht beantworten.", "It isn't permitted."):
+        low = text.lower()
+        assert not P.REFUSAL.search(low) or any(c in low for c in P.REFUSAL_CUES)
+        assert P.Rules.refusal([text])

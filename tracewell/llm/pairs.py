@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from re import _parser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,8 +32,8 @@ CUT_MARK = re.compile(r"(?:\.\.\.|…|\ufffd|[\[(<]\s*(?:truncated|cut|snip|cont
 
 # How answers are announced, in lower case.
 ANSWER = (
-    "####", "answer is", "answer:", "answer =", "answer=", "final answer", "we get ", "that leaves ", " is correct", "result is", "respuesta", "resultado", "resposta",
-    "réponse est", "on obtient", "antwort", "ergebnis", "ответ", "получаем", "答案", "结果", "\\boxed",
+    "####", "answer is", "answer:", "answer =", "answer=", "final answer", "we get ", "that leaves ", " is correct", "result is", "respuesta es", "respuesta:", "resultado es", "resultado:", "resposta é", "resposta:",
+    "resultado é", "réponse est", "réponse :", "réponse:", "on obtient", "antwort lautet", "antwort ist", "antwort:", "das ergebnis", "ergebnis ist", "ergebnis:", "ответ", "получаем", "答案", "结果", "\\boxed",
 )
 
 
@@ -58,25 +58,47 @@ REFUSAL = re.compile(
     re.I,
 )
 
-# One of these stands in every refusal that the pattern knows.
-REFUSAL_CUES = (
-    "cannot", "can't", "can not", "unable", "able to", "decline", "refuse", "ability", "rather not", "comfortable", "allow", "permit", "pass on th", "let's skip", "outside", "against my", "my training",
-    "my instructions", "my guidelines", "my rules", "my policy", "not something", "unanswered", "someone else", "no solution", "language model", "an ai", "no puedo", "posible", "lo siento", "condiciones",
-    "ne peux", "ne suis", "désolé", "impossible", "kann ich", "ich kann", "leid", "darf ich", "posso", "consigo", "desculpe", "lamento", "не могу", "извините", "сожалению", "простите", "无法", "抱歉",
-    "对不起", "不能", "не смогу",
-)
 
-# Frequent short words of each language, and a few that announce results.
+def literals(pattern: str) -> list[str]:
+    """Texts of which at least one stands in every match of a pattern: of each sequence the longest literal part, of alternatives that of each."""
+
+    def best(parts: list) -> set[str]:
+        options: list[set[str]] = []
+        run = ""
+        for op, arg in [*parts, (None, None)]:
+            if str(op) == "LITERAL":
+                run += chr(arg)
+                continue
+            if run:
+                options.append({run})
+                run = ""
+            inner = {"BRANCH": lambda: arg[1], "SUBPATTERN": lambda: [arg[-1]], "MAX_REPEAT": lambda: [arg[2]] if arg[0] else []}.get(str(op), list)()
+            found = [best(x) for x in inner]
+            if found and all(found):
+                options.append(set().union(*found))
+        return max(options, key=lambda x: min(map(len, x)), default=set())
+
+    found = best(list(_parser.parse(pattern)))
+    return sorted(x for x in found if not any(y in x for y in found if y != x))
+
+
+# a refusal holds one of these, which is looked up first; they follow from the pattern
+REFUSAL_CUES = tuple(literals(REFUSAL.pattern))
+
+# Frequent function words of each language, and the words that announce an answer.
 WORDS = {
-    "en": "a could troop within across carry half same other any into over between every needs up down they you your i my me his her if let find value compute sum lowest terms long short own must been just where both made make find day week hour hours years old older away full left many much costs buys holds box boxes first second the of and to in is that for it with as on are this by from at or an be which not each so we how many what will after both would could does has have only one two out all than then if more their there use keeps gives leaves starts receives adding answer total step first hence therefore is was were when where who",
-    "de": "der die das und ist nicht ein eine einen mit von zu den dem des im auf für sich wir also wie viele insgesamt werden bleiben sind hat noch dass aus nach bis bei durch am zur zum über nur jede jeder antwort ergebnis lautet später dazu möglich keine keiner kein stück es zunächst daraus folgt prüfen teilen während ersten stunden ändert zahl gruppe benötigen bekommt lösung hängt davon zusammen ergibt größer muss sein am morgen abend je stehen dort",
-    "fr": "le la les des du et est une un dans pour que qui ne pas sur avec au aux on par plus combien donc cela ce cette il elle se reste après chaque réponse obtient résultat ont été tout aucune ces propositions deuxième bonne sont égale nombre puis possède reçoit heures déjà vérifie dépasse pas donne quantité abord somme début moitié matin soir combien équipe prépare déterminer élèves réduit",
-    "es": "el la los las de del y es una un en para que por con no se al lo cuántos cuántas hay más cada año después así tiene está respuesta resultado tanto ninguna anteriores verdadera falsa segunda son total mañana tarde su ambas cantidades usó quedan otra queda niño lleva enunciado fila última diferencia pasado también comprobamos división deja resto entre",
-    "pt": "o a os as do da dos das e é uma um em para que por com não se ao mais cada são então quantos há resposta resultado logo nenhuma anteriores verdadeira segunda está ou depois começa recebe tem restam número sobre portanto assim verificamos solução dividindo irmão leva cada grupo fica ninguém recebe soma quantidades primeiras sobra muda durante",
+    "en": "a could within across same other any into over between every up down they you your i my me his her if let long short must been just where both away many much first the of and to in is that for it with as on are this by from at or an be which not each so we how what will after would does has have only one two out all than then more their there use answer was were when who",
+    "de": "der die das und ist nicht ein eine einen mit von zu den dem des im auf für sich wir also wie viele insgesamt werden bleiben sind hat noch dass aus nach bis bei durch am zur zum über nur jede jeder antwort ergebnis lautet dazu möglich keine keiner kein es zunächst daraus folgt während ersten davon zusammen muss sein je dort",
+    "fr": "le la les des du et est une un dans pour que qui ne pas sur avec au aux on par plus combien donc cela ce cette il elle se reste après chaque réponse obtient résultat ont été tout aucune ces sont puis déjà abord début",
+    "es": "el la los las de del y es una un en para que por con no se al lo cuántos cuántas hay más cada después así tiene está respuesta resultado tanto ninguna son su ambas otra también entre",
+    "pt": "o a os as do da dos das e é uma um em para que por com não se ao mais cada são então quantos há resposta resultado logo nenhuma está ou depois tem sobre portanto assim ninguém durante no na",
     "ru": "",
     "zh": "",
 }
 
+# Letters and signs that tell one of these languages from the others.
+OWN_LETTERS = {"de": "ßäöü", "fr": "èœëîùû", "es": "ñ¿¡", "pt": "ãõ"}
+
 
 def _weights() -> dict[str, list[tuple[str, float]]]:
     held: dict[str, list[str]] = {}
@@ -165,8 +187,13 @@ class Rules:
                 if ru > other:
                     return "ru"
         score: dict[str, float] = {}
+        if not text.isascii():
+            low = text.lower()
+            for lang, letters in OWN_LETTERS.items():
+                if n := sum(c in low for c in letters):
+                    score[lang] = float(n)
         known = self.words
-        for w in WORD.findall(text.lower()):
+        for w in set(WORD.findall(text.lower())):  # a word said over and over is one sign of its language
             if w in known:
                 for lang, x in known[w]:
                     score[lang] = score.get(lang, 0.0) + x
