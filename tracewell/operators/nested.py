@@ -205,13 +205,14 @@ def pivots(found: DataFrame, columns: dict[str, dict[str, str]]) -> DataFrame:
     row), name (of the member, in open objects), value (of an element that is no object), and all columns.
 
     columns: ancestor -> name -> path below it. One row for each element, with nulls for what it lacks. Triples are grouped by their
-    repeated ancestor and the ordinals, in one aggregation for all tables, combined before the shuffle; those of other
-    ancestors are left out first.
+    repeated ancestor and the ordinals, in one aggregation for all tables, combined before the shuffle; those that no table
+    asks for are left out first.
     """
     p, a = F.col("path"), F.col("ancestor")
-    own = found.withColumn("ancestor", repeated_ancestor(p)).where(a.isin(*columns))
     names = dict.fromkeys(c for cs in columns.values() for c in cs)
     of = {c: [f"{x}.{cs[c]}" if x else cs[c] for x, cs in columns.items() if c in cs] for c in names}
+    # an element has a triple of its own, so rows don't depend on which columns are asked for
+    own = found.where(p.isin(*columns, *(x for paths in of.values() for x in paths))).withColumn("ancestor", repeated_ancestor(p))
     aggs = [F.max(F.try_element_at("names", F.lit(-1))).alias("name"), F.max(F.when((p == a) & (a != ""), F.col("value"))).alias("value")]
     return own.groupBy("key", "ancestor", "ordinals").agg(*aggs, *[F.max(F.when(p.isin(*paths), F.col("value"))).alias(c) for c, paths in of.items()])
 
