@@ -1,8 +1,8 @@
 """The queries of the engine's own operators over the test tables, and the SQL that checks them.
 
-Every query runs over its whole tables. Floats are rounded to six places on both sides, counts are 64-bit, and arrays are joined to
-text, so that results compare by value. Queries without SQL are order-dependent folds, hashed draws or streams; they are
-tested against brute force on small fixtures.
+Every query runs over its whole tables, and so does its SQL. Floats are rounded to six places on both sides, counts are 64-bit, and
+arrays are joined to text, so that results compare by value. Queries without SQL rest on embeddings, a reduction of dimensions, recursive
+texts or the order of a stream's files; they are tested against brute force on small fixtures.
 """
 
 from __future__ import annotations

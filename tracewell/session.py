@@ -34,13 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only a local session (tests) may leave it unset and gets one of its own, which goes when the process ends."""
+    """The folder all executors share: spark.checkpoint.dir. Only a session on one machine (tests) may leave it unset and gets one of its own, which goes when the process ends."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = jvm_dir.get() if jvm_dir.isDefined() else None
     if not d:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        if not re.match(r"local(\[|-cluster\[|$)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="tracewell-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
