@@ -193,3 +193,15 @@ def test_bank_json_round_trip(spark, tmp_path):
     bank = spark.createDataFrame([('c "q"', "i", 0, ["a", "b"]), ('c "q"', "i", 1, ["z"]), ("d", "j\n", 0, [])], "category string, intent string, path_pos int, reasoning_path array<string>")
     sinks.bank_json(bank).coalesce(1).write.text(str(tmp_path / "bank"))
     assert sorted(map(tuple, records.read_bank(spark, str(tmp_path / "bank")).collect())) == sorted(map(tuple, bank.collect()))
+
+
+def test_vectors_edges(spark):
+    """Empty tables, nulls, repeated rows and columns with names of our own give defined results."""
+    i = spark.createDataFrame([(0, "x", [1.0, 0.0], 5), (0, "x", [1.0, 0.0], 5), (1, "y", None, 5)], "pos int, label string, v array<double>, score int")
+    q = spark.createDataFrame([(1, [2.0, 0.0], "c"), (1, [2.0, 0.0], "c"), (2, None, "c")], "id int, v array<double>, label string")
+    ask = lambda q, i: routing.route_argmax(q, i, q_id="id", q_vec="v", i_pos="pos", i_vec="v", label=["label"]).distinct().collect()
+    assert [(r["id"], r["label"], r["score"]) for r in ask(q, i)] == [(1, "x", 1.0)]
+    assert ask(q.limit(0), i) == [] and ask(q, i.limit(0)) == []
+    c = lambda df, local: sorted(tuple(r) for r in cluster.cluster_groups(df, group="label", key="pos", vec="v", eps=0.5, local=local).collect())
+    assert c(i, 10) == c(i, 0) == [("x", 0, 0), ("x", 0, 0)]
+    assert c(i.limit(0), 10) == c(i.limit(0), 0) == []
