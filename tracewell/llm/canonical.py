@@ -355,10 +355,10 @@ def map_labels(values: DataFrame, labels: DataFrame) -> DataFrame:
     cut = keys.select("kind", "key", F.posexplode(F.split("key", " ")).alias("i", "t")).select("kind", "key", "i", plain(F.col("t")).alias("token"), F.endswith("t", F.lit(".")).alias("dot"))
     rep = repairs(cut.select("kind", "token", "dot").where("token <> ''").distinct(), forms)
     hit = F.struct("i", "word", "sim", "short")
-    cases = cut.join(rep, ["kind", "token", "dot"], "left").groupBy("kind", "key").agg(F.collect_set(F.when(F.col("word").isNotNull(), hit)).alias("hits"))
-    # written: a case that its tokens leave open is ranked once more
-    first = written(cases.join(_ranked(cases, lab), ["kind", "key"]), "ranked")
-    open_ = first.where(F.col("score") < SETTLED).select("kind", "key", "hits", F.regexp_replace("key", "[ .]", "").alias("token")).where("token <> ''")
+    cases = written(cut.join(rep, ["kind", "token", "dot"], "left").groupBy("kind", "key").agg(F.collect_set(F.when(F.col("word").isNotNull(), hit)).alias("hits")), "cases")
+    first = written(_ranked(cases, lab), "ranked")
+    # a case that its tokens leave open is ranked once more
+    open_ = cases.join(first.where(F.col("score") < SETTLED), ["kind", "key"], "left_semi").select("kind", "key", "hits", F.regexp_replace("key", "[ .]", "").alias("token")).where("token <> ''")
     glued = open_.select("kind", "token", F.lit(True).alias("dot")).distinct()
     whole = forms.where((F.col("d") == EXACT) & F.col("compound")).select("kind", F.col("piece").alias("token"), "word", "short", "sim")
     one = written(glued.join(whole, ["kind", "token"]).select("kind", "token", "dot", "word", "short", "sim").unionByName(near(glued, forms, True, 1)), "one_edit")
