@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.session import written
+from tracewell.session import widened, written
 
 # Texts that stand for no answer.
 PLACEHOLDERS = frozenset(
@@ -354,7 +354,7 @@ PLAIN = r"^(?:[-+]?[0-9][0-9.,/]*|[A-Ea-e]|true|false|yes|no|\\sqrt\{[0-9]+\}|-?
 
 
 def judged(pairs: DataFrame) -> DataFrame:
-    """The pairs with a defect of their own or an open end; each row for itself, so that nothing is shuffled."""
+    """The pairs with a defect of their own or an open end; each row for itself, so that nothing is shuffled (but a table of fewer splits than cores)."""
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rules = Rules()
@@ -370,7 +370,7 @@ def judged(pairs: DataFrame) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
-    return pairs.where(F.col("value").isNull() | ~F.col("value").rlike(PLAIN)).mapInPandas(classify, JUDGED)
+    return widened(pairs.where(F.col("value").isNull() | ~F.col("value").rlike(PLAIN))).mapInPandas(classify, JUDGED)
 
 
 def sentences(values: DataFrame) -> DataFrame:
